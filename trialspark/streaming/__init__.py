@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The analysis this library re-expresses is a batch job end to end: no event
+time, windows, watermarks or state appear in it, so nothing is built here.
+"""
