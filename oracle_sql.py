@@ -140,16 +140,246 @@ def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+def sparse_filter(cols: list[str], max_missing: float = 0.5) -> str:
+    """WHERE clause: missing fraction over ``cols`` strictly below ``max_missing``."""
+    terms = " + ".join(f"cast({c} is null as int)" for c in cols)
+    return f"(({terms}) / {len(cols)}.0) < {max_missing}"
+
+
+def impute_select(cols_keep: list[str], cols_impute: list[str], group: str = "Field_Location") -> str:
+    parts = list(cols_keep) + [f"coalesce({c}, avg({c}) over (partition by {group})) as {c}"
+                               for c in cols_impute]
+    return ", ".join(parts)
+
+
+TRIAL_COLS = ["Hybrid", "Field_Location", "Year", "Env", "Replicate", "Block", "Yield_Mg_ha"]
+PHENO_COLS = ["Hybrid", "Field_Location", "Year", "Env", "Hybrid_Env", "Yield_Mg_ha"]
+TEST_COLS = ["Hybrid", "Field_Location", "Year", "Env", "Hybrid_Field", "Yield_Mg_ha"]
+META = ["lat", "lon", "m3", "m4", "m5", "m6", "m7"]
+SOIL = ["lon", "m3", "m4", "m5", "m6", "m7"]
+TRAIN_YEARS = "(2019, 2020, 2021, 2022, 2023)"
+
+C_WEATHER = f"weather as (select {RECODE_CASE} as Env, ord, w1, w2 from weather_raw)"
+C_PLOTS = "plots as (select * from trial where Yield_Mg_ha is not null)"
+C_TLOC = "tloc as (select distinct split_part(Env, '_', 1) as Field_Location from test_template)"
+C_TK = """tk as (select Hybrid, split_part(Env, '_', 1) as Field_Location,
+                 cast(split_part(Env, '_', 2) as int) as Year, Env,
+                 concat(Hybrid, '_', split_part(Env, '_', 1)) as Hybrid_Field, Yield_Mg_ha
+          from test_template)"""
+C_ECF = """ecf as (select Env, ord, w1, w2 from weather
+                  qualify row_number() over (partition by Env order by ord) = 1)"""
+C_ECF_RAW = """ecfr as (select Env, ord, w1, w2 from weather_raw
+                   qualify row_number() over (partition by Env order by ord) = 1)"""
+C_MB = """mb as (select Env, lat, lon, m3, m4, m5, m6, m7 from meta
+                 where split_part(Env, '_', 1) in (select Field_Location from tloc))"""
+C_GENO = [V_GENO_LONG,
+          "gd as (select Hybrid, i, v * 2 as v from geno_long)",
+          "mu as (select i, round_even(avg(v), 0) as mu from gd group by i)",
+          "gi as (select gd.Hybrid, gd.i, coalesce(gd.v, mu.mu) as v from gd join mu using (i))",
+          """af as (select i, (2 * count_if(v = 0) + count_if(v = 1)) / (2 * count(v)) as p0,
+                           (2 * count_if(v = 2) + count_if(v = 1)) / (2 * count(v)) as p2
+                    from gi group by i)""",
+          "gz as (select gi.Hybrid, gi.i, coalesce(gi.v - af.p2 * 2, 0.0) as v from gi join af using (i))",
+          """gw as (select gi.Hybrid, gi.i,
+                           case when coalesce(gi.v, 0) = 0 then af.p2 * af.p2 * -2
+                                when coalesce(gi.v, 0) = 1 then af.p2 * (1.0 - af.p2) * 2
+                                when coalesce(gi.v, 0) = 2 then (1.0 - af.p2) * (1.0 - af.p2) * -2
+                                else 0.0 end as v
+                    from gi join af using (i))"""]
+
+
+def pheno_ctes() -> list[str]:
+    """Phenotype table: outliers removed, BLUEs and single-rep rows, filtered."""
+    return [V_TRIAL, V_TEST_TEMPLATE, C_TLOC, outlier_ctes("trial"),
+            "clean as (select * from o_flag where out_flag = 0)",
+            blue_ctes("clean"), single_rep_ctes("clean"),
+            f"""pheno as (select Hybrid, Field_Location, Year, Env, concat(Hybrid, '_', Env) as Hybrid_Env,
+                             Yield_Mg_ha
+                      from (select * from b_blue union all select * from s_single) u
+                      where not regexp_matches(Hybrid, 'Replicate')
+                        and Field_Location in (select Field_Location from tloc)
+                        and Year in {TRAIN_YEARS})"""]
+
+
+def features_ctes() -> list[str]:
+    meta_cols = PHENO_COLS + META
+    soil_cols = PHENO_COLS + SOIL
+    return pheno_ctes() + [V_WEATHER_RAW, V_META, C_WEATHER, C_MB,
+        weather_mean_cte("weather", "wm", True),
+        weather_mean_cte("weather", "wms", False),
+        "fw as (select p.*, wm.w1, wm.w2 from pheno p left join wm using (Env))",
+        C_ECF,
+        f"fe as (select * from (select p.*, e.ord, e.w1, e.w2 from pheno p left join ecf e using (Env)) q "
+        f"where {sparse_filter(PHENO_COLS + ['ord', 'w1', 'w2'])})",
+        f"fm1 as (select * from (select p.*, {', '.join('mb.' + c for c in META)} from pheno p "
+        f"left join mb using (Env)) q where {sparse_filter(meta_cols)})",
+        f"fm as (select {impute_select(PHENO_COLS, META)} from fm1)",
+        "sb as (select Env, lon, m3, m4, m5, m6, m7 from meta)",
+        f"fs1 as (select * from (select p.*, {', '.join('sb.' + c for c in SOIL)} from pheno p "
+        f"left join sb using (Env)) q where (Year is null or Year not in (2019)) and {sparse_filter(soil_cols)})",
+        f"fs as (select {impute_select(PHENO_COLS, SOIL)} from fs1)"]
+
+
+def test_ctes() -> list[str]:
+    return [V_TEST_TEMPLATE, C_TLOC, C_TK, V_WEATHER_RAW, V_META, C_WEATHER, C_MB, C_ECF_RAW,
+            weather_mean_cte("weather", "wms", False),
+            "tfw as (select t.*, w.w1, w.w2 from tk t left join wms w using (Env))",
+            f"tfe as (select * from (select t.*, e.ord, e.w1, e.w2 from tk t left join ecfr e using (Env)) q "
+            f"where {sparse_filter(TEST_COLS + ['ord', 'w1', 'w2'])})",
+            f"tfm as (select t.*, {', '.join('mb.' + c for c in META)} from tk t left join mb using (Env))",
+            "tfs as (select t.*, e.ord, e.w1, e.w2 from tk t left join ecfr e using (Env))"]
+
+
+def long_sql(src: str, ids: list[str], scalars: list[str], geno: str | None) -> str:
+    idl = ", ".join(ids)
+    parts = [f"select {idl}, '{c}' as feature, cast({c} as double) as value from {src}" for c in scalars]
+    if geno:
+        pid = ", ".join(f"t.{c}" for c in ids)
+        parts.append(f"select {pid}, concat('g', g.i) as feature, g.v as value "
+                     f"from {src} t join {geno} g using (Hybrid)")
+    return "\nunion all\n".join(parts)
+
+
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    recoded = f"weather as (select {RECODE_CASE} as Env, ord, w1, w2 from weather_raw)"
+    W = [V_WEATHER_RAW, C_WEATHER]
+
+    # sources / projections / scalar functions
+    q["scan_trial"] = with_(V_TRIAL) + "select * from trial"
+    q["geno_scan"] = with_(V_GENO_LONG) + "select Hybrid, i, v from geno_long"
+    q["project_trial"] = with_(V_TRIAL) + "select Hybrid, Env, Year, Yield_Mg_ha from trial"
+    q["drop_positions"] = with_(V_META) + "select Env, lon, m3, m4, m5, m6, m7 from meta"
+    q["cast_numeric"] = with_(V_WEATHER_RAW) + "select ord, Env, w1 from weather_raw"
+    q["recode_env"] = with_(*W) + "select * from weather"
+    q["align_columns"] = with_(V_WEATHER_RAW) + "select Env, w1, w2, ord, 0 as w3 from weather_raw"
+    q["build_keys"] = with_(V_TRIAL) + """select Hybrid, Env, Field_Location,
+        concat(Hybrid, '|', Env) as hybrid_env_bar, concat(Hybrid, '_', Env) as hybrid_env,
+        concat(Hybrid, '_', Field_Location) as hybrid_field from trial"""
+    q["split_env"] = with_(V_WEATHER_RAW) + """select ord, Env, split_part(Env, '_', 1) as Field_Location,
+        split_part(Env, '_', 2) as Year from weather_raw"""
+    q["strip_prefix"] = with_(V_TRIAL) + """select Hybrid, concat('Hybrid', Hybrid) as coef_name,
+        regexp_replace(concat('Hybrid', Hybrid), 'Hybrid', '', 'g') as stripped from trial"""
+    q["round_half_even"] = with_(V_TRIAL) + """select Yield_Mg_ha, Yield_Mg_ha / 2 as half,
+        round_even(Yield_Mg_ha / 2, 0) as rounded from trial"""
+
+    # filters
+    q["filter_years"] = with_(V_TRIAL) + f"select * from trial where Year in {TRAIN_YEARS}"
+    q["filter_not_years"] = with_(V_TRIAL) + "select * from trial where Year is null or Year not in (2017, 2018)"
+    jm_cols = TRIAL_COLS + META
+    q["drop_sparse_rows"] = with_(V_TRIAL, V_META) + \
+        f"select * from (select * from trial left join meta using (Env)) j where {sparse_filter(jm_cols)}"
+    q["drop_missing_trait"] = with_(V_TRIAL) + "select * from trial where Yield_Mg_ha is not null"
+    q["exclude_pattern"] = with_(V_TRIAL) + "select * from trial where not regexp_matches(Hybrid, 'H1')"
+    q["semi_locations"] = with_(V_TRIAL, V_TEST_TEMPLATE, C_TLOC) + \
+        "select * from trial where Field_Location in (select Field_Location from tloc)"
+    q["semi_weather"] = with_(V_WEATHER_RAW, V_META) + \
+        "select * from weather_raw where Env in (select Env from meta)"
+
+    # joins
+    q["join_weather"] = with_(V_TRIAL, C_PLOTS, *W, weather_mean_cte("weather", "wm", True)) + \
+        "select p.*, wm.w1, wm.w2 from plots p left join wm using (Env)"
+    q["join_meta"] = with_(V_TRIAL, C_PLOTS, V_META) + "select * from plots left join meta using (Env)"
+    q["join_feature_blocks"] = with_(*features_ctes()) + \
+        "select * from fm join (select distinct Hybrid_Env, w1, w2 from fw) w using (Hybrid_Env)"
+    q["join_geno"] = with_(*pheno_ctes(), *C_GENO) + """select p.Hybrid_Env, p.Hybrid, p.Env, p.Yield_Mg_ha,
+        g.geno_sum, cast(g.geno_n as int) as geno_n from pheno p left join
+        (select Hybrid, sum(coalesce(v, 0)) as geno_sum, count(v) as geno_n from gi group by Hybrid) g
+        using (Hybrid)"""
 
-    q["phenotype_weather"] = with_(V_TRIAL, V_WEATHER_RAW, blue_ctes("trial"), recoded,
+    # aggregates
+    q["weather_mean_strict"] = with_(*W, weather_mean_cte("weather", "wm", True)) + "select * from wm"
+    q["weather_mean_skipna"] = with_(*W, weather_mean_cte("weather", "wm", False)) + "select * from wm"
+    q["replicate_counts"] = with_(V_TRIAL) + """select Year, Field_Location, count(distinct Replicate) as n_rep
+        from trial where Yield_Mg_ha is not null and Replicate is not null group by Year, Field_Location"""
+    q["first_per_env"] = with_(V_WEATHER_RAW) + \
+        "select * from weather_raw qualify row_number() over (partition by Env order by ord) = 1"
+    q["distinct_locations"] = with_(V_TRIAL) + "select distinct Field_Location from trial"
+    prof = []
+    for c in ["Year", "Replicate", "Block", "Yield_Mg_ha"]:
+        x = f"cast({c} as double)"
+        prof.append(f"""select '{c}' as column, min({x}) as min, quantile_cont({x}, 0.25) as q1,
+            quantile_cont({x}, 0.5) as median, avg({x}) as mean, quantile_cont({x}, 0.75) as q3,
+            max({x}) as max, count(*) - count({c}) as na_count from trial""")
+    q["column_profile"] = with_(V_TRIAL) + "\nunion all\n".join(prof)
+    nc = [f"""select '{c}' as column, count(*) - count({c}) as n_null, count({c}) as n_not_null from jm"""
+          for c in ["Env"] + [c for c in TRIAL_COLS if c != "Env"] + META]
+    q["null_counts"] = with_(V_TRIAL, C_PLOTS, V_META,
+                             "jm as (select * from plots left join meta using (Env))") + "\nunion all\n".join(nc)
+    q["geno_null_cells"] = with_(*C_GENO) + """select cast(count(*) - count(v) as bigint) as n_null,
+        cast(count(v) as bigint) as n_not_null from gi"""
+    q["table_shape"] = with_(V_TRIAL, V_WEATHER_RAW, V_META) + """
+        select 'trial' as "table", count(*) as n_rows, 7 as n_cols from trial
+        union all select 'weather', count(*), 4 from weather_raw
+        union all select 'meta', count(*), 8 from meta
+        union all select 'geno', count(*), 2 from embeddings"""
+    q["impute_group_mean"] = with_(V_TRIAL, C_PLOTS, V_META,
+                                   "jm as (select * from plots left join meta using (Env))") + \
+        f"select {impute_select(TRIAL_COLS, META)} from jm"
+    q["union_batches"] = with_(V_TRIAL, C_PLOTS, blue_ctes("plots"), single_rep_ctes("plots")) + \
+        "select * from b_blue union all select * from s_single"
+
+    # trial statistics
+    q["phenotype_weather"] = with_(V_TRIAL, V_WEATHER_RAW, blue_ctes("trial"), C_WEATHER,
                                    weather_mean_cte("weather", "wm", True)) + \
         "select b.*, wm.w1, wm.w2 from b_blue b left join wm using (Env)"
     q["blue_replicated"] = with_(V_TRIAL, blue_ctes("trial")) + "select * from b_blue"
-    q["blue_replicated_k2"] = None  # no SQL for k > 1 (needs a matrix solve); brute-force tested
     q["blue_single_rep"] = with_(V_TRIAL, single_rep_ctes("trial")) + "select * from s_single"
     q["outlier_flag"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag"
     q["outlier_filter"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag where out_flag = 0"
-    return {k: v for k, v in q.items() if v}
+    q["phenotype_table"] = with_(*pheno_ctes()) + "select * from pheno"
+
+    # feature blocks
+    fc = with_(*features_ctes())
+    q["features_weather"] = fc + "select * from fw"
+    q["features_ec"] = fc + "select * from fe"
+    q["features_meta"] = fc + "select * from fm"
+    q["features_soil"] = fc + "select * from fs"
+    tc = with_(*test_ctes())
+    q["test_features_weather"] = tc + "select * from tfw"
+    q["test_features_ec"] = tc + "select * from tfe"
+    q["test_features_meta"] = tc + "select * from tfm"
+    q["test_features_soil"] = tc + "select * from tfs"
+
+    # genotype
+    gc = with_(*C_GENO)
+    q["geno_dosage"] = gc + "select Hybrid, i, v from gd"
+    q["marker_means"] = gc + "select i, avg(v) as mean from gd group by i"
+    q["geno_impute"] = gc + "select Hybrid, i, v from gi"
+    q["allele_freq"] = gc + "select * from af"
+    q["marker_variance"] = gc + "select i, p0, p2, p2 * (1.0 - p2) * 2 as two_pq from af"
+    q["marker_two_pq_total"] = gc + "select sum(p0 * 2 * p2) as two_pq_sum from af"
+    q["geno_additive"] = gc + "select Hybrid, i, v as z from gz"
+    q["geno_dominance"] = gc + "select Hybrid, i, v as w from gw"
+
+    # matrices, folds
+    tw = "tw as (select * from fm join (select distinct Hybrid_Env, w1, w2 from fw) w using (Hybrid_Env))"
+    ids = ["Hybrid_Env", "Hybrid", "Env", "Year", "Yield_Mg_ha"]
+    base = with_(*features_ctes(), *C_GENO, tw)
+    q["train_matrix"] = base + long_sql("tw", ids, META + ["w1", "w2"], "gi")
+    q["train_matrix_additive"] = base + long_sql("tw", ids, META + ["w1", "w2"], "gz")
+    q["train_matrix_dominance"] = base + long_sql("tw", ids, META + ["w1", "w2"], "gw")
+    q["train_matrix_env"] = with_(*features_ctes(), tw) + long_sql("tw", ids, META + ["w1", "w2"], None)
+    tt = "tt as (select * from tfm join (select distinct Hybrid_Field, w1, w2 from tfw) w using (Hybrid_Field))"
+    q["test_matrix"] = with_(*test_ctes(), *C_GENO, tt) + \
+        long_sql("tt", ["Hybrid_Field", "Hybrid", "Env"], META + ["w1", "w2"], "gi")
+    env = with_(*features_ctes(), tw)
+    q["folds_leave_year_out"] = env + \
+        "select Hybrid_Env, Year, cast(dense_rank() over (order by Year) - 1 as int) as fold from tw"
+    q["folds_contiguous"] = env + """select Hybrid_Env, Yield_Mg_ha,
+        cast(ntile(5) over (order by Hybrid_Env, Yield_Mg_ha) - 1 as int) as fold from tw"""
+    q["cv_mse"] = with_(*features_ctes(), tw,
+        "tf as (select *, cast(dense_rank() over (order by Year) - 1 as int) as fold from tw)",
+        "per as (select fold, count(*) as n, sum(Yield_Mg_ha) as s from tf group by fold)",
+        "tot as (select sum(n) as tot_n, sum(s) as tot_s from per)",
+        "mm as (select fold, n, (tot_s - s) / (tot_n - n) as m from per, tot)") + \
+        """select fold, n, avg((Yield_Mg_ha - m) * (Yield_Mg_ha - m)) as mse
+           from tf join mm using (fold) group by fold, n"""
+
+    # ensembles
+    q["ensemble_weighted2"] = with_(V_PRED) + """select Env, Hybrid,
+        y_add * (4.0::double / 5.0::double) + y_dom * (1.0::double / 5.0::double) as Yield_Mg_ha from pred"""
+    q["ensemble_weighted3"] = with_(V_PRED) + """select Env, Hybrid,
+        y_add * (4.0::double / 8.0::double) + y_dom * (1.0::double / 8.0::double)
+        + y_env * (3.0::double / 8.0::double) as Yield_Mg_ha from pred"""
+    q["ensemble_equal"] = with_(V_PRED) + "select Env, Hybrid, (y_add + y_dom) / 2 as Yield_Mg_ha from pred"
+    return q

@@ -28,13 +28,13 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # monotonically_increasing_id = (partition id << 33) + position inside the partition
-    tagged = sorted_df.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)) \
-                   .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    tagged = sorted_df.withColumn("_rix_mid", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_rix_pid", F.shiftright("_rix_mid", 33)) \
+                   .withColumn("_rix_pos", F.col("_rix_mid").bitwiseAND(F.lit(_LOW33)))
+    counts = tagged.groupBy("_rix_pid").agg(F.count(F.lit(1)).alias("_rix_cnt"))
     # one row per partition: the running total is over a tiny table
-    offsets = counts.select("_pid", (F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos"))
-            .drop("_mid", "_pid", "_pos", "_off"))
+    offsets = counts.select("_rix_pid", (F.sum("_rix_cnt").over(
+        Window.orderBy("_rix_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_rix_off"))
+    return (tagged.join(F.broadcast(offsets), "_rix_pid")
+            .withColumn(name, F.coalesce(F.col("_rix_off"), F.lit(0)) + F.col("_rix_pos"))
+            .drop("_rix_mid", "_rix_pid", "_rix_pos", "_rix_off"))

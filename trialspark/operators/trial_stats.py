@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialspark.session import materialize
+
 # Fixed value: relative tolerance of the pivoting QR used to detect aliased columns.
 QR_TOL = 1e-7
 
@@ -91,11 +93,37 @@ def _make_solver(batch: list[str]):
     return solve
 
 
+def _contributions(batch: list[str]):
+    """Per-cell contribution rows (kind, l, m, v) whose per-batch sums are the moments.
+
+    kinds: T = syy - sy^2/n, N = n, b = sy_l - n_l * ybar, n = n_l, P = n_l * n_m / n.
+    One explode + one groupBy yields every moment of every batch in one pass.
+    """
+    nc, syc = F.col("_n").cast("double"), F.col("_sy")
+
+    def row(kind, l, m, v):
+        return F.struct(F.lit(kind).alias("k"), l.cast("long").alias("l"),
+                        m.cast("long").alias("m"), v.cast("double").alias("v"))
+
+    none = F.lit(-1)
+    scalars = F.array(row("T", none, none, F.col("_syy") - syc * syc / nc),
+                      row("N", none, none, F.col("_n")))
+    lin_b = F.transform("_levels", lambda x: row("b", x["_lv"], none, x["_sy"] - x["_n"] * syc / nc))
+    lin_n = F.transform("_levels", lambda x: row("n", x["_lv"], none, x["_n"]))
+    pairs = F.flatten(F.transform("_levels", lambda a: F.transform(
+        "_levels", lambda b: row("P", a["_lv"], b["_lv"], a["_n"] * b["_n"] / nc))))
+    return F.explode(F.concat(scalars, lin_b, lin_n, pairs)).alias("_c")
+
+
 def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor: str,
                           batch: Sequence[str]) -> FixedEffectFit:
     """Fit ``trait ~ cell + factor`` per batch without materialising dummies.
 
     Rows with NULL trait or NULL factor are excluded; ``factor`` must be integral.
+
+    This is a fit step with two actions: the per-cell statistics and the
+    per-batch moments are written to the shared checkpoint folder (one pass
+    over ``df``), so the returned frames plan against small file scans.
     """
     batch, cell = list(batch), list(cell)
     keys = batch + cell
@@ -105,35 +133,30 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
     level_stats = (rows.groupBy(*keys, F.col(factor).cast("long").alias("_lv"))
                    .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_sy"),
                         F.sum(y * y).alias("_syy")))
-    cells = (level_stats.groupBy(*keys)
-             .agg(F.sum("_n").alias("_n"), F.sum("_sy").alias("_sy"),
-                  F.sum("_syy").alias("_syy"),
-                  F.collect_list(F.struct("_lv", "_n", "_sy")).alias("_levels")))
-
-    nc, syc = F.col("_n").cast("double"), F.col("_sy")
-    moments = (cells.groupBy(*batch)
-               .agg(F.sum(F.col("_syy") - syc * syc / nc).alias("_T"),
-                    F.sum("_n").alias("_N")))
-
-    # b_l and N_l per (batch, level)
-    lin = (cells.select(*batch, F.explode(F.transform(
-                "_levels", lambda x: F.struct(
-                    x["_lv"].alias("_l"),
-                    (x["_sy"] - x["_n"] * syc / nc).alias("_b"),
-                    x["_n"].alias("_nl")))).alias("_x"))
-           .groupBy(*batch, F.col("_x._l").alias("_l"))
-           .agg(F.sum("_x._b").alias("_b"), F.sum("_x._nl").cast("double").alias("_Nl")))
+    cells = materialize(
+        level_stats.groupBy(*keys)
+        .agg(F.sum("_n").alias("_n"), F.sum("_sy").alias("_sy"), F.sum("_syy").alias("_syy"),
+             F.collect_list(F.struct("_lv", "_n", "_sy")).alias("_levels")),
+        "fe_cells")
+
+    contrib = materialize(
+        cells.select(*batch, _contributions(batch))
+        .groupBy(*batch, F.col("_c.k").alias("_k"), F.col("_c.l").alias("_l"),
+                 F.col("_c.m").alias("_m"))
+        .agg(F.sum("_c.v").alias("_v")),
+        "fe_moments")
+
+    kind = F.col("_k")
+    scal = contrib.filter(kind.isin("T", "N")).groupBy(*batch).agg(
+        F.sum(F.when(kind == "T", F.col("_v"))).alias("_T"),
+        F.sum(F.when(kind == "N", F.col("_v"))).cast("long").alias("_N"))
+    lin = (contrib.filter(kind.isin("b", "n")).groupBy(*batch, "_l")
+           .agg(F.sum(F.when(kind == "b", F.col("_v"))).alias("_b"),
+                F.sum(F.when(kind == "n", F.col("_v"))).alias("_Nl")))
     # reference level (smallest present) and number of levels per batch
-    batches = moments.join(lin.groupBy(*batch).agg(F.min("_l").alias("_ref"),
-                                                    F.count(F.lit(1)).alias("_nlev")), batch)
-    # sum_c n_cl n_cm / n_c per (batch, l, m); pairs of levels inside one cell (<= levels^2)
-    pairs = (cells.select(*batch, F.explode(F.flatten(F.transform(
-                "_levels", lambda a: F.transform(
-                    "_levels", lambda b: F.struct(
-                        a["_lv"].alias("_l"), b["_lv"].alias("_m"),
-                        (a["_n"] * b["_n"] / nc).alias("_v")))))).alias("_x"))
-             .groupBy(*batch, F.col("_x._l").alias("_l"), F.col("_x._m").alias("_m"))
-             .agg(F.sum("_x._v").alias("_P")))
+    batches = scal.join(lin.groupBy(*batch).agg(F.min("_l").alias("_ref"),
+                                                F.count(F.lit(1)).alias("_nlev")), batch)
+    pairs = contrib.filter(kind == "P").select(*batch, "_l", "_m", F.col("_v").alias("_P"))
 
     system = (pairs.join(lin, batch + ["_l"])
               .join(batches.select(*batch, "_ref", "_nlev"), batch)
@@ -147,7 +170,7 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
     beta1 = s1.select(*batch, "_l", F.when(
         (F.col("_S") > 0) & (F.col("_S") >= F.lit(QR_TOL ** 2) * F.col("_Nl")),
         F.col("_b") / F.col("_S")).otherwise(F.lit(0.0)).alias("_beta"))
-    # k > 1: tiny per-batch solve in pandas
+    # k > 1: tiny per-batch solve in pandas (a few rows per batch)
     batch_fields = [df.schema[c] for c in batch]
     sk = system.filter(F.col("_nlev") > 2)
     betak = (sk.groupBy(*batch)
@@ -165,6 +188,7 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
                                          F.sqrt(F.col("_rss") / (F.col("_N") - 1))))
                .drop("_fit_ss"))
 
+    nc, syc = F.col("_n").cast("double"), F.col("_sy")
     bmap = F.col("_bmap")
     shift = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + F.coalesce(
         F.element_at(bmap, x["_lv"]), F.lit(0.0)) * x["_n"])

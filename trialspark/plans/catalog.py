@@ -1,15 +1,31 @@
-"""Registered queries: each maps (spark, sf_dir) -> DataFrame over the benchmark tables."""
+"""Registered queries: each maps (spark, sf_dir) -> DataFrame over the benchmark tables.
+
+Every query reads whole benchmark tables through the trial views of
+``trialspark.sources.fixtures``; array results are returned in long form
+(one row per cell) so they compare cell by cell with the DuckDB oracle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.functions.keys import build_key, recode
+from trialspark.functions import keys as K
+from trialspark.functions.keys import build_key, recode, split_key, strip_pattern
 from trialspark.operators import aggregate as A
+from trialspark.operators import ensemble as EN
 from trialspark.operators import filters as FL
+from trialspark.operators import genotype as G
+from trialspark.operators import projection as P
 from trialspark.operators import trial_stats as TS
+from trialspark.operators import impute as IM
+from trialspark.plans import features as FE
+from trialspark.plans import folds as FO
+from trialspark.plans import matrices as MX
+from trialspark.plans import phenotype as PH
+from trialspark.session import scratch_path
 from trialspark.sources import fixtures as V
+from trialspark.sources import text as TX
 
 QUERIES: dict = {}
 
@@ -19,21 +35,273 @@ def query(fn):
     return fn
 
 
+MEASURES = ["w1", "w2"]
+META_COLS = ["lat", "lon", "m3", "m4", "m5", "m6", "m7"]
+# fixture parameters: soil drops split columns + first measure; F2 drops one training year
+SOIL_DROP_POSITIONS = [2, 3, 4]
+SOIL_EXCLUDE_YEARS = [2019]
+TEST_SOIL_DROP_POSITIONS = [2, 3]
+
+
+# ---------------------------------------------------------------- shared building blocks
+
 def _plots(spark, sf):
-    """Plot rows with a yield value."""
     return FL.drop_missing(V.trial(spark, sf), "Yield_Mg_ha")
 
 
 def _weather(spark, sf):
+    return V.weather_raw(spark, sf).withColumn("Env", recode("Env", V.FIXTURE_RECODE))
+
+
+def _locations(spark, sf):
+    return PH.test_locations(V.test_template(spark, sf))
+
+
+def _pheno(spark, sf):
+    return PH.phenotype_table(V.trial(spark, sf), _locations(spark, sf))
+
+
+def _test(spark, sf):
+    return PH.test_keys(V.test_template(spark, sf))
+
+
+def _geno_imputed(spark, sf):
+    return G.impute_markers(G.scale_dosage(V.geno(spark, sf)))
+
+
+def _long(g, col="dosage", value="v"):
+    return G.explode_markers(g, col, "Hybrid", value)
+
+
+# ---------------------------------------------------------------- sources / sinks
+
+@query
+def scan_trial(spark, sf):
+    """Plots written as tab text with NA markers and read back with a declared schema."""
+    t = V.trial(spark, sf)
+    path = scratch_path(spark, "trial_tsv")
+    TX.write_delimited(t, path)
+    return TX.read_delimited(spark, path, t.schema)
+
+
+@query
+def geno_scan(spark, sf):
+    """Genotype matrix written as wide marker text and read back as arrays (long output)."""
+    g = V.geno(spark, sf)
+    m = g.select(F.size("dosage").alias("n")).limit(1).select(
+        F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i", "_")).select(
+        "i", F.concat(F.lit("m"), F.col("i").cast("string")).alias("marker"))
+    path = scratch_path(spark, "geno_txt")
+    TX.write_genotype_text(g, m, path)
+    back, _ = TX.read_genotype_text(spark, path)
+    return _long(back)
+
+
+# ---------------------------------------------------------------- projections / scalar functions
+
+@query
+def project_trial(spark, sf):
+    return P.select_columns(V.trial(spark, sf), ["Hybrid", "Env", "Year", "Yield_Mg_ha"])
+
+
+@query
+def drop_positions(spark, sf):
+    """Metadata with location/year split in, then columns 2..4 dropped by position."""
+    return FE.soil_block(V.meta(spark, sf), SOIL_DROP_POSITIONS)
+
+
+@query
+def cast_numeric(spark, sf):
+    """A measure written as text (with NA) and cast back to double."""
+    w = V.weather_raw(spark, sf)
+    txt = w.select("ord", "Env", F.coalesce(F.col("w1").cast("string"), F.lit("NA")).alias("w1"))
+    return P.cast_numeric(txt, ["w1"])
+
+
+@query
+def recode_env(spark, sf):
+    return _weather(spark, sf)
+
+
+@query
+def align_columns(spark, sf):
+    """Weather rows aligned to (Env, w1, w2, ord, w3): w1 kept, w3 absent -> 0, extra dropped."""
+    w = V.weather_raw(spark, sf).withColumn("extra", F.lit(1))
+    return P.align_columns(w, ["Env", "w1", "w2", "ord", "w3"], fill=0)
+
+
+@query
+def build_keys(spark, sf):
+    t = V.trial(spark, sf)
+    return t.select("Hybrid", "Env", "Field_Location",
+                    build_key("Hybrid", "Env", sep="|").alias("hybrid_env_bar"),
+                    build_key("Hybrid", "Env").alias("hybrid_env"),
+                    build_key("Hybrid", "Field_Location").alias("hybrid_field"))
+
+
+@query
+def split_env(spark, sf):
     w = V.weather_raw(spark, sf)
-    return w.withColumn("Env", recode("Env", V.FIXTURE_RECODE))
+    return w.select("ord", "Env", *split_key("Env"))
+
+
+@query
+def strip_prefix(spark, sf):
+    t = V.trial(spark, sf)
+    coef = F.concat(F.lit("Hybrid"), F.col("Hybrid"))
+    return t.select("Hybrid", coef.alias("coef_name"), strip_pattern(coef, "Hybrid").alias("stripped"))
+
+
+@query
+def round_half_even(spark, sf):
+    t = V.trial(spark, sf)
+    half = F.col("Yield_Mg_ha") / 2
+    return t.select("Yield_Mg_ha", half.alias("half"), K.round_half_even(half).alias("rounded"))
+
+
+# ---------------------------------------------------------------- filters
+
+@query
+def filter_years(spark, sf):
+    return FL.filter_in(V.trial(spark, sf), "Year", PH.TRAIN_YEARS)
+
+
+@query
+def filter_not_years(spark, sf):
+    return FL.filter_not_in(V.trial(spark, sf), "Year", [2017, 2018])
+
+
+@query
+def drop_sparse_rows(spark, sf):
+    joined = V.trial(spark, sf).join(V.meta(spark, sf), "Env", "left")
+    return FL.drop_sparse_rows(joined)
+
+
+@query
+def drop_missing_trait(spark, sf):
+    return FL.drop_missing(V.trial(spark, sf), "Yield_Mg_ha")
+
+
+@query
+def exclude_pattern(spark, sf):
+    return FL.exclude_pattern(V.trial(spark, sf), "Hybrid", "H1")
+
+
+@query
+def semi_locations(spark, sf):
+    return FL.semi_join_keys(V.trial(spark, sf), _locations(spark, sf), "Field_Location")
+
+
+@query
+def semi_weather(spark, sf):
+    return FL.semi_join_keys(V.weather_raw(spark, sf), V.meta(spark, sf), "Env")
+
+
+# ---------------------------------------------------------------- joins
+
+@query
+def join_weather(spark, sf):
+    return FE.features_weather(_plots(spark, sf), V.weather_raw(spark, sf), MEASURES,
+                               V.FIXTURE_RECODE)
+
+
+@query
+def join_meta(spark, sf):
+    return _plots(spark, sf).join(V.meta(spark, sf), "Env", "left")
+
+
+@query
+def join_feature_blocks(spark, sf):
+    """Metadata block inner-joined with the (one row per key) weather block."""
+    pheno = _pheno(spark, sf)
+    meta_b = FE.features_meta(pheno, V.meta(spark, sf), _locations(spark, sf))
+    wb = FE.features_weather(pheno, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
+    return MX.assemble(meta_b, wb, None, "Hybrid_Env", MX.TRAIN_KEYS)
+
+
+@query
+def join_geno(spark, sf):
+    """Phenotype rows left-joined with imputed genotype arrays (per-row marker sum / count)."""
+    g = _geno_imputed(spark, sf)
+    j = _pheno(spark, sf).join(g, "Hybrid", "left")
+    return j.select("Hybrid_Env", "Hybrid", "Env", "Yield_Mg_ha",
+                    F.aggregate("dosage", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+                     .alias("geno_sum"),
+                    F.size(F.filter("dosage", lambda x: x.isNotNull())).alias("geno_n"))
+
+
+# ---------------------------------------------------------------- aggregates
+
+@query
+def weather_mean_strict(spark, sf):
+    return FE.weather_means(V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE, na_rm=False)
+
+
+@query
+def weather_mean_skipna(spark, sf):
+    return FE.weather_means(V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE, na_rm=True)
+
+
+@query
+def replicate_counts(spark, sf):
+    return TS.site_levels(V.trial(spark, sf), ["Year", "Field_Location"], "Replicate", "Yield_Mg_ha")
+
+
+@query
+def first_per_env(spark, sf):
+    return A.first_per_key(V.weather_raw(spark, sf), "Env", "ord")
+
+
+@query
+def distinct_locations(spark, sf):
+    return A.distinct_values(V.trial(spark, sf), "Field_Location")
+
+
+@query
+def column_profile(spark, sf):
+    return A.column_profile(V.trial(spark, sf), ["Year", "Replicate", "Block", "Yield_Mg_ha"])
+
+
+@query
+def null_counts(spark, sf):
+    return A.null_counts(join_meta(spark, sf))
+
+
+@query
+def geno_null_cells(spark, sf):
+    return A.array_null_cells(_geno_imputed(spark, sf), "dosage")
 
 
+@query
+def table_shape(spark, sf):
+    parts = [A.table_shape(V.trial(spark, sf), "trial"),
+             A.table_shape(V.weather_raw(spark, sf), "weather"),
+             A.table_shape(V.meta(spark, sf), "meta"),
+             A.table_shape(V.geno(spark, sf), "geno")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def impute_group_mean(spark, sf):
+    return IM.impute_group_mean(join_meta(spark, sf), "Field_Location")
+
+
+@query
+def union_batches(spark, sf):
+    plots = _plots(spark, sf)
+    return TS.blue_replicated(plots).unionByName(TS.blue_single_rep(plots))
+
+
+# ---------------------------------------------------------------- trial statistics
+
 @query
 def phenotype_weather(spark: SparkSession, sf: str) -> DataFrame:
     """Minimum slice: BLUEs of replicated sites left-joined with strict weather means."""
     blues = TS.blue_replicated(_plots(spark, sf))
-    wm = A.group_mean(_weather(spark, sf), "Env", ["w1", "w2"], na_rm=False)
+    wm = A.group_mean(_weather(spark, sf), "Env", MEASURES, na_rm=False)
     return blues.join(wm, "Env", "left")
 
 
@@ -53,14 +321,9 @@ def blue_single_rep(spark, sf):
     return TS.blue_single_rep(_plots(spark, sf))
 
 
-def _pheno_env(spark, sf):
-    t = _plots(spark, sf)
-    return t.withColumn("Hybrid_Env", build_key("Hybrid", "Env", sep="|"))
-
-
 @query
 def outlier_flag(spark, sf):
-    return TS.outlier_flag(_pheno_env(spark, sf)).select(
+    return TS.outlier_flag(PH.plot_rows(V.trial(spark, sf))).select(
         "Hybrid_Env", "Hybrid", "Env", "Year", "Field_Location", "Replicate", "Block",
         "Yield_Mg_ha", "RESID", "out_flag")
 
@@ -68,3 +331,205 @@ def outlier_flag(spark, sf):
 @query
 def outlier_filter(spark, sf):
     return TS.outlier_filter(outlier_flag(spark, sf))
+
+
+@query
+def phenotype_table(spark, sf):
+    return _pheno(spark, sf)
+
+
+# ---------------------------------------------------------------- feature blocks
+
+@query
+def features_weather(spark, sf):
+    return FE.features_weather(_pheno(spark, sf), V.weather_raw(spark, sf), MEASURES,
+                               V.FIXTURE_RECODE)
+
+
+@query
+def features_ec(spark, sf):
+    return FE.features_ec(_pheno(spark, sf), V.weather_raw(spark, sf), "ord", V.FIXTURE_RECODE)
+
+
+@query
+def features_meta(spark, sf):
+    return FE.features_meta(_pheno(spark, sf), V.meta(spark, sf), _locations(spark, sf))
+
+
+@query
+def features_soil(spark, sf):
+    return FE.features_soil(_pheno(spark, sf), V.meta(spark, sf), SOIL_DROP_POSITIONS,
+                            exclude_years=SOIL_EXCLUDE_YEARS)
+
+
+@query
+def test_features_weather(spark, sf):
+    return FE.test_features_weather(_test(spark, sf), V.weather_raw(spark, sf), MEASURES,
+                                    V.FIXTURE_RECODE)
+
+
+@query
+def test_features_ec(spark, sf):
+    return FE.test_features_ec(_test(spark, sf), V.weather_raw(spark, sf), "ord")
+
+
+@query
+def test_features_meta(spark, sf):
+    return FE.test_features_meta(_test(spark, sf), V.meta(spark, sf), _locations(spark, sf))
+
+
+@query
+def test_features_soil(spark, sf):
+    return FE.test_features_soil(_test(spark, sf), V.weather_raw(spark, sf),
+                                 TEST_SOIL_DROP_POSITIONS, "ord")
+
+
+# ---------------------------------------------------------------- genotype codings
+
+@query
+def geno_dosage(spark, sf):
+    return _long(G.scale_dosage(V.geno(spark, sf)))
+
+
+@query
+def marker_means(spark, sf):
+    return G.marker_means(G.scale_dosage(V.geno(spark, sf)))
+
+
+@query
+def geno_impute(spark, sf):
+    return _long(_geno_imputed(spark, sf))
+
+
+@query
+def allele_freq(spark, sf):
+    return G.allele_freq(_geno_imputed(spark, sf))
+
+
+@query
+def marker_variance(spark, sf):
+    return G.marker_variance(_geno_imputed(spark, sf))
+
+
+@query
+def marker_two_pq_total(spark, sf):
+    return G.total_two_pq(_geno_imputed(spark, sf))
+
+
+@query
+def geno_additive(spark, sf):
+    return _long(G.additive_coding(_geno_imputed(spark, sf)), "z", "z")
+
+
+@query
+def geno_dominance(spark, sf):
+    return _long(G.dominance_coding(_geno_imputed(spark, sf)), "w", "w")
+
+
+# ---------------------------------------------------------------- model matrices and folds
+
+def train_wide(spark, sf, geno: str | None = "raw"):
+    pheno = _pheno(spark, sf)
+    meta_b = FE.features_meta(pheno, V.meta(spark, sf), _locations(spark, sf))
+    wb = FE.features_weather(pheno, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
+    g = _geno_variant(spark, sf, geno)
+    return MX.assemble(meta_b, wb, g, "Hybrid_Env", MX.TRAIN_KEYS,
+                       years=PH.TRAIN_YEARS if geno else None)
+
+
+def test_wide(spark, sf, geno: str | None = "raw"):
+    test = _test(spark, sf)
+    meta_t = FE.test_features_meta(test, V.meta(spark, sf), _locations(spark, sf))
+    wt = FE.test_features_weather(test, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
+    return MX.assemble(meta_t, wt, _geno_variant(spark, sf, geno), "Hybrid_Field", MX.TEST_KEYS)
+
+
+def _geno_variant(spark, sf, geno):
+    if geno is None:
+        return None
+    gi = _geno_imputed(spark, sf)
+    if geno == "raw":
+        return gi
+    if geno == "additive":
+        return G.additive_coding(gi, out="dosage")
+    if geno == "dominance":
+        return G.dominance_coding(gi, out="dosage")
+    raise ValueError(geno)
+
+
+def _train_long(df):
+    feats = MX.feature_columns(df, MX.TRAIN_KEYS)
+    return MX.to_long(df, ["Hybrid_Env", "Hybrid", "Env", "Year", "Yield_Mg_ha"], feats)
+
+
+@query
+def train_matrix(spark, sf):
+    return _train_long(train_wide(spark, sf, "raw"))
+
+
+@query
+def train_matrix_additive(spark, sf):
+    return _train_long(train_wide(spark, sf, "additive"))
+
+
+@query
+def train_matrix_dominance(spark, sf):
+    return _train_long(train_wide(spark, sf, "dominance"))
+
+
+@query
+def train_matrix_env(spark, sf):
+    return _train_long(train_wide(spark, sf, None))
+
+
+@query
+def test_matrix(spark, sf):
+    train = train_wide(spark, sf, "raw")
+    test = MX.align_test(test_wide(spark, sf, "raw"), train, MX.TEST_KEYS, MX.TRAIN_KEYS)
+    feats = [c for c in train.columns if c not in set(MX.TRAIN_KEYS) and c != "geno"]
+    return MX.to_long(test, ["Hybrid_Field", "Hybrid", "Env"], feats)
+
+
+@query
+def folds_leave_year_out(spark, sf):
+    return FO.leave_one_group_out(train_wide(spark, sf, None), "Year").select(
+        "Hybrid_Env", "Year", "fold")
+
+
+@query
+def folds_contiguous(spark, sf):
+    t = train_wide(spark, sf, None).select("Hybrid_Env", "Yield_Mg_ha")
+    return FO.contiguous_folds(t, ["Hybrid_Env", "Yield_Mg_ha"], k=5)
+
+
+@query
+def cv_mse(spark, sf):
+    """Leave-one-year-out MSE of the training-mean predictor, per fold."""
+    t = FO.leave_one_group_out(train_wide(spark, sf, None), "Year")
+    return FO.mean_model_cv(t, "Yield_Mg_ha")
+
+
+# ---------------------------------------------------------------- ensembles
+
+def _components(spark, sf):
+    p = V.component_predictions(spark, sf)
+    return {name: p.select("Env", "Hybrid", F.col(col).alias("Yield_Mg_ha"))
+            for name, col in (("additive", "y_add"), ("dominance", "y_dom"), ("residual", "y_env"))}
+
+
+@query
+def ensemble_weighted2(spark, sf):
+    c = _components(spark, sf)
+    return EN.weighted_ensemble({k: c[k] for k in ("additive", "dominance")},
+                                V.variance_weights(spark))
+
+
+@query
+def ensemble_weighted3(spark, sf):
+    return EN.weighted_ensemble(_components(spark, sf), V.variance_weights(spark))
+
+
+@query
+def ensemble_equal(spark, sf):
+    c = _components(spark, sf)
+    return EN.equal_ensemble({k: c[k] for k in ("additive", "dominance")})

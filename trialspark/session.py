@@ -24,6 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # local mode runs executors inside the driver JVM
+    "spark.driver.memory": "8g",
 }
 
 
@@ -69,12 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (an action).
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back (an action).
 
-    Used before iterative work (cross-validation fits) so each fit reads the
-    checkpointed matrix instead of recomputing the whole pipeline, and so a
-    lost executor only costs re-reading checkpoint files.
+    Cuts lineage at stage boundaries: later stages plan against a file scan
+    (with real size statistics for AQE) instead of re-deriving the stage, a
+    lost executor costs re-reading files rather than recomputing upstream
+    stages, and iterative work (model search) reads the written table.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
