@@ -22,6 +22,7 @@ from trialspark.operators import impute as IM
 from trialspark.plans import features as FE
 from trialspark.plans import folds as FO
 from trialspark.plans import matrices as MX
+from trialspark.plans import model as MD
 from trialspark.plans import phenotype as PH
 from trialspark.session import scratch_path
 from trialspark.sources import fixtures as V
@@ -533,3 +534,41 @@ def ensemble_weighted3(spark, sf):
 def ensemble_equal(spark, sf):
     c = _components(spark, sf)
     return EN.equal_ensemble({k: c[k] for k in ("additive", "dominance")})
+
+
+# ---------------------------------------------------------------- search, fit, predict (rows-only)
+
+# quick-check budget for registered queries: 2 sampled candidates, <= 5 trees per fit
+QUICK_BUDGET = MD.Budget(n_iter=2, max_trees=5, parallelism=2)
+
+
+def _fit_predict(spark, sf, geno, kind, fold_scheme, space, budget=QUICK_BUDGET):
+    train = train_wide(spark, sf, geno)
+    if fold_scheme == "loyo":
+        train = MD.loyo(train)
+    else:
+        train = MD.contiguous(train, ["Hybrid_Env", "Yield_Mg_ha"])
+    keys = MX.TRAIN_KEYS + ["fold"]
+    data = MD.prepare(train, test_wide(spark, sf, geno), keys, MX.TEST_KEYS)
+    model, _ = MD.search_and_fit(data, space, kind, budget)
+    return MD.predict(model, data.test)
+
+
+@query
+def submission(spark, sf):
+    """Boosted trees on metadata + weather + marker dosage, leave-one-year-out search."""
+    return _fit_predict(spark, sf, "raw", "boosted", "loyo", MD.BOOSTED_SPACE)
+
+
+@query
+def submission_env(spark, sf):
+    """Boosted trees on metadata + weather only, 5 contiguous folds."""
+    return _fit_predict(spark, sf, None, "boosted", "contiguous", MD.ENV_ONLY_SPACE)
+
+
+@query
+def ensemble_learners(spark, sf):
+    """Equal-weight average of a boosted and a forest model on the same matrix."""
+    a = _fit_predict(spark, sf, "raw", "boosted", "loyo", MD.BOOSTED_SPACE)
+    b = _fit_predict(spark, sf, "raw", "forest", "contiguous", MD.LEAF_WISE_SPACE)
+    return EN.equal_ensemble({"boosted": a, "forest": b})
