@@ -58,36 +58,50 @@ class FixedEffectFit:
 
 def _solve_schema(batch_fields: list[T.StructField]) -> T.StructType:
     return T.StructType(batch_fields + [T.StructField("_l", T.LongType()),
-                                        T.StructField("_beta", T.DoubleType())])
+                                        T.StructField("_beta", T.DoubleType()),
+                                        T.StructField("_b", T.DoubleType())])
 
 
 def _make_solver(batch: list[str]):
+    """Per-batch solve of the k x k normal equations (k = levels - 1).
+
+    Input rows are the batch's moment rows (kind, l, m, v).  Contrasts are
+    taken in level order; a contrast whose residual sum of squares, after
+    the cells and the earlier kept contrasts, falls below tol^2 * n_l is
+    aliased and gets beta = 0.
+    """
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = sorted(set(pdf["_l"]))
-        pos = {lv: i for i, lv in enumerate(levels)}
-        k = len(levels)
+        levels = sorted(set(pdf.loc[pdf["_k"] == "n", "_l"]))
+        contrasts = levels[1:]
+        pos = {lv: i for i, lv in enumerate(contrasts)}
+        k = len(contrasts)
         S = np.zeros((k, k))
         b = np.zeros(k)
         N = np.zeros(k)
-        for l, m, s, bl, nl in zip(pdf["_l"], pdf["_m"], pdf["_S"], pdf["_b"], pdf["_Nl"]):
-            S[pos[l], pos[m]] = s
-            if l == m:
-                b[pos[l]] = bl
-                N[pos[l]] = nl
+        for kind, l, m, v in zip(pdf["_k"], pdf["_l"], pdf["_m"], pdf["_v"]):
+            if l not in pos:
+                continue
+            if kind == "b":
+                b[pos[l]] = v
+            elif kind == "n":
+                N[pos[l]] = v
+                S[pos[l], pos[l]] += v
+            elif kind == "P" and m in pos:
+                S[pos[l], pos[m]] -= v
         kept: list[int] = []
         for j in range(k):
             r = S[j, j]
             if kept:
-                Skk = S[np.ix_(kept, kept)]
-                r = r - S[j, kept] @ np.linalg.solve(Skk, S[kept, j])
+                r = r - S[j, kept] @ np.linalg.solve(S[np.ix_(kept, kept)], S[kept, j])
             if r > 0 and r >= (QR_TOL ** 2) * N[j]:
                 kept.append(j)
         beta = np.zeros(k)
         if kept:
             beta[kept] = np.linalg.solve(S[np.ix_(kept, kept)], b[kept])
-        out = pd.DataFrame({"_l": np.array(levels, dtype="int64"), "_beta": beta})
-        for c in batch:
-            out.insert(len(out.columns) - 2, c, pdf[c].iloc[0])
+        out = pd.DataFrame({"_l": np.array(contrasts, dtype="int64"), "_beta": beta, "_b": b})
+        for i, c in enumerate(batch):
+            out.insert(i, c, pdf[c].iloc[0])
         return out
 
     return solve
@@ -121,9 +135,11 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
 
     Rows with NULL trait or NULL factor are excluded; ``factor`` must be integral.
 
-    This is a fit step with two actions: the per-cell statistics and the
-    per-batch moments are written to the shared checkpoint folder (one pass
-    over ``df``), so the returned frames plan against small file scans.
+    This is a fit step with actions: the per-cell statistics (one pass over
+    ``df``), the per-batch solution (tiny) are
+    written to the shared checkpoint folder, so the returned frames plan
+    against file scans whose real sizes drive AQE's join choice (the
+    per-batch table has one row per batch and is broadcast when small).
     """
     batch, cell = list(batch), list(cell)
     keys = batch + cell
@@ -139,54 +155,60 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
              F.collect_list(F.struct("_lv", "_n", "_sy")).alias("_levels")),
         "fe_cells")
 
-    contrib = materialize(
-        cells.select(*batch, _contributions(batch))
-        .groupBy(*batch, F.col("_c.k").alias("_k"), F.col("_c.l").alias("_l"),
-                 F.col("_c.m").alias("_m"))
-        .agg(F.sum("_c.v").alias("_v")),
-        "fe_moments")
-
-    kind = F.col("_k")
-    scal = contrib.filter(kind.isin("T", "N")).groupBy(*batch).agg(
-        F.sum(F.when(kind == "T", F.col("_v"))).alias("_T"),
-        F.sum(F.when(kind == "N", F.col("_v"))).cast("long").alias("_N"))
-    lin = (contrib.filter(kind.isin("b", "n")).groupBy(*batch, "_l")
-           .agg(F.sum(F.when(kind == "b", F.col("_v"))).alias("_b"),
-                F.sum(F.when(kind == "n", F.col("_v"))).alias("_Nl")))
-    # reference level (smallest present) and number of levels per batch
-    batches = scal.join(lin.groupBy(*batch).agg(F.min("_l").alias("_ref"),
-                                                F.count(F.lit(1)).alias("_nlev")), batch)
-    pairs = contrib.filter(kind == "P").select(*batch, "_l", "_m", F.col("_v").alias("_P"))
-
-    system = (pairs.join(lin, batch + ["_l"])
-              .join(batches.select(*batch, "_ref", "_nlev"), batch)
-              .filter((F.col("_l") != F.col("_ref")) & (F.col("_m") != F.col("_ref")))
-              .select(*batch, "_l", "_m", "_nlev", "_b", "_Nl",
-                      F.when(F.col("_l") == F.col("_m"), F.col("_Nl") - F.col("_P"))
-                       .otherwise(-F.col("_P")).alias("_S")))
-
-    # k = 1: closed form, aliased when the within-cell contrast has no variance
-    s1 = system.filter(F.col("_nlev") == 2)
-    beta1 = s1.select(*batch, "_l", F.when(
-        (F.col("_S") > 0) & (F.col("_S") >= F.lit(QR_TOL ** 2) * F.col("_Nl")),
-        F.col("_b") / F.col("_S")).otherwise(F.lit(0.0)).alias("_beta"))
-    # k > 1: tiny per-batch solve in pandas (a few rows per batch)
+    contrib = (cells.select(*batch, _contributions(batch))
+               .groupBy(*batch, F.col("_c.k").alias("_k"), F.col("_c.l").alias("_l"),
+                        F.col("_c.m").alias("_m"))
+               .agg(F.sum("_c.v").alias("_v")))
+
+    # one row per batch: scalar moments plus per-level maps (bounded by the level count)
+    kind, l, v = F.col("_k"), F.col("_l"), F.col("_v")
+    per_batch = contrib.groupBy(*batch).agg(
+        F.sum(F.when(kind == "T", v)).alias("_T"),
+        F.sum(F.when(kind == "N", v)).cast("long").alias("_N"),
+        F.map_from_entries(F.collect_list(F.when(kind == "b", F.struct(l, v)))).alias("_bm"),
+        F.map_from_entries(F.collect_list(F.when(kind == "n", F.struct(l, v)))).alias("_nm"),
+        F.collect_list(F.when(kind == "P", F.struct(l.alias("l"), F.col("_m").alias("m"),
+                                                   v.alias("v")))).alias("_pairs"))
+    levels = F.array_sort(F.map_keys("_nm"))
+    per_batch = per_batch.select(*batch, "_T", "_N", "_bm", "_nm", "_pairs",
+                                 F.size(levels).alias("_nlev"), F.get(levels, 1).alias("_l1"))
+
+    # k <= 1: closed form on the JVM (aliased when the contrast has no within-cell variance)
+    l1 = F.col("_l1")
+    p11 = F.aggregate(F.filter("_pairs", lambda x: (x["l"] == l1) & (x["m"] == l1)),
+                      F.lit(0.0), lambda a, x: a + x["v"])
+    k1 = per_batch.filter(F.col("_nlev") <= 2).select(
+        *batch, "_T", "_N", "_nlev", "_l1", F.element_at("_nm", l1).alias("_n1"),
+        F.element_at("_bm", l1).alias("_b1"), (F.element_at("_nm", l1) - p11).alias("_s1"))
+    s1, n1, b1 = F.col("_s1"), F.col("_n1"), F.col("_b1")
+    k1 = k1.withColumn("_beta1", F.when((s1 > 0) & (s1 >= F.lit(QR_TOL ** 2) * n1), b1 / s1)
+                       .otherwise(F.lit(0.0)))
+    two = F.col("_nlev") == 2
+    small = k1.select(
+        *batch, "_T", "_N", "_nlev",
+        F.when(two, F.create_map(l1, F.col("_beta1")))
+         .otherwise(F.create_map().cast("map<bigint,double>")).alias("_bmap"),
+        F.when(two, F.col("_beta1") * b1).otherwise(F.lit(0.0)).alias("_fit_ss"))
+
+    # k > 1: per-batch solve in pandas over that batch's moment rows (a few rows per batch)
+    big = per_batch.filter(F.col("_nlev") > 2).select(*batch, "_T", "_N", "_nlev")
     batch_fields = [df.schema[c] for c in batch]
-    sk = system.filter(F.col("_nlev") > 2)
-    betak = (sk.groupBy(*batch)
-             .applyInPandas(_make_solver(batch), _solve_schema(batch_fields)))
-    beta = beta1.unionByName(betak)
-
-    bsum = (beta.join(lin, batch + ["_l"])
-            .groupBy(*batch)
-            .agg(F.map_from_entries(F.collect_list(F.struct("_l", "_beta"))).alias("_bmap"),
-                 F.sum(F.col("_beta") * F.col("_b")).alias("_fit_ss")))
-    batches = (batches.join(bsum, batch, "left")
-               .withColumn("_fit_ss", F.coalesce("_fit_ss", F.lit(0.0)))
-               .withColumn("_rss", F.greatest(F.col("_T") - F.col("_fit_ss"), F.lit(0.0)))
-               .withColumn("_sd", F.when(F.col("_N") > 1,
-                                         F.sqrt(F.col("_rss") / (F.col("_N") - 1))))
-               .drop("_fit_ss"))
+    betak = (contrib.join(big.select(*batch), batch, "left_semi")
+             .groupBy(*batch).applyInPandas(_make_solver(batch), _solve_schema(batch_fields)))
+    solved = (betak.groupBy(*batch).agg(
+        F.map_from_entries(F.collect_list(F.struct("_l", "_beta"))).alias("_bmap"),
+        F.sum(F.col("_beta") * F.col("_b")).alias("_fit_ss")))
+    large = big.join(solved, batch, "left").select(
+        *batch, "_T", "_N", "_nlev",
+        F.coalesce("_bmap", F.create_map().cast("map<bigint,double>")).alias("_bmap"),
+        F.coalesce("_fit_ss", F.lit(0.0)).alias("_fit_ss"))
+
+    batches = materialize(
+        small.unionByName(large)
+        .withColumn("_rss", F.greatest(F.col("_T") - F.col("_fit_ss"), F.lit(0.0)))
+        .withColumn("_sd", F.when(F.col("_N") > 1, F.sqrt(F.col("_rss") / (F.col("_N") - 1))))
+        .drop("_fit_ss"),
+        "fe_batches")
 
     nc, syc = F.col("_n").cast("double"), F.col("_sy")
     bmap = F.col("_bmap")
