@@ -250,6 +250,7 @@ def queries() -> dict[str, str]:
     q["project_trial"] = with_(V_TRIAL) + "select Hybrid, Env, Year, Yield_Mg_ha from trial"
     q["drop_positions"] = with_(V_META) + "select Env, lon, m3, m4, m5, m6, m7 from meta"
     q["cast_numeric"] = with_(V_WEATHER_RAW) + "select ord, Env, w1 from weather_raw"
+    q["select_measures"] = with_(V_WEATHER_RAW) + "select Env, w1, w2 from weather_raw"
     q["recode_env"] = with_(*W) + "select * from weather"
     q["align_columns"] = with_(V_WEATHER_RAW) + "select Env, w1, w2, ord, 0 as w3 from weather_raw"
     q["build_keys"] = with_(V_TRIAL) + """select Hybrid, Env, Field_Location,
@@ -326,6 +327,8 @@ def queries() -> dict[str, str]:
     q["blue_single_rep"] = with_(V_TRIAL, single_rep_ctes("trial")) + "select * from s_single"
     q["outlier_flag"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag"
     q["outlier_filter"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag where out_flag = 0"
+    q["residual_sd"] = with_(V_TRIAL, outlier_ctes("trial")) + \
+        "select Year, stddev_samp(RESID) as resid_sd, count(*) as n from o_r group by Year"
     q["phenotype_table"] = with_(*pheno_ctes()) + "select * from pheno"
 
     # feature blocks

@@ -11,7 +11,7 @@ from trialspark.operators import filters as FL
 from trialspark.operators import genotype as G
 from trialspark.operators import projection as P
 from trialspark.operators.impute import impute_group_mean
-from trialspark.operators.ordering import with_row_index
+from trialspark.operators.ordering import with_row_index, with_weighted_start
 
 
 def test_strict_vs_skip_mean(spark):
@@ -149,3 +149,14 @@ def test_weighted_ensemble(spark):
     assert [(r["Hybrid"], r["Yield_Mg_ha"]) for r in got] == [("H", 9.0)]
     eq = EN.equal_ensemble({"additive": a, "dominance": d}).collect()
     assert [(r["Hybrid"], r["Yield_Mg_ha"]) for r in eq] == [("H", 7.5)]
+
+
+def test_weighted_start_is_a_prefix_sum(spark):
+    rows = [(k, (k * 37) % 11 + 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, w long")
+    got = sorted((r["k"], r["start"]) for r in with_weighted_start(df, ["k"], "w", "start").collect())
+    acc, want = 0, []
+    for k, w in rows:
+        want.append((k, acc))
+        acc += w
+    assert got == want

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.operators.ordering import with_row_index
+from trialspark.operators.ordering import with_weighted_start
 
 
 def group_mean(df: DataFrame, by: Sequence[str] | str, cols: Sequence[str],
@@ -73,10 +73,12 @@ def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``summary()`` per numeric column: min, q1, median, mean, q3, max, na_count.
 
-    Quantiles are exact with linear interpolation between order statistics
-    (R type 7).  They are found by a distributed sort (range partitioning)
-    and a global row index, never by collecting a column into one task.
-    Output one row per column: column, min, q1, median, mean, q3, max, na_count.
+    Quantiles are exact, interpolated linearly between order statistics (R
+    type 7).  Values are first counted per (column, value) with a partial
+    aggregate (a repeated value, however hot, becomes one row), the distinct
+    values are range-sorted, and each gets the rank interval it covers; the
+    needed order statistics are picked from those intervals.  Nothing is
+    collected into one task.  Output one row per column.
     """
     cols = list(cols) if cols else _numeric_columns(df)
     long = unpivot_values(df, cols)
@@ -84,22 +86,26 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
         F.count("value").alias("_n"),
         F.sum(F.col("value").isNull().cast("long")).alias("na_count"))
-    vals = long.filter(F.col("value").isNotNull())
-    ranked = with_row_index(vals, ["column", "value"], "_g")
-    starts = ranked.groupBy("column").agg(F.min("_g").alias("_g0"))
-    ranked = ranked.join(starts, "column").withColumn("_r", F.col("_g") - F.col("_g0"))
+    counts = (long.filter(F.col("value").isNotNull())
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_cnt")))
+    ranked = with_weighted_start(counts, ["column", "value"], "_cnt", "_start")
+    col_start = ranked.groupBy("column").agg(F.min("_start").alias("_c0"))
 
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    # positions needed per column: floor/ceil of (n-1)p
-    need = basic.select("column", "_n", *[
-        (F.col("_n") - 1).cast("double").__mul__(p).alias(f"_h_{k}") for k, p in probs.items()])
-    pos = need.select("column", F.explode(F.array(*[
-        F.array(F.floor(f"_h_{k}"), F.ceil(f"_h_{k}")) for k in probs])).alias("_p"))
-    pos = pos.select("column", F.explode("_p").alias("_r")).distinct()
-    picked = ranked.join(pos, ["column", "_r"], "left_semi").select("column", "_r", "value")
+    need = basic.select("column", *[
+        ((F.col("_n") - 1).cast("double") * p).alias(f"_h_{k}") for k, p in probs.items()])
+    need = need.select("column", *[f"_h_{k}" for k in probs], F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(f"_h_{k}"), F.ceil(f"_h_{k}")) for k in probs]))).alias("_ranks"))
+    # rows whose rank interval [r0, r0 + cnt) contains a needed rank (<= 6 per column)
+    picked = (ranked.join(col_start, "column").join(need.select("column", "_ranks"), "column")
+              .select("column", "value", (F.col("_start") - F.col("_c0")).alias("_r0"), "_cnt",
+                      "_ranks")
+              .select("column", "value", F.explode(F.filter(
+                  "_ranks", lambda r: (r >= F.col("_r0")) & (r < F.col("_r0") + F.col("_cnt"))))
+                      .alias("_r")))
     order_stats = picked.groupBy("column").agg(
         F.map_from_entries(F.collect_list(F.struct("_r", "value"))).alias("_os"))
-    out = basic.join(need, ["column", "_n"]).join(order_stats, "column", "left")
+    out = basic.join(need, "column").join(order_stats, "column", "left")
     for k in probs:
         h = F.col(f"_h_{k}")
         lo = F.element_at("_os", F.floor(h))

@@ -241,6 +241,14 @@ def outlier_flag(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str]
     return out.select(*df.columns, "RESID", flag.cast("int").alias("out_flag"))
 
 
+def residual_sd(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str] = ("Hybrid_Env",),
+                factor: str = "Replicate", batch: Sequence[str] = ("Year",)) -> DataFrame:
+    """Sample standard deviation of the fixed-effect residuals per batch: (batch..., resid_sd, n)."""
+    batch = list(batch)
+    fit = fit_cell_factor_model(df, trait, cell, factor, batch)
+    return fit.batches.select(*batch, F.col("_sd").alias("resid_sd"), F.col("_N").alias("n"))
+
+
 def outlier_filter(flagged: DataFrame) -> DataFrame:
     """Keep rows with ``out_flag = 0``."""
     return flagged.filter(F.col("out_flag") == 0)

@@ -119,6 +119,13 @@ def cast_numeric(spark, sf):
     return P.cast_numeric(txt, ["w1"])
 
 
+@query
+def select_measures(spark, sf):
+    """Weather measures by position (columns 3..4 of the weather table) with the Env key."""
+    w = V.weather_raw(spark, sf)
+    return w.select("Env", *P.select_positions(w, 3, 4).columns)
+
+
 @query
 def recode_env(spark, sf):
     return _weather(spark, sf)
@@ -329,6 +336,11 @@ def outlier_flag(spark, sf):
         "Yield_Mg_ha", "RESID", "out_flag")
 
 
+@query
+def residual_sd(spark, sf):
+    return TS.residual_sd(PH.plot_rows(V.trial(spark, sf)))
+
+
 @query
 def outlier_filter(spark, sf):
     return TS.outlier_filter(outlier_flag(spark, sf))
