@@ -41,9 +41,16 @@ def ec_first(ec: DataFrame, recode_map: Mapping[str, str] | None, order: str) ->
 
 def features_ec(pheno: DataFrame, ec: DataFrame, order: str,
                 recode_map: Mapping[str, str] | None = None,
-                max_missing: float = 0.5) -> DataFrame:
-    """Phenotype rows + first EC row per Env, then drop rows missing >= half their cells."""
-    joined = pheno.join(ec_first(ec, recode_map, order), "Env", "left")
+                max_missing: float = 0.5, keep_order: bool = True) -> DataFrame:
+    """Phenotype rows + first EC row per Env, then drop rows missing >= half their cells.
+
+    ``keep_order=False`` drops the order column before the filter (when it is a
+    file-position column added by the reader rather than a column of the table).
+    """
+    block = ec_first(ec, recode_map, order)
+    if not keep_order:
+        block = block.drop(order)
+    joined = pheno.join(block, "Env", "left")
     return FL.drop_sparse_rows(joined, max_missing)
 
 
@@ -91,8 +98,8 @@ def test_features_weather(test: DataFrame, weather: DataFrame, measures: Sequenc
 
 
 def test_features_ec(test: DataFrame, ec: DataFrame, order: str,
-                     max_missing: float = 0.5) -> DataFrame:
-    return features_ec(test, ec, order, None, max_missing)
+                     max_missing: float = 0.5, keep_order: bool = True) -> DataFrame:
+    return features_ec(test, ec, order, None, max_missing, keep_order)
 
 
 def test_features_meta(test: DataFrame, meta: DataFrame, locations: DataFrame,

@@ -60,6 +60,15 @@ def phenotype_table(trial: DataFrame, locations: DataFrame,
     clean = materialize(TS.outlier_filter(flagged), "clean_plots")
     for extra in extra_clean:
         clean = clean.unionByName(extra, allowMissingColumns=True)
+    return phenotype_from_clean(clean, locations, years, extra_blues, trait)
+
+
+def phenotype_from_clean(clean: DataFrame, locations: DataFrame,
+                         years: Iterable[int] | None = TRAIN_YEARS,
+                         extra_blues: Sequence[DataFrame] = (),
+                         trait: str = "Yield_Mg_ha") -> DataFrame:
+    """BLUEs (replicated sites) and plot rows (single-replicate sites) of outlier-free plots,
+    keyed, filtered and written to the shared checkpoint folder."""
     blues = TS.blue_replicated(clean, trait).unionByName(TS.blue_single_rep(clean, trait))
     for extra in extra_blues:
         blues = blues.unionByName(extra.select(*blues.columns))

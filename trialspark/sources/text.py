@@ -27,9 +27,45 @@ def normalize_nan(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def detect_separator(spark: SparkSession, path: str, candidates: str = "\t,;") -> str:
+    """Separator of a delimited file: the candidate most frequent in its first line.
+
+    Spaces are not candidates (column names may contain them); tab is the default.
+    """
+    row = spark.read.text(path).first()
+    line = row["value"] if row else ""
+    best = max(candidates, key=line.count)
+    return best if line.count(best) else "\t"
+
+
+def header_columns(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[str], str]:
+    """Column names from the first line (one line read), and the separator used."""
+    sep = sep or detect_separator(spark, path)
+    row = spark.read.text(path).first()
+    return (row["value"].split(sep) if row else []), sep
+
+
+def schema_from_header(spark: SparkSession, path: str, strings=(), ints=(),
+                       sep: str | None = None) -> tuple[T.StructType, str]:
+    """Declared schema for a wide table: named text / integer columns, every other column double.
+
+    Avoids an inference pass over the data for tables with hundreds of measures.
+    """
+    names, sep = header_columns(spark, path, sep)
+    fields = []
+    for n in names:
+        t = T.StringType() if n in set(strings) else T.IntegerType() if n in set(ints) else T.DoubleType()
+        fields.append(T.StructField(n, t, True))
+    return T.StructType(fields), sep
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str,
-                   sep: str = "\t", na: str = "NA", header: bool = True) -> DataFrame:
-    """Read delimited text with a declared schema; ``na`` and empty numerics -> NULL."""
+                   sep: str | None = "\t", na: str = "NA", header: bool = True) -> DataFrame:
+    """Read delimited text with a declared schema; ``na`` and empty numerics -> NULL.
+
+    ``sep=None`` detects the separator from the first line.
+    """
+    sep = sep or detect_separator(spark, path)
     df = (spark.read.schema(schema)
           .option("header", header).option("sep", sep).option("nullValue", na)
           .option("nanValue", "NaN").option("mode", "PERMISSIVE")
