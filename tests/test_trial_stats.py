@@ -128,3 +128,34 @@ def test_missing_trait_and_replicate_rows_are_excluded(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     ids = {r["id"] for r in TS.outlier_flag(df).collect()}
     assert 1000 not in ids and 1001 not in ids and len(ids) == 40
+
+
+def test_hot_cell_with_a_third_of_the_rows(spark):
+    """One cell holds a third of all rows; the skew-split sort-merge join still gives exact residuals."""
+    rows = random_design(11, n_cells=10, n_levels=2, n_rows=600, years=(2020,))
+    rng = np.random.default_rng(3)
+    hot = [(10_000 + k, 2020, "L1", "H0", "L1_2020", "H0|L1_2020", int(rng.integers(1, 3)),
+            float(12 + rng.normal(0, 1))) for k in range(300)]
+    rows = rows + hot
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = {r["id"]: (r["RESID"], r["out_flag"]) for r in TS.outlier_flag(df).collect()}
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    want = dense_resid(rows)
+    assert set(got) == set(want)
+    for k, (e, f) in want.items():
+        assert got[k][0] == pytest.approx(e, abs=1e-8)
+        assert got[k][1] == f

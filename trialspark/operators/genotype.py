@@ -7,8 +7,9 @@ sends at most one row per marker), then gathered into a single row holding
 an array of ``m`` doubles.  That row's size is bounded by the marker count
 (8 bytes per marker, not by the number of hybrids), so it is broadcast and
 applied with ``transform(values, (x, i) -> f(x, stat[i]))`` inside codegen.
-Beyond ~10^6 markers, split the arrays into marker blocks and run the same
-operators per block.
+Beyond ``MAX_BROADCAST_MARKERS`` (checked with one aggregate) the same
+codings run in long form: cells joined with the statistics on the marker
+index, arrays rebuilt per hybrid.
 
 Codings (values 0/1/2 = copies of the counted allele, p = its frequency):
   additive   z = x - 2p, missing -> 0
@@ -64,50 +65,73 @@ def marker_vector(stats: DataFrame, value: str, name: str | None = None) -> Data
         lambda s: s["v"]).alias(name))
 
 
-def _with_vector(g: DataFrame, vec: DataFrame) -> DataFrame:
-    # vec is exactly one row (a global aggregate): a proven-size broadcast
-    return g.crossJoin(F.broadcast(vec))
+# Broadcast bound for the per-marker vector: one double per marker (16 MB at the bound).
+MAX_BROADCAST_MARKERS = 2_000_000
 
 
-def impute_markers(g: DataFrame, col: str = "dosage") -> DataFrame:
+def marker_count(g: DataFrame, col: str = "dosage") -> int:
+    """Length of the marker arrays (an action over one aggregate value)."""
+    return int(g.agg(F.max(F.size(col)).alias("m")).first()["m"] or 0)
+
+
+def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out: str, fn,
+                      max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+    """out = transform(col, (x, i) -> fn(x, stat[i])) with per-marker ``stats`` (i, stat).
+
+    Up to ``max_broadcast`` markers the statistics travel as one broadcast row
+    (one double per marker, checked here); beyond it the cells are exploded,
+    joined with the statistics on the marker index (a shuffle join) and each
+    hybrid's array is rebuilt from its own cells.
+    """
+    m = marker_count(g, col)
+    if m <= max_broadcast:
+        vec = marker_vector(stats, stat, "_stat")
+        res = g.crossJoin(F.broadcast(vec)).withColumn(
+            out, F.transform(col, lambda x, i: fn(x, F.element_at("_stat", i + 1))))
+        return res.drop("_stat", *([col] if out != col else []))
+    keys = [c for c in g.columns if c != col]
+    cells = g.select(*keys, F.posexplode(col).alias("_i", "_x"))
+    st = stats.select(F.col("i").alias("_i"), F.col(stat).alias("_stat"))
+    coded = cells.join(st, "_i").select(*keys, "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
+    rebuilt = coded.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias(out))
+    if out == col:
+        return rebuilt
+    return g.join(rebuilt, keys).drop(col)
+
+
+def impute_markers(g: DataFrame, col: str = "dosage",
+                   max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Fill missing values with the marker mean rounded half-to-even.
 
     Markers with no observed value stay missing.
     """
     means = marker_means(g, col).withColumn("mean", F.bround("mean", 0))
-    vec = marker_vector(means, "mean", "_mu")
-    out = _with_vector(g, vec).withColumn(
-        col, F.transform(col, lambda x, i: F.coalesce(x, F.element_at("_mu", i + 1))))
-    return out.drop("_mu")
+    return apply_marker_stat(g, col, means, "mean", col, lambda x, mu: F.coalesce(x, mu),
+                             max_broadcast)
 
 
-def _allele2_vector(g_imputed: DataFrame, col: str) -> DataFrame:
-    return marker_vector(allele_freq(g_imputed, col), "p2", "_p")
+def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z",
+                    max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+    """Additive (allele-centred) coding z = x - 2p, missing -> 0; p from the imputed matrix."""
+    return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
+                             lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_broadcast)
 
 
-def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z") -> DataFrame:
-    """Additive (allele-centred) coding z = x - 2p, missing -> 0; p from the imputed matrix."""
-    vec = _allele2_vector(g_imputed, col)
-    res = _with_vector(g_imputed, vec).withColumn(out, F.transform(
-        col, lambda x, i: F.coalesce(x - F.element_at("_p", i + 1) * 2, F.lit(0.0))))
-    return res.drop("_p", *([col] if out != col else []))
+def _dominance(x, p):
+    q = F.lit(1.0) - p
+    x0 = F.coalesce(x, F.lit(0.0))
+    return (F.when(x0 == 0, p * p * -2)
+             .when(x0 == 1, p * q * 2)
+             .when(x0 == 2, q * q * -2)
+             .otherwise(F.lit(0.0)))
 
 
-def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w") -> DataFrame:
+def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w",
+                     max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Dominance-deviation coding (missing -> 0 first, then by genotype class)."""
-    vec = _allele2_vector(g_imputed, col)
-
-    def code(x, i):
-        p = F.element_at("_p", i + 1)
-        q = F.lit(1.0) - p
-        x0 = F.coalesce(x, F.lit(0.0))
-        return (F.when(x0 == 0, p * p * -2)
-                 .when(x0 == 1, p * q * 2)
-                 .when(x0 == 2, q * q * -2)
-                 .otherwise(F.lit(0.0)))
-
-    res = _with_vector(g_imputed, vec).withColumn(out, F.transform(col, code))
-    return res.drop("_p", *([col] if out != col else []))
+    return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
+                             _dominance, max_broadcast)
 
 
 def marker_variance(g_imputed: DataFrame, col: str = "dosage") -> DataFrame:
