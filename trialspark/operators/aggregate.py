@@ -97,7 +97,9 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     need = need.select("column", *[f"_h_{k}" for k in probs], F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(f"_h_{k}"), F.ceil(f"_h_{k}")) for k in probs]))).alias("_ranks"))
     # rows whose rank interval [r0, r0 + cnt) contains a needed rank (<= 6 per column)
-    picked = (ranked.join(col_start, "column").join(need.select("column", "_ranks"), "column")
+    # col_start and need have one row per profiled column: bounded, broadcast
+    picked = (ranked.join(F.broadcast(col_start), "column")
+              .join(F.broadcast(need.select("column", "_ranks")), "column")
               .select("column", "value", (F.col("_start") - F.col("_c0")).alias("_r0"), "_cnt",
                       "_ranks")
               .select("column", "value", F.explode(F.filter(

@@ -49,7 +49,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx",
     """
     tagged = _tagged(df, list(order), num_partitions)
     counts = tagged.groupBy("_rix_pid").agg(F.count(F.lit(1)).alias("_rix_cnt"))
-    return (tagged.join(_offsets(counts, "_rix_cnt"), "_rix_pid")
+    # offsets: one row per range partition (bounded by the partition count)
+    return (tagged.join(F.broadcast(_offsets(counts, "_rix_cnt")), "_rix_pid")
             .withColumn(name, F.col("_rix_off") + F.col("_rix_pos"))
             .drop("_rix_pid", "_rix_pos", "_rix_off"))
 
@@ -68,6 +69,6 @@ def with_weighted_start(df: DataFrame, order: Sequence[str], weight: str, name:
               .rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum(weight).over(w), F.lit(0))
     return (tagged.withColumn("_rix_in", within)
-            .join(_offsets(totals, "_rix_w"), "_rix_pid")
+            .join(F.broadcast(_offsets(totals, "_rix_w")), "_rix_pid")
             .withColumn(name, F.col("_rix_off") + F.col("_rix_in"))
             .drop("_rix_pid", "_rix_pos", "_rix_off", "_rix_in"))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialspark.operators.joins import join_by_size
 from trialspark.session import materialize
 
 # Fixed value: relative tolerance of the pivoting QR used to detect aliased columns.
@@ -54,6 +55,7 @@ class FixedEffectFit:
 
     cells: DataFrame
     batches: DataFrame
+    cell_stats: DataFrame | None = None
 
 
 def _solve_schema(batch_fields: list[T.StructField]) -> T.StructType:
@@ -214,10 +216,11 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
     bmap = F.col("_bmap")
     shift = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + F.coalesce(
         F.element_at(bmap, x["_lv"]), F.lit(0.0)) * x["_n"])
-    cells_out = (cells.join(batches.select(*batch, "_bmap", "_sd", "_nlev"), batch)
+    # one row per batch, written above: broadcast after the size check
+    cells_out = (join_by_size(cells, batches.select(*batch, "_bmap", "_sd", "_nlev"), batch)
                  .select(*keys, "_n", ((syc - shift) / nc).alias("_alpha"),
                          "_bmap", "_sd", "_nlev"))
-    return FixedEffectFit(cells=cells_out, batches=batches)
+    return FixedEffectFit(cells=cells_out, batches=batches, cell_stats=cells)
 
 
 def outlier_flag(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str] = ("Hybrid_Env",),
@@ -232,7 +235,10 @@ def outlier_flag(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str]
     batch, cell = list(batch), list(cell)
     fit = fit_cell_factor_model(df, trait, cell, factor, batch)
     rows = df.filter(F.col(trait).isNotNull() & F.col(factor).isNotNull())
-    out = rows.join(fit.cells.select(*batch, *cell, "_alpha", "_bmap", "_sd"), batch + cell)
+    # rows x cells: the cell table (written by the fit) is broadcast only when measured small
+    # (one row per cell, so the written cell table's size bounds it)
+    out = join_by_size(rows, fit.cells.select(*batch, *cell, "_alpha", "_bmap", "_sd"), batch + cell,
+                       measured=fit.cell_stats)
     resid = (F.col(trait) - F.col("_alpha")
              - F.coalesce(F.element_at("_bmap", F.col(factor).cast("long")), F.lit(0.0)))
     out = out.withColumn("RESID", resid)

@@ -50,6 +50,6 @@ def mean_model_cv(df: DataFrame, label: str, fold: str = "fold") -> DataFrame:
     tot = per.agg(F.sum("n").alias("_tot_n"), F.sum("_fold_sum").alias("_tot_sum"))
     means = per.crossJoin(F.broadcast(tot)).select(
         fold, "n", F.try_divide(F.col("_tot_sum") - F.col("_fold_sum"), F.col("_tot_n") - F.col("n")).alias("_m"))
-    scored = df.join(means, fold)
+    scored = df.join(F.broadcast(means), fold)  # one row per fold
     err = F.col(label) - F.col("_m")
     return scored.groupBy(fold, "n").agg(F.avg(err * err).alias("mse"))
