@@ -49,7 +49,22 @@ def test_only_one_row_sides_are_cartesian(spark):
         assert "CartesianProduct" not in p, name
 
 
-@pytest.mark.parametrize("name", ["weather_mean_strict", "blue_replicated", "allele_freq"])
+@pytest.mark.parametrize("name", ["weather_mean_strict", "replicate_counts", "allele_freq",
+                                  "impute_group_mean"])
 def test_aggregates_are_partial_before_the_shuffle(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "partial_" in p, name
+
+
+def test_fit_cell_stage_is_partially_aggregated(spark, monkeypatch):
+    written = {}
+    orig = TS.materialize
+
+    def capture(df, name="stage"):
+        written[name] = plan(df)
+        return orig(df, name)
+
+    monkeypatch.setattr(TS, "materialize", capture)
+    TS.blue_replicated(V.trial(spark, SF_SMALL).filter("Yield_Mg_ha is not null"))
+    cells = written["fe_cells"]
+    assert "partial_" in cells and "Window" not in cells
