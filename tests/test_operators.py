@@ -166,10 +166,10 @@ def test_long_form_marker_path_equals_broadcast_path(spark):
     g = G.scale_dosage(_geno(spark))
     for fn in (G.impute_markers,):
         a = {r["Hybrid"]: r["dosage"] for r in fn(g).collect()}
-        b = {r["Hybrid"]: r["dosage"] for r in fn(g, max_broadcast=0).collect()}
+        b = {r["Hybrid"]: r["dosage"] for r in fn(g, max_bytes=0).collect()}
         assert a == b
     gi = G.impute_markers(g)
     for fn, out in ((G.additive_coding, "z"), (G.dominance_coding, "w")):
         a = {r["Hybrid"]: r[out] for r in fn(gi).collect()}
-        b = {r["Hybrid"]: r[out] for r in fn(gi, max_broadcast=0).collect()}
+        b = {r["Hybrid"]: r[out] for r in fn(gi, max_bytes=0).collect()}
         assert a == b

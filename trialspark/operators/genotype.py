@@ -7,9 +7,10 @@ sends at most one row per marker), then gathered into a single row holding
 an array of ``m`` doubles.  That row's size is bounded by the marker count
 (8 bytes per marker, not by the number of hybrids), so it is broadcast and
 applied with ``transform(values, (x, i) -> f(x, stat[i]))`` inside codegen.
-Beyond ``MAX_BROADCAST_MARKERS`` (checked with one aggregate) the same
-codings run in long form: cells joined with the statistics on the marker
-index, arrays rebuilt per hybrid.
+The statistics are written once and their size is checked before the
+broadcast; beyond ``MAX_BROADCAST_STATS_BYTES`` the same codings run in long
+form: cells joined with the statistics on the marker index, arrays rebuilt
+per hybrid.
 
 Codings (values 0/1/2 = copies of the counted allele, p = its frequency):
   additive   z = x - 2p, missing -> 0
@@ -21,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.operators.joins import estimated_bytes
+from trialspark.session import materialize
+
 
 def scale_dosage(g: DataFrame, col: str = "dosage", factor: float = 2.0) -> DataFrame:
     """0/0.5/1 -> 0/1/2 (multiply every marker value)."""
@@ -65,34 +69,31 @@ def marker_vector(stats: DataFrame, value: str, name: str | None = None) -> Data
         lambda s: s["v"]).alias(name))
 
 
-# Broadcast bound for the per-marker vector: one double per marker (16 MB at the bound).
-MAX_BROADCAST_MARKERS = 2_000_000
-
-
-def marker_count(g: DataFrame, col: str = "dosage") -> int:
-    """Length of the marker arrays (an action over one aggregate value)."""
-    return int(g.agg(F.max(F.size(col)).alias("m")).first()["m"] or 0)
+# Broadcast bound for the per-marker statistics, measured on the written table
+# (a few bytes per marker on disk: millions of markers fit under it).
+MAX_BROADCAST_STATS_BYTES = 32 * 1024 * 1024
 
 
 def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out: str, fn,
-                      max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+                      max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
     """out = transform(col, (x, i) -> fn(x, stat[i])) with per-marker ``stats`` (i, stat).
 
-    Up to ``max_broadcast`` markers the statistics travel as one broadcast row
-    (one double per marker, checked here); beyond it the cells are exploded,
-    joined with the statistics on the marker index (a shuffle join) and each
-    hybrid's array is rebuilt from its own cells.
+    The statistics (one row per marker) are written once to the checkpoint
+    folder and their size is checked: under ``max_bytes`` they travel as one
+    broadcast row; beyond it the cells are exploded, joined with the
+    statistics on the marker index (a shuffle join) and each hybrid's array
+    is rebuilt from its own cells.
     """
-    m = marker_count(g, col)
-    if m <= max_broadcast:
-        vec = marker_vector(stats, stat, "_stat")
+    st = materialize(stats.select("i", F.col(stat).cast("double").alias("_stat")), "marker_stats")
+    if estimated_bytes(st) <= max_bytes:
+        vec = marker_vector(st, "_stat", "_stat")
         res = g.crossJoin(F.broadcast(vec)).withColumn(
             out, F.transform(col, lambda x, i: fn(x, F.element_at("_stat", i + 1))))
         return res.drop("_stat", *([col] if out != col else []))
     keys = [c for c in g.columns if c != col]
     cells = g.select(*keys, F.posexplode(col).alias("_i", "_x"))
-    st = stats.select(F.col("i").alias("_i"), F.col(stat).alias("_stat"))
-    coded = cells.join(st, "_i").select(*keys, "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
+    coded = cells.join(st.withColumnRenamed("i", "_i"), "_i").select(
+        *keys, "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
     rebuilt = coded.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias(out))
     if out == col:
@@ -101,21 +102,21 @@ def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out:
 
 
 def impute_markers(g: DataFrame, col: str = "dosage",
-                   max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+                   max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
     """Fill missing values with the marker mean rounded half-to-even.
 
     Markers with no observed value stay missing.
     """
     means = marker_means(g, col).withColumn("mean", F.bround("mean", 0))
     return apply_marker_stat(g, col, means, "mean", col, lambda x, mu: F.coalesce(x, mu),
-                             max_broadcast)
+                             max_bytes)
 
 
 def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z",
-                    max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+                    max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
     """Additive (allele-centred) coding z = x - 2p, missing -> 0; p from the imputed matrix."""
     return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
-                             lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_broadcast)
+                             lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_bytes)
 
 
 def _dominance(x, p):
@@ -128,10 +129,10 @@ def _dominance(x, p):
 
 
 def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w",
-                     max_broadcast: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+                     max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
     """Dominance-deviation coding (missing -> 0 first, then by genotype class)."""
     return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
-                             _dominance, max_broadcast)
+                             _dominance, max_bytes)
 
 
 def marker_variance(g_imputed: DataFrame, col: str = "dosage") -> DataFrame:
