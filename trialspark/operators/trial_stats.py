@@ -285,6 +285,29 @@ def blue_replicated(df: DataFrame, trait: str = "Yield_Mg_ha",
                              F.col(year).cast("string")).alias("Env")))
 
 
+def blues_and_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
+                         site: Sequence[str] = ("Year", "Field_Location"),
+                         hybrid: str = "Hybrid", factor: str = "Replicate",
+                         env_sep: str = "_") -> tuple[DataFrame, DataFrame]:
+    """(BLUEs of replicated sites, plot rows of single-replicate sites) from one fit.
+
+    The fit's per-site table already holds each site's level count, so the
+    single-replicate sites come from it instead of a second pass over ``df``.
+    """
+    site = list(site)
+    fit = fit_cell_factor_model(df, trait, [hybrid], factor, site)
+    year, loc = site[0], site[1]
+    blues = (fit.cells.filter(F.col("_nlev") >= 2)
+             .select(year, loc, hybrid, F.col("_alpha").alias(trait),
+                     F.concat(F.col(loc).cast("string"), F.lit(env_sep),
+                              F.col(year).cast("string")).alias("Env")))
+    ones = fit.batches.filter(F.col("_nlev") == 1).select(*site)
+    single = (df.filter(F.col(trait).isNotNull())
+              .join(ones, site, "left_semi")
+              .select("Year", "Field_Location", "Hybrid", trait, "Env"))
+    return blues, single
+
+
 def blue_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
                     site: Sequence[str] = ("Year", "Field_Location"),
                     factor: str = "Replicate") -> DataFrame:

@@ -299,8 +299,8 @@ def impute_group_mean(spark, sf):
 
 @query
 def union_batches(spark, sf):
-    plots = _plots(spark, sf)
-    return TS.blue_replicated(plots).unionByName(TS.blue_single_rep(plots))
+    replicated, single = TS.blues_and_single_rep(_plots(spark, sf))
+    return replicated.unionByName(single)
 
 
 # ---------------------------------------------------------------- trial statistics

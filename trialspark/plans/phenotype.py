@@ -69,7 +69,8 @@ def phenotype_from_clean(clean: DataFrame, locations: DataFrame,
                          trait: str = "Yield_Mg_ha") -> DataFrame:
     """BLUEs (replicated sites) and plot rows (single-replicate sites) of outlier-free plots,
     keyed, filtered and written to the shared checkpoint folder."""
-    blues = TS.blue_replicated(clean, trait).unionByName(TS.blue_single_rep(clean, trait))
+    replicated, single = TS.blues_and_single_rep(clean, trait)
+    blues = replicated.unionByName(single)
     for extra in extra_blues:
         blues = blues.unionByName(extra.select(*blues.columns))
     out = blues.withColumn("Hybrid_Env", build_key("Hybrid", "Env")).select(*PHENO_COLUMNS)
