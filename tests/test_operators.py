@@ -173,3 +173,12 @@ def test_long_form_marker_path_equals_broadcast_path(spark):
         a = {r["Hybrid"]: r[out] for r in fn(gi).collect()}
         b = {r["Hybrid"]: r[out] for r in fn(gi, max_bytes=0).collect()}
         assert a == b
+
+
+def test_external_blue_table_renamed_and_keyed(spark):
+    from trialspark.plans.phenotype import PHENO_COLUMNS, phenotype_from_external
+    ext = spark.createDataFrame([("H1", "L1", 2019, "L1_2019", 7.5)],
+                                "Hybrid string, `Field.Location` string, Year int, Env string, `Yield.Mg.ha` double")
+    out = phenotype_from_external(ext)
+    assert out.columns == PHENO_COLUMNS
+    assert tuple(out.first()) == ("H1", "L1", 2019, "L1_2019", "H1_L1_2019", 7.5)
