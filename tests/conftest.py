@@ -21,9 +21,10 @@ def spark():
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", "8")
-    # tests set their own shared folder only because none is configured
-    b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trialspark-test-ckpt-"))
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    # use the configured checkpoint folder; set a private one only when none is configured
+    if not (s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trialspark-test-ckpt-"))
     yield s
     s.stop()
