@@ -33,11 +33,6 @@ def group_mean(df: DataFrame, by: Sequence[str] | str, cols: Sequence[str],
     return df.groupBy(*by).agg(*aggs)
 
 
-def distinct_count(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataFrame:
-    """Number of distinct non-null values of ``col`` per group."""
-    return df.groupBy(*by).agg(F.count_distinct(col).alias(name))
-
-
 def first_per_key(df: DataFrame, key: Sequence[str] | str, order: str) -> DataFrame:
     """First row per key in ``order`` order, all columns kept (``distinct(.keep_all)``).
 

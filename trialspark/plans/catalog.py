@@ -37,7 +37,6 @@ def query(fn):
 
 
 MEASURES = ["w1", "w2"]
-META_COLS = ["lat", "lon", "m3", "m4", "m5", "m6", "m7"]
 # fixture parameters: soil drops split columns + first measure; F2 drops one training year
 SOIL_DROP_POSITIONS = [2, 3, 4]
 SOIL_EXCLUDE_YEARS = [2019]

@@ -112,13 +112,3 @@ def test_features_soil(test: DataFrame, soil: DataFrame, drop_positions: Iterabl
     block = A.first_per_key(soil_block(soil, drop_positions), "Env", order)
     return test.join(block, "Env", "left")
 
-
-def env_features(df: DataFrame, key_cols: Sequence[str]) -> list[str]:
-    """Feature columns of a block table: everything except the key columns."""
-    return [c for c in df.columns if c not in set(key_cols)]
-
-
-def dedupe_block(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """One row per ``key`` of a per-environment block (values are constant per key)."""
-    return df.select(key, *cols).distinct()
-

@@ -141,7 +141,11 @@ def geno_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submission template: distinct (Env, Hybrid) of the unseen last year, empty yield."""
+    """Submission template: distinct (Env, Hybrid) of the unseen last year, empty yield.
+
+    The year filter defines the test set (the year the models must predict),
+    it is not a sample: every plot of that year contributes its key.
+    """
     li = table(spark, sf_dir, "lineitem").filter(F.year("l_shipdate") == TEST_SHIP_YEAR)
     return li.select(
         F.concat(F.lit("L"), _loc("l_suppkey").cast("string"), F.lit("_"),
