@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trialspark.functions.keys import recode
 from trialspark.operators import aggregate as A
