@@ -94,6 +94,38 @@ def blue_ctes(src: str, prefix: str = "b") -> str:
              from {p}_cm c join {p}_beta bt using (Year, Field_Location))"""
 
 
+def blue_k2_ctes(src: str, prefix: str = "k") -> str:
+    """BLUEs with exactly three replicate levels per site (two contrasts), 2 x 2 closed form.
+
+    Contrasts are the second and third smallest levels; the design of the
+    fixture is full rank at every site.  Produces ``{prefix}_blue``.
+    """
+    p = prefix
+    return f"""{p}_ph as (select * from {src} where Yield_Mg_ha is not null and Replicate is not null),
+{p}_lv as (select Year, Field_Location, Replicate,
+                  dense_rank() over (partition by Year, Field_Location order by Replicate) - 1 as pos
+           from (select distinct Year, Field_Location, Replicate from {p}_ph) z),
+{p}_site as (select Year, Field_Location from {p}_lv group by Year, Field_Location having count(*) = 3),
+{p}_x as (select ph.*, cast(lv.pos = 1 as double) as d1, cast(lv.pos = 2 as double) as d2
+          from {p}_ph ph join {p}_lv lv using (Year, Field_Location, Replicate)
+          where (ph.Year, ph.Field_Location) in (select (Year, Field_Location) from {p}_site)),
+{p}_cm as (select Year, Field_Location, Hybrid, avg(Yield_Mg_ha) as my, avg(d1) as m1, avg(d2) as m2
+           from {p}_x group by Year, Field_Location, Hybrid),
+{p}_mom as (select x.Year, x.Field_Location,
+                   sum((x.d1 - c.m1) * (x.d1 - c.m1)) as s11, sum((x.d1 - c.m1) * (x.d2 - c.m2)) as s12,
+                   sum((x.d2 - c.m2) * (x.d2 - c.m2)) as s22,
+                   sum((x.d1 - c.m1) * (x.Yield_Mg_ha - c.my)) as b1,
+                   sum((x.d2 - c.m2) * (x.Yield_Mg_ha - c.my)) as b2
+            from {p}_x x join {p}_cm c using (Year, Field_Location, Hybrid)
+            group by x.Year, x.Field_Location),
+{p}_beta as (select Year, Field_Location,
+                    (s22 * b1 - s12 * b2) / (s11 * s22 - s12 * s12) as be1,
+                    (s11 * b2 - s12 * b1) / (s11 * s22 - s12 * s12) as be2 from {p}_mom),
+{p}_blue as (select c.Year, c.Field_Location, c.Hybrid, c.my - bt.be1 * c.m1 - bt.be2 * c.m2 as Yield_Mg_ha,
+                    concat(c.Field_Location, '_', c.Year) as Env
+             from {p}_cm c join {p}_beta bt using (Year, Field_Location))"""
+
+
 def single_rep_ctes(src: str, prefix: str = "s") -> str:
     """Rows of sites with one replicate level: ``{prefix}_single``."""
     p = prefix
@@ -324,6 +356,7 @@ def queries() -> dict[str, str]:
                                    weather_mean_cte("weather", "wm", True)) + \
         "select b.*, wm.w1, wm.w2 from b_blue b left join wm using (Env)"
     q["blue_replicated"] = with_(V_TRIAL, blue_ctes("trial")) + "select * from b_blue"
+    q["blue_replicated_k2"] = with_(V_TRIAL3, blue_k2_ctes("trial3")) + "select * from k_blue"
     q["blue_single_rep"] = with_(V_TRIAL, single_rep_ctes("trial")) + "select * from s_single"
     q["outlier_flag"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag"
     q["outlier_filter"] = with_(V_TRIAL, outlier_ctes("trial")) + "select * from o_flag where out_flag = 0"

@@ -27,9 +27,8 @@ def con():
 def test_every_query_has_a_name_in_the_catalog():
     qs = E.queries()
     assert set(ORACLE) <= set(qs)
-    # only model fits and the k > 1 solve are rows-only
-    assert set(qs) - set(ORACLE) == {"blue_replicated_k2", "submission", "submission_env",
-                                     "ensemble_learners"}
+    # only the model fits are rows-only
+    assert set(qs) - set(ORACLE) == {"submission", "submission_env", "ensemble_learners"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
