@@ -159,3 +159,17 @@ def test_hot_cell_with_a_third_of_the_rows(spark):
     for k, (e, f) in want.items():
         assert got[k][0] == pytest.approx(e, abs=1e-8)
         assert got[k][1] == f
+
+
+def test_batch_with_one_replicate_level(spark):
+    """No contrast to solve: residuals are deviations from the cell means."""
+    rows = [r[:6] + (1,) + r[7:] for r in random_design(12, n_cells=6, n_levels=2, n_rows=80, years=(2021,))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: (r["RESID"], r["out_flag"]) for r in TS.outlier_flag(df).collect()}
+    want = dense_resid(rows)
+    for k, (e, f) in want.items():
+        assert got[k][0] == pytest.approx(e, abs=1e-8)
+        assert got[k][1] == f
+    sd = TS.residual_sd(df).first()
+    assert sd["n"] == 80
+    assert sd["resid_sd"] == pytest.approx(np.std([e for e, _ in want.values()], ddof=1))
