@@ -68,7 +68,10 @@ def _read(spark: SparkSession, path: str, strings: Sequence[str] = ("Env",),
     schema, sep = TX.schema_from_header(spark, path, strings, ints)
     df = TX.read_delimited(spark, path, schema, sep=sep)
     if order_col:
-        # file order for first-row-per-Env; ids grow with file position
+        # file order for first-row-per-Env: ids grow with the position in the
+        # file (splits of one file are read in offset order).  For a table split
+        # over several files, pass an explicit order column instead: Spark packs
+        # multiple files by size, not by name.
         df = df.withColumn(order_col, F.monotonically_increasing_id())
     return df
 
