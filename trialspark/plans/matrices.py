@@ -68,10 +68,7 @@ def align_test(test: DataFrame, train: DataFrame, keys_test: Sequence[str],
                keys_train: Sequence[str]) -> DataFrame:
     """Test rows with the train feature columns (missing -> 0), keys kept in front."""
     feats = [c for c in train.columns if c not in set(keys_train)]
-    test_feats = align_columns(test.drop(*keys_test), feats, fill=0)
-    # re-attach keys: select keys + aligned expressions in one projection
-    have = set(test.columns)
-    return test.select(*keys_test, *[F.col(c) if c in have else F.lit(0).alias(c) for c in feats])
+    return align_columns(test, list(keys_test) + feats, fill=0)
 
 
 def ml_ready(df: DataFrame, scalar_cols: Sequence[str], fill: dict[str, float],
