@@ -45,12 +45,15 @@ QR_TOL = 1e-7
 
 @dataclass
 class FixedEffectFit:
-    """Result of :func:`fit_cell_factor_model` (all lazily evaluated DataFrames).
-
-    cells:   batch keys, cell keys, ``_n`` (rows), ``_alpha`` (cell effect at the
-             reference level), ``_bmap`` (level -> beta), ``_sd`` (residual sd of
-             the batch), ``_nlev`` (distinct levels in the batch)
-    batches: batch keys, ``_ref``, ``_nlev``, ``_N``, ``_rss``, ``_sd``, ``_bmap``
+    """Result of :func:`fit_cell_factor_model`.
+
+    cells:      batch keys, cell keys, ``_n`` (rows), ``_alpha`` (cell effect at the
+                reference level), ``_bmap`` (level -> beta), ``_sd`` (residual sd of
+                the batch), ``_nlev`` (distinct levels in the batch); the written
+                cell table joined with the written per-batch table
+    batches:    written per-batch table: batch keys, ``_T``, ``_N``, ``_nlev``,
+                ``_bmap``, ``_rss``, ``_sd``
+    cell_stats: the written per-cell statistics (its file size bounds ``cells``)
     """
 
     cells: DataFrame
