@@ -23,6 +23,8 @@ measured and broadcast only under a bound, and no text is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,11 @@ def simhash(hashes: Column, longest: int) -> Column:
     lanes = BITS // width
     mask = sum(1 << (width * j) for j in range(lanes))
     zero = F.lit(0).cast("long")
-    sums = [F.aggregate(hashes, zero, lambda a, h, k=k: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)))
-            for k in range(width)]
+
+    def added(k: int) -> Callable[[Column, Column], Column]:
+        return lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask))
+
+    sums = [F.aggregate(hashes, zero, added(k)) for k in range(width)]
     # the sums are an array column first, so that each is evaluated once
     return F.transform(F.array(F.struct(F.array(*sums).alias("s"), F.size(hashes).alias("n"))), lambda x: _majority(
         x["s"], x["n"], width, lanes))[0]
