@@ -38,6 +38,11 @@ MIN_SIMILARITY = 0.8
 BITS = 64
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; none for a null text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
@@ -45,9 +50,11 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(word_hashes: Column, k: int) -> Column:
     """One 64-bit hash for every run of ``k`` words, in order; none if there are fewer."""
-    n = F.size(word_hashes)
-    at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(word_hashes, i + j) for j in range(k)]))
+    def runs(w: Column) -> Column:
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+
+    return once(word_hashes, runs)
 
 
 def simhash(hashes: Column, longest: int) -> Column:
@@ -65,9 +72,8 @@ def simhash(hashes: Column, longest: int) -> Column:
         return lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask))
 
     sums = [F.aggregate(hashes, zero, added(k)) for k in range(width)]
-    # the sums are an array column first, so that each is evaluated once
-    return F.transform(F.array(F.struct(F.array(*sums).alias("s"), F.size(hashes).alias("n"))), lambda x: _majority(
-        x["s"], x["n"], width, lanes))[0]
+    return once(F.struct(F.array(*sums).alias("s"), F.size(hashes).alias("n")),
+                lambda x: _majority(x["s"], x["n"], width, lanes))
 
 
 def _majority(sums: Column, n: Column, width: int, lanes: int) -> Column:
@@ -159,7 +165,9 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
     """Verified windows against the items whose shingles have ``k`` words."""
     marks = materialize(items.select(F.explode("all").alias("h"), "len").distinct(), "benchmark_shingles")
     hashed = base.select("doc_id", "k1", "k2", shingle_hashes(F.col("wh"), k).alias("sh"))
-    flat = hashed.select("k1", "k2", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h"))
+    # the size is a column of its own below the explode, so that no exploded row carries the array
+    flat = (hashed.withColumn("m", F.size("sh"))
+            .select("k1", "k2", "m", F.posexplode("sh").alias("pos", "h")))
     touched = join_by_size(flat, marks, "h").select("k1", "k2", "m", "pos", "len").distinct()
     # every start of a window of len shingles that holds the shared one; a short document is one window
     last = F.greatest(F.col("m") - F.col("len"), F.lit(0))
