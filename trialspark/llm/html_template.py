@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import without
+from trialspark.llm.common import fresh, without
 from trialspark.llm.host_reputation import url_host
 from trialspark.operators.joins import join_by_size
 from trialspark.session import materialize
@@ -291,18 +291,19 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     gives no rows.
     """
     pages = without(pages, ["text", "n_chars"])
-    hosted = pages.withColumn("_page_host", url_host(F.col(f"`{url}`")))
-    found = materialize(templates(hosted, "_page_host", html), "page_templates")
+    host, template, text = fresh(pages, "page_host", "page_template", "page_text")
+    hosted = pages.withColumn(host, url_host(F.col(f"`{url}`")))
+    found = materialize(templates(hosted, host, html), "page_templates")
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for page, template in batches:
             yield pd.Series([main_text(p, t) for p, t in zip(page, template)], dtype=object)
 
-    out = join_by_size(hosted, found.withColumnRenamed("host", "_page_host"), "_page_host", "left")
-    out = out.withColumn("_page_text", extract(F.col(f"`{html}`"), F.col("template")))
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], F.col("_page_text").alias("text"),
-                      F.char_length("_page_text").cast("long").alias("n_chars"))
+    out = join_by_size(hosted, found.select(F.col("host").alias(host), F.col("template").alias(template)), host, "left")
+    out = out.withColumn(text, extract(F.col(f"`{html}`"), F.col(template)))
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], F.col(text).alias("text"),
+                      F.char_length(text).cast("long").alias("n_chars"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

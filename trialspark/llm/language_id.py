@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import without
+from trialspark.llm.common import fresh, without
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -203,8 +203,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame([sent.value.predict(t) for t in s], columns=list(OUT))
 
     docs = without(docs, OUT)
-    return docs.withColumn("_lang_id", predict(F.col(f"`{text}`"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_lang_id.lang_pred", "_lang_id.score", "_lang_id.rejected")
+    found, = fresh(docs, "found")
+    return docs.withColumn(found, predict(F.col(f"`{text}`"))).select(
+        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{found}.{c}") for c in OUT])
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -214,8 +215,9 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected."""
+def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, with all their columns."""
     model = train(training_sample(docs))
-    kept = identify(docs.withColumn("_t", F.col("text")), model, "_t").filter(~F.col("rejected"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input is replaced
+    kept = identify(docs.toDF(*inner), model, inner[docs.columns.index(text)]).filter(~F.col("rejected"))
+    return kept.select(*inner).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import without
+from trialspark.llm.common import fresh, without
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
@@ -71,15 +71,16 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     pairs = without(pairs, OUT)
     none = F.array().cast(f"array<{TURN}>")
     # evaluated once: the prefix length is a column before it is used
-    sides = pairs.withColumns({f"__{s}": F.coalesce(F.col(f"`{c}`").cast(f"array<{TURN}>"), none)
-                               for s, c in (("a", chosen), ("b", rejected))})
-    sides = sides.withColumn("n_prefix", common_prefix(F.col("__a"), F.col("__b")))
-    rest = {s: F.slice(F.col(f"__{s}"), F.col("n_prefix") + 1, F.greatest(F.size(f"__{s}"), F.lit(1))) for s in "ab"}
+    a, b = fresh(pairs, "side_a", "side_b")
+    sides = pairs.withColumns({s: F.coalesce(F.col(f"`{c}`").cast(f"array<{TURN}>"), none)
+                               for s, c in ((a, chosen), (b, rejected))})
+    sides = sides.withColumn("n_prefix", common_prefix(F.col(a), F.col(b)))
+    rest = {s: F.slice(F.col(s), F.col("n_prefix") + 1, F.greatest(F.size(s), F.lit(1))) for s in (a, b)}
     return sides.select(
         *[F.col(f"`{c}`") for c in pairs.columns], "n_prefix",
-        render(F.slice(F.col("__a"), F.lit(1), F.col("n_prefix"))).alias("prompt"),
-        render(rest["a"]).alias("chosen_text"), render(rest["b"]).alias("rejected_text"),
-        trained_spans(rest["a"]).alias("chosen_spans"), trained_spans(rest["b"]).alias("rejected_spans"))
+        render(F.slice(F.col(a), F.lit(1), F.col("n_prefix"))).alias("prompt"),
+        render(rest[a]).alias("chosen_text"), render(rest[b]).alias("rejected_text"),
+        trained_spans(rest[a]).alias("chosen_spans"), trained_spans(rest[b]).alias("rejected_spans"))
 
 
 def swapped_reply_pairs(conversations: DataFrame) -> DataFrame:

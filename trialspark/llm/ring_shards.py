@@ -101,10 +101,10 @@ def assign_shards(rows: DataFrame, n_shards: int = 24, key: str = "doc_id", vnod
     cuts = spark.createDataFrame(pd.DataFrame(plan, columns=["a", "lo", "hi", "shard", "slot0", "hops"]).astype("int64"),
                                  "a long, lo long, hi long, shard long, slot0 long, hops long")
     # rows of the plan: a few per virtual node, independent of the data
-    return (indexed.join(F.broadcast(cuts), (F.col(arc) == F.col("a")) & (F.col(idx) >= F.col("lo"))
-                         & (F.col(idx) < F.col("hi")))
+    return (indexed.join(F.broadcast(cuts), (F.col(arc) == cuts["a"]) & (F.col(idx) >= cuts["lo"])
+                         & (F.col(idx) < cuts["hi"]))
             .select(*[indexed[f"`{c}`"] for c in rows.columns], cuts["shard"].cast("int").alias("shard"),
-                    (F.col(idx) - F.col("lo") + F.col("slot0")).alias("slot"), cuts["hops"].cast("int").alias("hops")))
+                    (F.col(idx) - cuts["lo"] + cuts["slot0"]).alias("slot"), cuts["hops"].cast("int").alias("hops")))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:

@@ -1,41 +1,51 @@
 """Mixing to target weights with soft domain membership.
 
-1. A tempered naive Bayes classifier learns word counts per domain from a
-   bounded sample of the labelled rows (``SAMPLE`` ids, the smallest by hash)
-   and gives every document posterior probabilities of the domains.  The
-   evidence of a text is weighed as if it had at most ``TEMPER`` words, so
-   long texts stay soft.
+1. A tempered naive Bayes classifier learns from a bounded sample of the
+   labelled rows (``SAMPLE`` ids, the smallest by hash) in how many documents
+   of each domain a feature occurs.  Features are the hashes of a text's
+   distinct tokens (words, and runs of other signs) and the tenth its share
+   of distinct tokens falls into; those that deviate clearly from chance stay.
+   It gives every document posterior probabilities of the domains, with its
+   evidence weighed as if at most ``TEMPER`` features spoke, which keeps them
+   calibrated and soft.
 2. Every document gets a nonnegative rate (expected number of copies).  The
-   expected tokens of a domain are the sum of rate x tokens x posterior.
-   Projected gradient descent on the weighted squared errors of these totals,
-   from rate one, moves each rate by the posteriors' share of the domains'
-   relative errors and cuts it off at zero.  A pass over the written table of
-   posteriors gives the totals of a step: a few numbers; a document's rate is
-   a function of its posteriors and the steps so far, so nothing is rewritten.
-
-All of it is DataFrame aggregation; the word weights are one row per hash
-bucket, a fixed number, and are all that is broadcast besides the sample's ids.
+   expected tokens of a domain are the sum of rate x tokens x posterior.  The
+   rates minimise the squared errors of these totals against the targets plus
+   a slight pull towards rate one, by projected gradient descent: a step moves
+   each rate along its posteriors by the domains' errors, preconditioned with
+   the domains' Gram matrix over documents with a positive rate, and the rate
+   is projected to zero or more.  The steps add up in one multiplier per
+   domain, so a document's rate is ``max(0, 1 - posteriors . multipliers)`` at
+   any time: a step is one pass over the written posteriors that returns a few
+   sums, and nothing per document is rewritten.
+
+All of it is DataFrame aggregation; the evidence table has at most one row per
+hash bucket, a fixed number, and is all that is broadcast besides the sample's
+ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import fresh, row_key, without
-from trialspark.llm.decontaminate import words
+from trialspark.llm.common import fresh, row_key
+from trialspark.llm.decontaminate import once
 from trialspark.operators.joins import join_by_size
 from trialspark.session import materialize
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
-TEMPER = 20.0
-STEPS = 60
-TOLERANCE = 1e-4
+TEMPER = 3.0
+MIN_DOCS, MIN_Z, MIN_LIFT = 5, 8.0, 2.0  # of a feature that counts: documents, deviation from chance, likelihood ratio
+STEPS = 30
+TOLERANCE = 1e-6  # of the wanted tokens
+PULL = 1e-4       # of the rates towards one
 #: Target token shares of the registered query, and the domain whose total stays as it is.
-TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
+TARGETS = {"good": 0.72, "poor": 0.12, "toxic": 0.16}
 ANCHOR = "good"
 
 
@@ -44,89 +54,121 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "poor")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _features(text: Column) -> Column:
+    """struct<tokens, of>: the number of tokens, and the distinct features (buckets, then tenths)."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), 0)
 
+    def described(t: Column) -> Column:
+        buckets = F.array_distinct(F.transform(t, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+        tenth = F.floor(10 * F.size(buckets) / F.greatest(F.size(t), F.lit(1))).cast("int") + BUCKETS
+        return once(buckets, lambda b: F.struct(
+            F.size(t).cast("long").alias("tokens"),
+            F.when(F.size(t) >= 10, F.array_append(b, tenth)).otherwise(b).alias("of")))
 
-def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str,
-                 sample: int = SAMPLE) -> tuple[DataFrame, list[float]]:
-    """((bucket, w0, w1, ...) log-likelihoods of all BUCKETS buckets, log priors) from (id, domain) rows."""
+    return once(tokens, described)
+
+
+def evidence(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list[float]]:
+    """((feature, w0, w1, ...) log-likelihood ratios to the average, log priors) from (doc, text) and (id, domain) rows."""
     chosen = materialize(labelled.orderBy(F.xxhash64("id"), "id").limit(sample), "label_sample")
     # at most ``sample`` rows of two short columns
-    seen = docs.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("id")).select(
-        "domain", F.explode(words(F.col(f"`{text}`"))).alias("word"))
+    seen = docs.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select(
+        "domain", _features(F.col("text")).alias("f"))
+    seen = materialize(seen.select("domain", F.explode_outer("f.of").alias("feature"),
+                                   F.monotonically_increasing_id().alias("row")), "label_features")
+    k = range(len(domains))
     each = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)]
-    counts = materialize(seen.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*each), "bucket_counts")
-    n = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(domains))]).first()
-    full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    weights = full.select("bucket", *[
-        F.log((F.coalesce(F.col(f"c{i}"), F.lit(0)) + 1.0) / (n[i] + BUCKETS)).alias(f"w{i}") for i in range(len(domains))])
-    rows = chosen.agg(*[F.count(F.when(F.col("domain") == d, 1)) for d in domains]).first()
-    total = sum(rows) + len(domains)
-    import math
-
-    return materialize(weights, "word_weights"), [math.log((r + 1) / total) for r in rows]
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], keep: list[str], text: str) -> DataFrame:
-    """One row per row of ``docs``: ``keep``, tokens and p0, p1, ...; no word means the prior."""
+    rows = seen.select("row", "domain").distinct().agg(*each).first()
+    total = sum(rows)
+    counts = seen.filter("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("c"), *each)
+    share = F.col("c") / F.lit(float(max(total, 1)))
+
+    def z(i: int) -> Column:
+        mean = share * float(rows[i])
+        spread = mean * (1 - share) * (1 - rows[i] / max(total, 1))
+        return F.abs(F.col(f"c{i}") - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9)))
+
+    weights = [F.log((F.col(f"c{i}") + share) / (float(rows[i]) + 1)) - F.log(share) for i in k]
+    most = lambda xs: F.greatest(F.lit(0.0), *xs)
+    kept = counts.filter(F.col("c") >= MIN_DOCS).filter(most([z(i) for i in k]) >= MIN_Z).select(
+        "feature", *[w.alias(f"w{i}") for i, w in enumerate(weights)])
+    kept = kept.filter(most([F.abs(F.col(f"w{i}")) for i in k]) >= math.log(MIN_LIFT))
+    return materialize(kept, "evidence"), [math.log((r + 1) / (total + len(domains))) for r in rows]
+
+
+def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], kept: list[str]) -> DataFrame:
+    """One row per row of ``docs`` (``kept``, text): ``kept``, tokens and p0, p1, ...; no evidence means the prior."""
     k = range(len(priors))
-    rid, = fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "rid")
-    flat = docs.withColumn(rid, F.monotonically_increasing_id()).select(
-        rid, *[F.col(f"`{c}`") for c in keep], F.explode_outer(words(F.col(f"`{text}`"))).alias("_word"))
-    flat = flat.select(rid, *[F.col(f"`{c}`") for c in keep], _bucket(F.col("_word")).alias("bucket"))
-    scored = (flat.join(F.broadcast(weights), "bucket", "left")  # BUCKETS rows
-              .groupBy(rid, *[F.col(f"`{c}`") for c in keep])
-              .agg(F.count("bucket").alias("tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k]))
-    weigh = F.when(F.col("tokens") > 0, F.least(F.col("tokens").cast("double"), F.lit(TEMPER)) / F.col("tokens")).otherwise(0.0)
-    logits = scored.select(*[F.col(f"`{c}`") for c in keep], "tokens",
-                           *[(F.lit(priors[i]) + weigh * F.col(f"s{i}")).alias(f"z{i}") for i in k])
+    flat = (docs.select(F.monotonically_increasing_id().alias("row"), *kept, _features(F.col("text")).alias("f"))
+            .select("row", *kept, "f.tokens", F.col("f.of").alias("of"))
+            .select("row", *kept, "tokens", F.explode_outer("of").alias("feature")))
+    scored = (flat.join(F.broadcast(weights), "feature", "left")  # at most BUCKETS + 11 rows
+              .groupBy("row", *kept, "tokens")
+              .agg(F.count("w0").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k]))
+    weigh = F.least(F.col("n").cast("double"), F.lit(TEMPER)) / F.greatest(F.col("n"), F.lit(1))
+    logits = scored.select(*kept, "tokens", *[(F.lit(priors[i]) + weigh * F.col(f"s{i}")).alias(f"z{i}") for i in k])
     top = F.greatest(*[F.col(f"z{i}") for i in k]) if len(priors) > 1 else F.col("z0")
-    logits = logits.withColumn("top", top)
-    exps = logits.select(*[F.col(f"`{c}`") for c in keep], "tokens", *[F.exp(F.col(f"z{i}") - F.col("top")).alias(f"e{i}") for i in k])
+    exps = logits.withColumn("top", top).select(*kept, "tokens", *[F.exp(F.col(f"z{i}") - F.col("top")).alias(f"e{i}") for i in k])
     total = sum((F.col(f"e{i}") for i in k), F.lit(0.0))
-    return exps.select(*[F.col(f"`{c}`") for c in keep], "tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in k])
+    return exps.select(*kept, "tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in k])
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """The rate after the given steps: from one, less p . step, never below zero."""
-    r = F.lit(1.0)
-    for g in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col(f"p{i}") * F.lit(x) for i, x in enumerate(g)), F.lit(0.0)))
-    return r
+def rate_of(multipliers: list[float]) -> Column:
+    """The projected rate: one less posteriors . multipliers, never below zero."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(multipliers)),
+                                                   F.lit(0.0)))
 
 
 def fit_rates(scored: DataFrame, shares: list[float], anchor: int | None = None, steps: int = STEPS,
-              tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float], list[float]]:
-    """(steps, totals reached, target totals) for (tokens, p0, p1, ...) rows.
+              tolerance: float = TOLERANCE, pull: float = PULL) -> tuple[list[float], list[float], list[float]]:
+    """(multipliers, totals reached, target totals) for (tokens, p0, p1, ...) rows.
 
     Targets are ``shares`` of a total: all tokens, or as many as leave the
-    ``anchor`` domain's total unchanged.  Each step is the relative error of
-    the totals, the gradient of the squared errors weighted by one over each
-    domain's tokens; in that scaling the unit step never overshoots.  A domain
-    without tokens cannot be met and is left alone.
+    ``anchor`` domain's total unchanged.  A step that does not bring the
+    errors down is halved.  Domains without tokens and targets that no rates
+    can meet leave the least-squares answer.
     """
-    k = range(len(shares))
+    import numpy as np
 
-    def totals(rate: Column) -> list[float]:
-        got = scored.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate) for i in k]).first()
-        return [float(x or 0.0) for x in got]
-
-    start = now = totals(F.lit(1.0))
-    weight = sum(shares)
-    total = sum(start)
-    if anchor is not None and shares[anchor] > 0 and start[anchor] > 0:
-        total = start[anchor] / (shares[anchor] / weight)
-    target = [total * s / weight for s in shares]
-    taken: list[list[float]] = []
-    while len(taken) < steps:
-        off = [(now[i] - target[i]) / start[i] if start[i] > 0 else 0.0 for i in k]
-        if max(map(abs, off), default=0.0) * max(start, default=0.0) <= tolerance * max(total, 1e-300) and all(
-                abs(now[i] - target[i]) <= tolerance * max(target[i], tolerance * total) or not start[i] for i in k):
+    k = range(len(shares))
+    rate = F.col("rate")
+
+    def totals(multipliers) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals, and the Gram matrix over documents with a positive rate."""
+        rows = scored.select("*", rate_of(list(multipliers)).alias("rate"))
+        pair = [(i, j) for i in k for j in k if i <= j]
+        got = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate) for i in k],
+                       *[F.sum(F.when(rate > 0, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}"))) for i, j in pair]).first()
+        got = [float(x or 0.0) for x in got]
+        gram = np.zeros((len(shares), len(shares)))
+        for (i, j), x in zip(pair, got[len(shares):]):
+            gram[i, j] = gram[j, i] = x
+        return np.array(got[:len(shares)]), gram
+
+    at = np.zeros(len(shares))
+    now, gram = totals(at)
+    weight, total = sum(shares), float(now.sum())
+    if total <= 0:
+        return [0.0] * len(shares), now.tolist(), [0.0] * len(shares)
+    wanted = total
+    if anchor is not None and shares[anchor] > 0 and now[anchor] > 0:
+        wanted = now[anchor] / (shares[anchor] / weight)
+    target = np.array([wanted * s / weight for s in shares])
+    error = now - target - pull * total * at
+    for _ in range(steps):
+        if np.abs(error).max() <= tolerance * wanted:
+            break
+        move = np.linalg.solve(gram + pull * total * np.eye(len(shares)), error)
+        for _ in range(12):
+            there, gram_there = totals(at + move)
+            left = there - target - pull * total * (at + move)
+            if np.abs(left).sum() < np.abs(error).sum():
+                at, now, gram, error = at + move, there, gram_there, left
+                break
+            move = move / 2
+        else:
             break
-        taken.append(off)
-        now = totals(rate_of(taken))
-    return taken, now, target
+    return at.tolist(), now.tolist(), target.tolist()
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str | None = None,
@@ -135,17 +177,19 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 
     ``labels`` is (id, domain) with at most one row per id; rows with other
     domains than the targets', or a null id, teach nothing.  With no labelled
-    document all domains are equally likely.  Texts without a word have no
-    tokens, the prior as posterior, and a rate like any other.
+    document all domains are equally likely.  Texts without a token have the
+    prior as posterior and a rate like any other.
     """
     domains = sorted(targets)
     keep = [doc_id] if keep is None else keep
     known = labels.filter(F.col("domain").isin(domains) & F.col("id").isNotNull())
-    weights, priors = word_weights(docs, known, domains, doc_id, text)
-    scored = materialize(posteriors(docs, weights, priors, keep, text), "posteriors")
-    steps, _, _ = fit_rates(scored, [targets[d] for d in domains], domains.index(anchor) if anchor else None)
-    return scored.select(*[F.col(f"`{c}`") for c in keep], "tokens",
-                         *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate_of(steps).alias("rate"))
+    weights, priors = evidence(docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")), known, domains)
+    kept = [F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)]
+    inner = [f"keep{i}" for i in range(len(keep))]
+    scored = materialize(posteriors(docs.select(*kept, F.col(f"`{text}`").alias("text")), weights, priors, inner), "posteriors")
+    multipliers, _, _ = fit_rates(scored, [targets[d] for d in domains], domains.index(anchor) if anchor else None)
+    return scored.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "tokens",
+                         *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate_of(multipliers).alias("rate"))
 
 
 def copies(rate: Column, spot: Column) -> Column:
