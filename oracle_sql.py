@@ -10,8 +10,8 @@ from __future__ import annotations
 
 V_TRIAL = """trial as (
   select concat('H', l_partkey % 40) as Hybrid, concat('L', l_suppkey % 8) as Field_Location,
-         cast(year(l_shipdate) + 22 as int) as Year,
-         concat('L', l_suppkey % 8, '_', year(l_shipdate) + 22) as Env,
+         cast(year(l_shipdate) + 23 as int) as Year,
+         concat('L', l_suppkey % 8, '_', year(l_shipdate) + 23) as Env,
          case when l_suppkey % 8 = 7 then 1 else l_linenumber % 2 + 1 end as Replicate,
          l_orderkey % 4 as Block,
          case when l_orderkey % 29 = 0 then null when l_orderkey % 53 = 0 then l_quantity + 60
@@ -20,8 +20,8 @@ V_TRIAL = """trial as (
 
 V_TRIAL3 = """trial3 as (
   select concat('H', l_partkey % 40) as Hybrid, concat('L', l_suppkey % 8) as Field_Location,
-         cast(year(l_shipdate) + 22 as int) as Year,
-         concat('L', l_suppkey % 8, '_', year(l_shipdate) + 22) as Env,
+         cast(year(l_shipdate) + 23 as int) as Year,
+         concat('L', l_suppkey % 8, '_', year(l_shipdate) + 23) as Env,
          l_linenumber % 3 + 1 as Replicate, l_orderkey % 4 as Block,
          case when l_orderkey % 29 = 0 then null when l_orderkey % 53 = 0 then l_quantity + 60
               else l_quantity end as Yield_Mg_ha
@@ -29,16 +29,16 @@ V_TRIAL3 = """trial3 as (
 
 V_WEATHER_RAW = """weather_raw as (
   select case when o_custkey % 8 = 1 and year(o_orderdate) in (1996, 1998)
-              then concat('L1_', 1 + o_orderkey % 2, '_', year(o_orderdate) + 22)
-              else concat('L', o_custkey % 8, '_', year(o_orderdate) + 22) end as Env,
+              then concat('L1_', 1 + o_orderkey % 2, '_', year(o_orderdate) + 23)
+              else concat('L', o_custkey % 8, '_', year(o_orderdate) + 23) end as Env,
          o_orderkey as ord,
          case when o_custkey % 8 = 3 and o_orderkey % 97 = 0 then null
               else cast(floor(o_totalprice) as double) end as w1,
          cast(o_orderkey % 31 as double) as w2
   from orders)"""
 
-RECODE_CASE = """case Env when 'L1_1_2018' then 'L1_2018' when 'L1_2_2018' then 'L1_2018'
-                 when 'L1_1_2020' then 'L1_2020' when 'L1_2_2020' then 'L1_2020' else Env end"""
+RECODE_CASE = """case Env when 'L1_1_2019' then 'L1_2019' when 'L1_2_2019' then 'L1_2019'
+                 when 'L1_1_2021' then 'L1_2021' when 'L1_2_2021' then 'L1_2021' else Env end"""
 
 V_META = """meta as (
   select Env,
@@ -49,8 +49,8 @@ V_META = """meta as (
          case when loc = 6 then null else cast(loc + yr as double) end as m5,
          case when loc = 6 then null else cast(loc * 7 as double) end as m6,
          case when loc = 6 then null else cast(yr % 4 as double) end as m7
-  from (select distinct concat('L', l_suppkey % 8, '_', year(l_shipdate) + 22) as Env,
-               l_suppkey % 8 as loc, year(l_shipdate) + 22 as yr from lineitem) z)"""
+  from (select distinct concat('L', l_suppkey % 8, '_', year(l_shipdate) + 23) as Env,
+               l_suppkey % 8 as loc, year(l_shipdate) + 23 as yr from lineitem) z)"""
 
 V_GENO_LONG = """geno_long as (
   select concat('H', vec_id) as Hybrid, cast(i as int) as i,
@@ -60,12 +60,12 @@ V_GENO_LONG = """geno_long as (
         from embeddings) q)"""
 
 V_TEST_TEMPLATE = """test_template as (
-  select distinct concat('L', l_suppkey % 8, '_', year(l_shipdate) + 22) as Env,
+  select distinct concat('L', l_suppkey % 8, '_', year(l_shipdate) + 23) as Env,
          concat('H', l_partkey % 40) as Hybrid, cast(null as double) as Yield_Mg_ha
   from lineitem where year(l_shipdate) = 2001)"""
 
 V_PRED = """pred as (
-  select concat('L', l_suppkey % 8, '_', year(l_shipdate) + 22) as Env, concat('H', l_partkey % 40) as Hybrid,
+  select concat('L', l_suppkey % 8, '_', year(l_shipdate) + 23) as Env, concat('H', l_partkey % 40) as Hybrid,
          sum(l_quantity) as y_add, cast(max(l_linenumber) as double) as y_dom, cast(count(*) as double) as y_env
   from lineitem group by 1, 2)"""
 
@@ -130,8 +130,8 @@ def single_rep_ctes(src: str, prefix: str = "s") -> str:
     """Rows of sites with one replicate level: ``{prefix}_single``."""
     p = prefix
     return f"""{p}_site as (select Year, Field_Location from {src}
-             where Yield_Mg_ha is not null and Replicate is not null
-             group by Year, Field_Location having count(distinct Replicate) = 1),
+             where Yield_Mg_ha is not null
+             group by Year, Field_Location having count(distinct Replicate) <= 1),
 {p}_single as (select t.Year, t.Field_Location, t.Hybrid, t.Yield_Mg_ha, t.Env from {src} t
                where t.Yield_Mg_ha is not null
                  and (t.Year, t.Field_Location) in (select (Year, Field_Location) from {p}_site))"""
@@ -401,8 +401,8 @@ def queries() -> dict[str, str]:
     env = with_(*features_ctes(), tw)
     q["folds_leave_year_out"] = env + \
         "select Hybrid_Env, Year, cast(dense_rank() over (order by Year) - 1 as int) as fold from tw"
-    q["folds_contiguous"] = env + """select Hybrid_Env, Yield_Mg_ha,
-        cast(ntile(5) over (order by Hybrid_Env, Yield_Mg_ha) - 1 as int) as fold from tw"""
+    q["folds_contiguous"] = env + """select Year, Field_Location, Hybrid, Hybrid_Env,
+        cast(ntile(5) over (order by Year, Field_Location, Hybrid) - 1 as int) as fold from tw"""
     q["cv_mse"] = with_(*features_ctes(), tw,
         "tf as (select *, cast(dense_rank() over (order by Year) - 1 as int) as fold from tw)",
         "per as (select fold, count(*) as n, sum(Yield_Mg_ha) as s from tf group by fold)",

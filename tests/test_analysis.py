@@ -67,13 +67,19 @@ def make_inputs(d):
 def test_end_to_end(spark, tmp_path):
     inp = make_inputs(tmp_path)
     out = str(tmp_path / "out")
-    res = AN.run(spark, inp, out, budget=MD.Budget(n_iter=1, max_trees=2, parallelism=1))
-    for name in ["Pheno_data_Outlier", "Phenotype_Blue", "PhenoWeather", "PhenoEC", "PhenoMetal", "PhenoSoil",
+    space = dict(MD.BOOSTED_SPACE, n_estimators=(1, 2, "log-uniform"), max_depth=(2, 3, "log-uniform"))
+    recipes = {k: AN.Recipe(r.genotype, r.kind, r.folds, space, 1) for k, r in AN.RECIPES.items()}
+    weights = spark.createDataFrame([("additive", 4.0), ("dominance", 1.0), ("residual", 3.0)], "component string, V double")
+    res = AN.run(spark, inp, out, recipes, weights)
+    for name in ["Pheno_data_Outlier", "Pheno_data_without_Outlier", "Phenotype_Blue", "PhenoWeather", "PhenoEC", "PhenoMetal", "PhenoSoil",
                  "TestPhenoweather", "TestPhenoEC", "TestPhenometal", "TestPhenoSoil", "Genotype_True",
-                 "Genomic_addev_matrix", "Genomic_dodev_matrix", "predictions"]:
+                 "Genomic_addev_matrix", "Genomic_dodev_matrix",
+                 *[f"predictions_{k}" for k in [*AN.RECIPES, "weighted2", "weighted3", "learners"]]]:
         assert os.path.isdir(os.path.join(out, name)), name
     # one prediction per template row; G9 has no genotype and still gets one
-    assert res["predictions"].count() == 21
+    for df in res["predictions"].values():
+        assert df.count() == 21
+    assert res["flagged"].filter("out_flag = 0").count() == res["clean"].count()
     pheno = res["phenotype"]
     assert set(pheno.columns) == {"Hybrid", "Field_Location", "Year", "Env", "Hybrid_Env", "Yield_Mg_ha"}
     # weather: 16 measures by position, sub-site codes merged into MOH1_2020

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trialspark.plans import folds as FO
@@ -43,6 +45,26 @@ def test_candidates_are_seeded_and_in_range():
     assert min(lr) < 0.02 and max(lr) > 0.1 and all(not math.isnan(x) for x in lr)
 
 
+def test_every_candidate_runs_as_drawn():
+    for kind, space in (("boosted", MD.BOOSTED_SPACE), ("forest", MD.LEAF_WISE_SPACE)):
+        est = MD.make_estimator(kind)
+        trees = est.maxIter if kind == "boosted" else est.numTrees
+        for c in MD.sample_candidates(space, 20):
+            p = MD.spark_params(est, c)
+            assert p[trees] == c["n_estimators"] and p[est.maxDepth] == c["max_depth"]
+    with pytest.raises(ValueError):
+        MD.spark_params(est, {"max_depth": 31})
+
+
+def test_test_rows_are_not_in_train(spark):
+    from trialspark.plans import catalog as C
+    from tests.conftest import SF_SMALL
+
+    train = C.train_wide(spark, SF_SMALL, None).select("Env", "Hybrid")
+    test = C.test_wide(spark, SF_SMALL, None).select("Env", "Hybrid")
+    assert test.count() > 0 and test.join(train, ["Env", "Hybrid"]).count() == 0
+
+
 def test_tiny_fit_and_predict(spark):
     rows = [(f"H{i % 4}", 2019 + i % 3, f"L_{2019 + i % 3}", f"H{i % 4}_L", float(i % 4) * 2 + (i % 3),
              float(i % 4), None if i % 5 == 0 else float(i % 3)) for i in range(60)]
@@ -54,8 +76,8 @@ def test_tiny_fit_and_predict(spark):
                                  "Yield_Mg_ha double, a double, c double")
     keys = ["Hybrid", "Year", "Env", "Hybrid_Env", "Yield_Mg_ha", "fold"]
     data = MD.prepare(train, test, keys, ["Hybrid", "Year", "Env", "Hybrid_Field", "Yield_Mg_ha"])
-    model, scores = MD.search_and_fit(data, MD.BOOSTED_SPACE, "boosted",
-                                      MD.Budget(n_iter=2, max_trees=3, parallelism=1))
-    assert len(scores) >= 1 and all(s >= 0 for s in scores)
+    space = dict(MD.BOOSTED_SPACE, n_estimators=(2, 3, "log-uniform"), max_depth=(2, 3, "log-uniform"))
+    model, scores = MD.search_and_fit(data, space, "boosted", MD.Budget(n_iter=2, parallelism=1))
+    assert len(scores) == 2 and all(s >= 0 for s in scores)
     pred = MD.predict(model, data.test).collect()
     assert len(pred) == 1 and pred[0]["Yield_Mg_ha"] is not None

@@ -163,16 +163,34 @@ def test_weighted_start_is_a_prefix_sum(spark):
 
 
 def test_long_form_marker_path_equals_broadcast_path(spark):
-    g = G.scale_dosage(_geno(spark))
-    for fn in (G.impute_markers,):
-        a = {r["Hybrid"]: r["dosage"] for r in fn(g).collect()}
-        b = {r["Hybrid"]: r["dosage"] for r in fn(g, max_bytes=0).collect()}
-        assert a == b
-    gi = G.impute_markers(g)
-    for fn, out in ((G.additive_coding, "z"), (G.dominance_coding, "w")):
-        a = {r["Hybrid"]: r[out] for r in fn(gi).collect()}
-        b = {r["Hybrid"]: r[out] for r in fn(gi, max_bytes=0).collect()}
-        assert a == b
+    odd = spark.createDataFrame([("A", None), ("B", []), ("C", [1.0]), ("C", [0.0, None]), ("C", [0.0, None]), (None, [None])],
+                                "Hybrid string, dosage array<double>")
+    g = G.scale_dosage(_geno(spark).unionByName(odd))
+    for fn, out in ((G.impute_markers, "dosage"), (G.additive_coding, "z"), (G.dominance_coding, "w")):
+        src = g if fn is G.impute_markers else G.impute_markers(g)
+        a = sorted(str((r["Hybrid"], r[out])) for r in fn(src).collect())
+        b = sorted(str((r["Hybrid"], r[out])) for r in fn(src, max_markers=0).collect())
+        assert a == b and len(a) == g.count()
+        assert "('A', None)" in a and "('B', [])" in a
+
+
+def test_ensembles_test_presence_per_component(spark):
+    s = "Env string, Hybrid string, Yield_Mg_ha double"
+    a = spark.createDataFrame([("E", "X", 1.0), ("E", "X", 3.0), ("E", "Y", 4.0), ("E", "Y", 6.0)], s)
+    b = spark.createDataFrame([("E", "Y", 9.0)], s)
+    assert [tuple(r) for r in EN.equal_ensemble({"a": a, "b": b}).collect()] == [("E", "Y", 7.0)]
+    for w in ([("a", 1.0)], [("a", 1.0), ("a", 2.0), ("b", 1.0)]):
+        with pytest.raises(ValueError):
+            EN.weighted_ensemble({"a": a, "b": b}, spark.createDataFrame(w, "component string, V double"))
+
+
+def test_two_sub_sites_keep_their_own_weather(spark):
+    from trialspark.plans import matrices as MX
+    rows = spark.createDataFrame([("H1", "L1_1_2024", "H1_L1"), ("H1", "L1_2_2024", "H1_L1")],
+                                 "Hybrid string, Env string, Hybrid_Field string")
+    weather = spark.createDataFrame([("L1_1_2024", 1.0), ("L1_2_2024", 2.0)], "Env string, w double")
+    got = sorted((r["Env"], r["w"]) for r in MX.assemble(rows, weather, None).collect())
+    assert got == [("L1_1_2024", 1.0), ("L1_2_2024", 2.0)]
 
 
 def test_external_blue_table_renamed_and_keyed(spark):

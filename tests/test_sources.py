@@ -42,6 +42,18 @@ def test_genotype_text_round_trip(spark, tmp_path):
     assert [r["marker"] for r in markers.orderBy("i").collect()] == ["m1", "m2", "m3"]
 
 
+def test_genotype_text_in_many_parts_of_uneven_size(spark, tmp_path):
+    rows = [(f"H{i:03d}", [0.0, 0.5, None, 1.0]) for i in range(200)]
+    g = spark.createDataFrame(rows, "Hybrid string, dosage array<double>")
+    # the last part is by far the largest, and one is empty
+    part = F.when(F.col("Hybrid") < "H040", F.substring("Hybrid", 2, 2).cast("int") % 8).otherwise(9)
+    out = str(tmp_path / "geno")
+    TX.write_genotype_text(g.repartitionByRange(10, part), [f"m{i}" for i in range(4)], out)
+    back, markers = TX.read_genotype_text(spark, out)
+    assert sorted((r["Hybrid"], r["dosage"]) for r in back.collect()) == rows
+    assert [r["marker"] for r in markers.orderBy("i").collect()] == ["m0", "m1", "m2", "m3"]
+
+
 def test_genotype_text_written_by_another_tool(spark, tmp_path):
     p = tmp_path / "numerical.txt"
     p.write_text("Genotype\tS1_100\tS1_200\nA/B\t0\t0.5\nC/D\tNA\t1\n")

@@ -173,3 +173,25 @@ def test_batch_with_one_replicate_level(spark):
     sd = TS.residual_sd(df).first()
     assert sd["n"] == 80
     assert sd["resid_sd"] == pytest.approx(np.std([e for e, _ in want.values()], ddof=1))
+
+
+def test_a_large_offset_flags_the_same_rows(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(f"c{i % 40}", 2020, i % 3 + 1, rnd.gauss(0, 1) + (9 if i % 61 == 0 else 0)) for i in range(600)]
+    flags = []
+    for offset in (0.0, 1e6, 1e9):
+        df = spark.createDataFrame([(i, c, y, r, v + offset) for i, (c, y, r, v) in enumerate(rows)],
+                                   "id long, Hybrid_Env string, Year int, Replicate int, Yield_Mg_ha double")
+        flags.append(sorted(r["id"] for r in TS.outlier_filter(TS.outlier_flag(df)).collect()))
+    assert len(flags[0]) < 600 and flags[0] == flags[1] == flags[2]
+
+
+def test_sites_without_replicate_numbers_pass_through(spark):
+    rows = [("A", None, "H1", 1.0), ("A", None, "H2", 2.0), ("B", 1, "H1", 3.0), ("C", 1, "H1", 4.0), ("C", 2, "H1", 6.0)]
+    df = spark.createDataFrame([(2020, s, r, h, y, f"{s}_2020") for s, r, h, y in rows],
+                               "Year int, Field_Location string, Replicate int, Hybrid string, Yield_Mg_ha double, Env string")
+    _, single = TS.blues_and_single_rep(df)
+    want = [("A", 1.0), ("A", 2.0), ("B", 3.0)]
+    assert sorted((r["Field_Location"], r["Yield_Mg_ha"]) for r in single.collect()) == want
+    assert sorted((r["Field_Location"], r["Yield_Mg_ha"]) for r in TS.blue_single_rep(df).collect()) == want

@@ -9,7 +9,6 @@ operators  DataFrame -> DataFrame operators (filters, aggregates, imputation,
            fixed-effect statistics, genotype codings, ensembles)
 plans      multi-operator pipelines (phenotype table, feature blocks, model
            matrices, folds, model search / fit / predict)
-streaming  intentionally empty: the analysis has no streaming operators
 """
 
 from trialspark.session import checkpoint_dir, get_spark, materialize

@@ -1,10 +1,10 @@
 """Combining component-model predictions.
 
 All components are stacked into one long table (component, key, prediction)
-and combined with a single ``groupBy(key)``: one shuffle for any number of
-components instead of a chain of pairwise joins.  Only keys predicted by
-every component are kept (inner-join semantics).  The weight table has one
-row per component, a size bound that makes its broadcast safe.
+and combined by key: a component that predicts a key more than once counts
+with its mean, and only keys that every component predicts are kept (presence
+is tested per component, not by a row count).  The weight table is cut to the
+given components and checked to have one row each, which bounds its broadcast.
 """
 
 from __future__ import annotations
@@ -27,27 +27,35 @@ def stack_predictions(preds: Mapping[str, DataFrame], value: str = "Yield_Mg_ha"
     return out
 
 
+def _per_component(preds: Mapping[str, DataFrame], value: str, keys: Sequence[str]) -> DataFrame:
+    """One row per key and component: the mean of the component's predictions of the key."""
+    return (stack_predictions(preds, value, keys).groupBy(*keys, "component")
+            .agg(F.avg("_yhat").alias("_yhat")))
+
+
+def _in_all(each: DataFrame, keys: Sequence[str], n: int, combined) -> DataFrame:
+    """Combine per key, keeping the keys that all ``n`` components predict."""
+    return (each.groupBy(*keys).agg(combined, F.count("_yhat").alias("_k"))
+            .filter(F.col("_k") == n).drop("_k"))
+
+
 def weighted_ensemble(preds: Mapping[str, DataFrame], weights: DataFrame,
                       value: str = "Yield_Mg_ha", keys: Sequence[str] = KEYS,
                       weight_col: str = "V") -> DataFrame:
     """sum_c w_c * yhat_c with w_c = V_c / sum(V) over the given components."""
-    n = len(preds)
     comps = list(preds)
-    w = weights.filter(F.col("component").isin(comps))
+    w = weights.filter(F.col("component").isin(comps)).select("component", weight_col)
+    rows = w.groupBy("component").count().limit(len(comps) + 1).collect()  # at most one row per component
+    if {r["component"]: r["count"] for r in rows} != dict.fromkeys(comps, 1):
+        raise ValueError(f"the weights need exactly one row for each of {comps}")
     total = w.agg(F.sum(weight_col).alias("_tot"))
     w = w.crossJoin(F.broadcast(total)).select(
         "component", (F.col(weight_col) / F.col("_tot")).alias("_w"))
-    stacked = stack_predictions(preds, value, keys).join(F.broadcast(w), "component")
-    return (stacked.groupBy(*keys)
-            .agg(F.sum(F.col("_w") * F.col("_yhat")).alias(value),
-                 F.count(F.lit(1)).alias("_k"))
-            .filter(F.col("_k") == n).drop("_k"))
+    each = _per_component(preds, value, keys).join(F.broadcast(w), "component")
+    return _in_all(each, keys, len(preds), F.sum(F.col("_w") * F.col("_yhat")).alias(value))
 
 
 def equal_ensemble(preds: Mapping[str, DataFrame], value: str = "Yield_Mg_ha",
                    keys: Sequence[str] = KEYS) -> DataFrame:
     """Plain average of the component predictions."""
-    n = len(preds)
-    return (stack_predictions(preds, value, keys).groupBy(*keys)
-            .agg(F.avg("_yhat").alias(value), F.count(F.lit(1)).alias("_k"))
-            .filter(F.col("_k") == n).drop("_k"))
+    return _in_all(_per_component(preds, value, keys), keys, len(preds), F.avg("_yhat").alias(value))

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.operators.joins import join_written
+
 
 def filter_in(df: DataFrame, col: str, values: Iterable, cast: str | None = "int") -> DataFrame:
     """Keep rows whose ``col`` is in ``values`` (``%in%``); values are cast first."""
@@ -50,7 +52,7 @@ def semi_join_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> D
     """Keep rows whose key occurs in ``keys`` (``x %in% unique(keys)``).
 
     The key side is de-duplicated first (partial aggregate), so the join build
-    side is the set of distinct keys; AQE broadcasts it when it is measured small.
+    side is the set of distinct keys, written and broadcast under a measured size.
     """
     on = [on] if isinstance(on, str) else list(on)
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+    return join_written(df, keys.select(*on).distinct(), on, "left_semi", "semi_keys")

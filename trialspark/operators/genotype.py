@@ -7,10 +7,11 @@ sends at most one row per marker), then gathered into a single row holding
 an array of ``m`` doubles.  That row's size is bounded by the marker count
 (8 bytes per marker, not by the number of hybrids), so it is broadcast and
 applied with ``transform(values, (x, i) -> f(x, stat[i]))`` inside codegen.
-The statistics are written once and their size is checked before the
-broadcast; beyond ``MAX_BROADCAST_STATS_BYTES`` the same codings run in long
-form: cells joined with the statistics on the marker index, arrays rebuilt
-per hybrid.
+The statistics are written once and their markers counted before the gather;
+beyond ``MAX_BROADCAST_MARKERS`` the same codings run in long form: cells
+joined with the statistics on the marker index, arrays rebuilt per input row.
+Both forms keep every input row: a NULL array stays NULL, an empty one empty,
+rows of a repeated hybrid stay apart.
 
 Codings (values 0/1/2 = copies of the counted allele, p = its frequency):
   additive   z = x - 2p, missing -> 0
@@ -22,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.operators.joins import estimated_bytes
 from trialspark.session import materialize
 
 
@@ -69,54 +69,55 @@ def marker_vector(stats: DataFrame, value: str, name: str | None = None) -> Data
         lambda s: s["v"]).alias(name))
 
 
-# Broadcast bound for the per-marker statistics, measured on the written table
-# (a few bytes per marker on disk: millions of markers fit under it).
-MAX_BROADCAST_STATS_BYTES = 32 * 1024 * 1024
+# Most markers gathered into one broadcast row (8 bytes each, tens of MB as gathered structs).
+MAX_BROADCAST_MARKERS = 1_000_000
 
 
 def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out: str, fn,
-                      max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
+                      max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """out = transform(col, (x, i) -> fn(x, stat[i])) with per-marker ``stats`` (i, stat).
 
     The statistics (one row per marker) are written once to the checkpoint
-    folder and their size is checked: under ``max_bytes`` they travel as one
-    broadcast row; beyond it the cells are exploded, joined with the
-    statistics on the marker index (a shuffle join) and each hybrid's array
-    is rebuilt from its own cells.
+    folder and counted: up to ``max_markers`` they travel as one broadcast
+    row; beyond it the cells are exploded, joined with the statistics on the
+    marker index (a shuffle join) and each row's array is rebuilt from its own
+    cells.  Both ways give the same rows; a marker without a statistic has a
+    NULL one.
     """
     st = materialize(stats.select("i", F.col(stat).cast("double").alias("_stat")), "marker_stats")
-    if estimated_bytes(st) <= max_bytes:
+    keys = [c for c in g.columns if c != col]
+    if st.count() <= max_markers:
         vec = marker_vector(st, "_stat", "_stat")
         res = g.crossJoin(F.broadcast(vec)).withColumn(
-            out, F.transform(col, lambda x, i: fn(x, F.element_at("_stat", i + 1))))
-        return res.drop("_stat", *([col] if out != col else []))
-    keys = [c for c in g.columns if c != col]
-    cells = g.select(*keys, F.posexplode(col).alias("_i", "_x"))
-    coded = cells.join(st.withColumnRenamed("i", "_i"), "_i").select(
-        *keys, "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
-    rebuilt = coded.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias(out))
-    if out == col:
-        return rebuilt
-    return g.join(rebuilt, keys).drop(col)
+            out, F.transform(col, lambda x, i: fn(x, F.get("_stat", i))))
+        return res.select(*keys, out)
+    rows = materialize(g.withColumn("_rid", F.monotonically_increasing_id()), "genotype_rows")
+    cells = rows.select("_rid", F.posexplode(col).alias("_i", "_x"))
+    coded = cells.join(st.withColumnRenamed("i", "_i"), "_i", "left").select(
+        "_rid", "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
+    rebuilt = coded.groupBy("_rid").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias("_arr"))
+    none = F.array().cast("array<double>")
+    return rows.join(rebuilt, "_rid", "left").select(
+        *keys, F.when(F.col(col).isNotNull(), F.coalesce("_arr", none)).alias(out))
 
 
 def impute_markers(g: DataFrame, col: str = "dosage",
-                   max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
+                   max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Fill missing values with the marker mean rounded half-to-even.
 
     Markers with no observed value stay missing.
     """
     means = marker_means(g, col).withColumn("mean", F.bround("mean", 0))
     return apply_marker_stat(g, col, means, "mean", col, lambda x, mu: F.coalesce(x, mu),
-                             max_bytes)
+                             max_markers)
 
 
-def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z",
-                    max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
-    """Additive (allele-centred) coding z = x - 2p, missing -> 0; p from the imputed matrix."""
-    return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
-                             lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_bytes)
+def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z", freq: DataFrame | None = None,
+                    max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
+    """Additive (allele-centred) coding z = x - 2p, missing -> 0; p from the imputed matrix (or ``freq``)."""
+    return apply_marker_stat(g_imputed, col, freq or allele_freq(g_imputed, col), "p2", out,
+                             lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_markers)
 
 
 def _dominance(x, p):
@@ -128,11 +129,11 @@ def _dominance(x, p):
              .otherwise(F.lit(0.0)))
 
 
-def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w",
-                     max_bytes: int = MAX_BROADCAST_STATS_BYTES) -> DataFrame:
+def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w", freq: DataFrame | None = None,
+                     max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Dominance-deviation coding (missing -> 0 first, then by genotype class)."""
-    return apply_marker_stat(g_imputed, col, allele_freq(g_imputed, col), "p2", out,
-                             _dominance, max_bytes)
+    return apply_marker_stat(g_imputed, col, freq or allele_freq(g_imputed, col), "p2", out,
+                             _dominance, max_markers)
 
 
 def marker_variance(g_imputed: DataFrame, col: str = "dosage") -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.session import materialize
+
 # Broadcast bound for a side measured on disk (parquet; in memory it is a few times larger).
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -23,6 +25,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def join_written(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "left",
+                 name: str = "side") -> DataFrame:
+    """Write the reduced ``small`` side, then join by its measured size.
+
+    The rows of ``big`` are not shuffled while the written side is under the
+    bound, also where the static planner cannot know how small it is.
+    """
+    return join_by_size(big, materialize(small, name), on, how)
+
+
 def join_by_size(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
                  max_bytes: int = MAX_BROADCAST_BYTES, measured: DataFrame | None = None) -> DataFrame:
     """Join ``big`` with ``small``; broadcast ``small`` only if its measured size is under ``max_bytes``.

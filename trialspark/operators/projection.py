@@ -14,10 +14,6 @@ def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*cols)
-
-
 def select_positions(df: DataFrame, first: int, last: int) -> DataFrame:
     """Columns ``first..last`` (1-based, inclusive), like ``df[, first:last]``."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns[first - 1:last]])

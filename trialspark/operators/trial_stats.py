@@ -7,13 +7,14 @@ large factor (hybrid-by-environment, or hybrid) and ``factor`` a small one
 ``k`` replicate contrasts are solved for, from moments that are built out of
 per-(batch, cell, level) sufficient statistics:
 
-* ``level_stats``  groupBy(batch, cell, level) -> n, sum y, sum y^2
+* ``level_stats``  groupBy(batch, cell, level) -> n, mean y, centred sum of squares
   (map-side partial aggregation, so a hot cell is pre-aggregated before the
   shuffle and never lands in one task as raw rows);
 * ``cells``        groupBy(batch, cell) over those rows, with the <= k+1
   level statistics of the cell kept as a small array;
-* moments          S = sum_c (diag(n_cl) - n_c n_c' / n_c), b = sum_c (sy_cl -
-  n_cl * ybar_c), T = sum_c (syy_c - sy_c^2 / n_c), aggregated per batch;
+* moments          S = sum_c (diag(n_cl) - n_c n_c' / n_c), b = sum_c n_cl (ybar_cl -
+  ybar_c), T = sum_c sum_l (css_cl + n_cl (ybar_cl - ybar_c)^2), aggregated per batch.
+  Only centred sums occur, so a large common offset costs no digits;
 * solve            k = 1 in closed form on the JVM; k > 1 with one small
   ``applyInPandas`` over the per-batch moment rows (a few rows per batch);
 * back-substitution  alpha_c = ybar_c - sum_l beta_l n_cl / n_c (the cell
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.operators.joins import join_by_size
+from trialspark.operators.joins import join_by_size, join_written
 from trialspark.session import materialize
 
 # Fixed value: relative tolerance of the pivoting QR used to detect aliased columns.
@@ -53,12 +54,10 @@ class FixedEffectFit:
                 cell table joined with the written per-batch table
     batches:    written per-batch table: batch keys, ``_T``, ``_N``, ``_nlev``,
                 ``_bmap``, ``_rss``, ``_sd``
-    cell_stats: the written per-cell statistics (its file size bounds ``cells``)
     """
 
     cells: DataFrame
     batches: DataFrame
-    cell_stats: DataFrame | None = None
 
 
 def _solve_schema(batch_fields: list[T.StructField]) -> T.StructType:
@@ -115,19 +114,21 @@ def _make_solver(batch: list[str]):
 def _contributions(batch: list[str]):
     """Per-cell contribution rows (kind, l, m, v) whose per-batch sums are the moments.
 
-    kinds: T = syy - sy^2/n, N = n, b = sy_l - n_l * ybar, n = n_l, P = n_l * n_m / n.
+    kinds: T = centred sum of squares, N = n, b = n_l (ybar_l - ybar), n = n_l, P = n_l * n_m / n.
     One explode + one groupBy yields every moment of every batch in one pass.
     """
-    nc, syc = F.col("_n").cast("double"), F.col("_sy")
+    nc, mean = F.col("_n").cast("double"), F.col("_mean")
 
     def row(kind, l, m, v):
         return F.struct(F.lit(kind).alias("k"), l.cast("long").alias("l"),
                         m.cast("long").alias("m"), v.cast("double").alias("v"))
 
     none = F.lit(-1)
-    scalars = F.array(row("T", none, none, F.col("_syy") - syc * syc / nc),
+    within = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + x["_css"]
+                         + x["_n"] * (x["_m"] - mean) * (x["_m"] - mean))
+    scalars = F.array(row("T", none, none, within),
                       row("N", none, none, F.col("_n")))
-    lin_b = F.transform("_levels", lambda x: row("b", x["_lv"], none, x["_sy"] - x["_n"] * syc / nc))
+    lin_b = F.transform("_levels", lambda x: row("b", x["_lv"], none, x["_n"] * (x["_m"] - mean)))
     lin_n = F.transform("_levels", lambda x: row("n", x["_lv"], none, x["_n"]))
     pairs = F.flatten(F.transform("_levels", lambda a: F.transform(
         "_levels", lambda b: row("P", a["_lv"], b["_lv"], a["_n"] * b["_n"] / nc))))
@@ -152,12 +153,15 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
     rows = df.filter(y.isNotNull() & F.col(factor).isNotNull())
 
     level_stats = (rows.groupBy(*keys, F.col(factor).cast("long").alias("_lv"))
-                   .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_sy"),
-                        F.sum(y * y).alias("_syy")))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_m"),
+                        (F.var_pop(y) * F.count(F.lit(1))).alias("_css")))
+    # the cell mean is taken around the cell's first level mean, which loses no digits
+    first = F.col("_levels")[0]["_m"]
+    off = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + x["_n"] * (x["_m"] - first))
     cells = materialize(
         level_stats.groupBy(*keys)
-        .agg(F.sum("_n").alias("_n"), F.sum("_sy").alias("_sy"), F.sum("_syy").alias("_syy"),
-             F.collect_list(F.struct("_lv", "_n", "_sy")).alias("_levels")),
+        .agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_lv", "_n", "_m", "_css"))).alias("_levels"))
+        .withColumn("_mean", first + off / F.col("_n")),
         "fe_cells")
 
     contrib = (cells.select(*batch, _contributions(batch))
@@ -215,15 +219,15 @@ def fit_cell_factor_model(df: DataFrame, trait: str, cell: Sequence[str], factor
         .drop("_fit_ss"),
         "fe_batches")
 
-    nc, syc = F.col("_n").cast("double"), F.col("_sy")
+    nc = F.col("_n").cast("double")
     bmap = F.col("_bmap")
     shift = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + F.coalesce(
         F.element_at(bmap, x["_lv"]), F.lit(0.0)) * x["_n"])
     # one row per batch, written above: broadcast after the size check
     cells_out = (join_by_size(cells, batches.select(*batch, "_bmap", "_sd", "_nlev"), batch)
-                 .select(*keys, "_n", ((syc - shift) / nc).alias("_alpha"),
+                 .select(*keys, "_n", (F.col("_mean") - shift / nc).alias("_alpha"),
                          "_bmap", "_sd", "_nlev"))
-    return FixedEffectFit(cells=cells_out, batches=batches, cell_stats=cells)
+    return FixedEffectFit(cells=cells_out, batches=batches)
 
 
 def outlier_flag(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str] = ("Hybrid_Env",),
@@ -238,10 +242,9 @@ def outlier_flag(df: DataFrame, trait: str = "Yield_Mg_ha", cell: Sequence[str]
     batch, cell = list(batch), list(cell)
     fit = fit_cell_factor_model(df, trait, cell, factor, batch)
     rows = df.filter(F.col(trait).isNotNull() & F.col(factor).isNotNull())
-    # rows x cells: the cell table (written by the fit) is broadcast only when measured small
-    # (one row per cell, so the written cell table's size bounds it)
-    out = join_by_size(rows, fit.cells.select(*batch, *cell, "_alpha", "_bmap", "_sd"), batch + cell,
-                       measured=fit.cell_stats)
+    # rows x cells: the very frame that is joined is written, measured and broadcast only when small
+    out = join_written(rows, fit.cells.select(*batch, *cell, "_alpha", "_bmap", "_sd"), batch + cell, "inner",
+                       "fe_effects")
     resid = (F.col(trait) - F.col("_alpha")
              - F.coalesce(F.element_at("_bmap", F.col(factor).cast("long")), F.lit(0.0)))
     out = out.withColumn("RESID", resid)
@@ -295,7 +298,8 @@ def blues_and_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
     """(BLUEs of replicated sites, plot rows of single-replicate sites) from one fit.
 
     The fit's per-site table already holds each site's level count, so the
-    single-replicate sites come from it instead of a second pass over ``df``.
+    other sites come from it instead of a second pass over ``df``.  Sites
+    without any replicate number pass through like those with one.
     """
     site = list(site)
     fit = fit_cell_factor_model(df, trait, [hybrid], factor, site)
@@ -304,9 +308,8 @@ def blues_and_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
              .select(year, loc, hybrid, F.col("_alpha").alias(trait),
                      F.concat(F.col(loc).cast("string"), F.lit(env_sep),
                               F.col(year).cast("string")).alias("Env")))
-    ones = fit.batches.filter(F.col("_nlev") == 1).select(*site)
-    single = (df.filter(F.col(trait).isNotNull())
-              .join(ones, site, "left_semi")
+    many = fit.batches.filter(F.col("_nlev") >= 2).select(*site)  # a written table
+    single = (join_by_size(df.filter(F.col(trait).isNotNull()), many, site, "left_anti", measured=fit.batches)
               .select("Year", "Field_Location", "Hybrid", trait, "Env"))
     return blues, single
 
@@ -314,12 +317,11 @@ def blues_and_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
 def blue_single_rep(df: DataFrame, trait: str = "Yield_Mg_ha",
                     site: Sequence[str] = ("Year", "Field_Location"),
                     factor: str = "Replicate") -> DataFrame:
-    """Plot rows of sites with a single replicate, passed through unchanged.
+    """Plot rows of sites with one replicate level or none, passed through unchanged.
 
     Output: Year, Field_Location, Hybrid, <trait>, Env.
     """
     site = list(site)
-    ones = site_levels(df, site, factor, trait).filter(F.col("n_rep") == 1).select(*site)
-    return (df.filter(F.col(trait).isNotNull())
-            .join(ones, site, "left_semi")
+    many = site_levels(df, site, factor, trait).filter(F.col("n_rep") >= 2).select(*site)
+    return (join_written(df.filter(F.col(trait).isNotNull()), many, site, "left_anti", "replicated_sites")
             .select("Year", "Field_Location", "Hybrid", trait, "Env"))

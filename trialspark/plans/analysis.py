@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.keys import ENV_RECODE
+from trialspark.operators import ensemble as EN
 from trialspark.operators import genotype as G
 from trialspark.operators import trial_stats as TS
 from trialspark.plans import features as FE
@@ -61,6 +62,9 @@ class Inputs:
     test_ec: str
     test_soil: str
     genotype: str | None = None
+    # batches computed elsewhere: outlier-free plots appended before the BLUEs, BLUE tables after them
+    clean_plots: Sequence[str] = ()
+    blues: Sequence[str] = ()
 
 
 def _read(spark: SparkSession, path: str, strings: Sequence[str] = ("Env",),
@@ -68,11 +72,10 @@ def _read(spark: SparkSession, path: str, strings: Sequence[str] = ("Env",),
     schema, sep = TX.schema_from_header(spark, path, strings, ints)
     df = TX.read_delimited(spark, path, schema, sep=sep)
     if order_col:
-        # file order for first-row-per-Env: ids grow with the position in the
-        # file (splits of one file are read in offset order).  For a table split
-        # over several files, pass an explicit order column instead: Spark packs
-        # multiple files by size, not by name.
-        df = df.withColumn(order_col, F.monotonically_increasing_id())
+        # file order for first-row-per-Env: file by name, block by offset, then the
+        # running id, which grows along a block
+        df = df.withColumn(order_col, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                               F.monotonically_increasing_id().alias("id")))
     return df
 
 
@@ -100,19 +103,25 @@ def _batch_of(years: Sequence[Sequence[int]]):
     for i, ys in enumerate(years):
         cond = F.col("Year").isin(list(ys))
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+    # a year outside every listed batch is a batch of its own, below zero
+    return F.coalesce(expr, -F.col("Year") - 1, F.lit(-1))
 
 
 def phenotypes(trait: DataFrame, template: DataFrame,
                outlier_batches: Sequence[Sequence[int]] = DEFAULT_OUTLIER_BATCHES,
-               years: Sequence[int] | None = PH.TRAIN_YEARS):
-    """(flagged plots, phenotype table); each outlier fit covers one group of years."""
-    years_all = sorted({y for ys in outlier_batches for y in ys})
-    plots = PH.plot_rows(trait.filter(F.col("Year").isin(years_all))) \
-        .withColumn("_batch", _batch_of(outlier_batches))
-    flagged = TS.outlier_flag(plots, batch=("_batch",)).drop("_batch")
-    clean = materialize(TS.outlier_filter(flagged), "clean_plots")
-    return flagged, PH.phenotype_from_clean(clean, PH.test_locations(template), years)
+               years: Sequence[int] | None = PH.TRAIN_YEARS, extra_clean: Sequence[DataFrame] = (),
+               extra_blues: Sequence[DataFrame] = ()):
+    """(flagged plots, plots without outliers, phenotype table).
+
+    Each outlier fit covers one group of years; years in no group are fitted
+    one by one, so no plot is dropped for its year.
+    """
+    plots = PH.plot_rows(trait).withColumn("_batch", _batch_of(outlier_batches))
+    flagged = materialize(TS.outlier_flag(plots, batch=("_batch",)).drop("_batch"), "flagged_plots")
+    clean = TS.outlier_filter(flagged)
+    for extra in extra_clean:
+        clean = clean.unionByName(extra, allowMissingColumns=True)
+    return flagged, clean, PH.phenotype_from_clean(clean, PH.test_locations(template), years, extra_blues)
 
 
 def feature_tables(t: Mapping[str, DataFrame], pheno: DataFrame,
@@ -126,6 +135,8 @@ def feature_tables(t: Mapping[str, DataFrame], pheno: DataFrame,
     tmeasures = tw.columns[lo - 1:hi]
     test = PH.test_keys(t["template"])
     return {
+        "_WeatherByEnv": FE.weather_means(w, measures, recode_map, False),
+        "_TestWeatherByEnv": FE.weather_means(tw, tmeasures, recode_map, True),
         "PhenoWeather": FE.features_weather(pheno, w, measures, recode_map),
         "PhenoEC": FE.features_ec(pheno, t["ec"], "_row", recode_map, keep_order=False),
         "PhenoMetal": FE.features_meta(pheno, t["meta"], locs, META_KEEP, META_TEXT),
@@ -142,45 +153,95 @@ def feature_tables(t: Mapping[str, DataFrame], pheno: DataFrame,
 
 def genotype_tables(geno: DataFrame) -> dict:
     """Imputed dosage, additive and dominance codings, each (Hybrid, array<double>)."""
-    gi = G.impute_markers(G.scale_dosage(geno))
+    gi = materialize(G.impute_markers(G.scale_dosage(geno)), "genotype_imputed")
+    freq = materialize(G.allele_freq(gi), "allele_frequencies")
     return {"Genotype_True": gi,
-            "Genomic_addev_matrix": G.additive_coding(gi, out="dosage"),
-            "Genomic_dodev_matrix": G.dominance_coding(gi, out="dosage")}
+            "Genomic_addev_matrix": G.additive_coding(gi, out="dosage", freq=freq),
+            "Genomic_dodev_matrix": G.dominance_coding(gi, out="dosage", freq=freq)}
+
+
+@dataclass
+class Recipe:
+    """One model of the analysis: genotype table, learner, folds, search space, number of candidates."""
+
+    genotype: str | None
+    kind: str = "boosted"
+    folds: str = "loyo"
+    space: Mapping | None = None
+    n_iter: int = MD.N_ITER
+
 
+#: The five models, with the analysis' own spaces, fold schemes and candidate counts.
+RECIPES = {
+    "normal": Recipe("Genotype_True", space=MD.BOOSTED_SPACE),
+    "additive": Recipe("Genomic_addev_matrix", space=MD.BOOSTED_SPACE),
+    "dominance": Recipe("Genomic_dodev_matrix", space=MD.BOOSTED_SPACE),
+    "env": Recipe(None, folds="contiguous", space=MD.ENV_ONLY_SPACE, n_iter=MD.N_ITER_ENV),
+    "leaf_wise": Recipe("Genotype_True", kind="forest", folds="contiguous", space=MD.LEAF_WISE_SPACE),
+}
+FOLD_ORDER = ["Year", "Field_Location", "Hybrid"]
 
-def predict(blocks: Mapping[str, DataFrame], geno: DataFrame | None, kind: str = "boosted",
-            folds: str = "loyo", space: Mapping = MD.BOOSTED_SPACE,
-            budget: MD.Budget | None = None) -> DataFrame:
+
+def predict(blocks: Mapping[str, DataFrame], genotypes: Mapping[str, DataFrame], recipe: Recipe,
+            parallelism: int = 2) -> DataFrame:
     """Train matrix (meta x weather x genotype) -> search -> fit -> test predictions."""
-    train = MX.assemble(blocks["PhenoMetal"], blocks["PhenoWeather"], geno, "Hybrid_Env",
-                        MX.TRAIN_KEYS, years=PH.TRAIN_YEARS if geno is not None else None)
-    test = MX.assemble(blocks["TestPhenometal"], blocks["TestPhenoweather"], geno,
-                       "Hybrid_Field", MX.TEST_KEYS)
-    train = MD.loyo(train) if folds == "loyo" else MD.contiguous(train, ["Hybrid_Env", "Yield_Mg_ha"])
-    data = MD.prepare(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS)
-    model, _ = MD.search_and_fit(data, space, kind, budget)
+    geno = genotypes[recipe.genotype] if recipe.genotype else None
+    train = MX.assemble(blocks["PhenoMetal"], blocks["_WeatherByEnv"], geno,
+                        years=PH.TRAIN_YEARS if geno is not None else None)
+    test = MX.assemble(blocks["TestPhenometal"], blocks["_TestWeatherByEnv"], geno)
+    train = MD.loyo(train) if recipe.folds == "loyo" else MD.contiguous(train, FOLD_ORDER)
+    # raw dosages are centred on the marker means, the two codings on zero
+    means = G.marker_means(geno) if recipe.genotype == "Genotype_True" else None
+    data = MD.prepare(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS, means)
+    model, _ = MD.search_and_fit(data, recipe.space, recipe.kind, MD.Budget(recipe.n_iter, parallelism))
     return MD.predict(model, data.test)
 
 
-def run(spark: SparkSession, inp: Inputs, out_dir: str, budget: MD.Budget | None = None,
-        geno_variant: str = "Genotype_True") -> dict:
-    """Whole analysis; writes every stage output under ``out_dir`` and returns the tables."""
+def ensembles(preds: Mapping[str, DataFrame], weights: DataFrame | None) -> dict:
+    """The combinations whose components are there: weighted (additive, dominance), weighted with the
+    environment model as the residual component, and the plain average of the two learners."""
+    out = {}
+    parts = {"additive": "additive", "dominance": "dominance", "residual": "env"}
+    if weights is not None and {"additive", "dominance"} <= set(preds):
+        out["weighted2"] = EN.weighted_ensemble({k: preds[k] for k in ("additive", "dominance")}, weights)
+        if "env" in preds:
+            out["weighted3"] = EN.weighted_ensemble({k: preds[v] for k, v in parts.items()}, weights)
+    if {"normal", "leaf_wise"} <= set(preds):
+        out["learners"] = EN.equal_ensemble({k: preds[k] for k in ("normal", "leaf_wise")})
+    return out
+
+
+def run(spark: SparkSession, inp: Inputs, out_dir: str, recipes: Mapping[str, Recipe] = RECIPES,
+        weights: DataFrame | None = None) -> dict:
+    """Whole analysis; writes every stage output under ``out_dir`` and returns the tables.
+
+    ``recipes`` are the models to fit (those with a genotype only if one is
+    given); ``weights`` (component, V) are the variances of the weighted
+    ensembles, which are left out without them.
+    """
     t = read_inputs(spark, inp)
-    flagged, pheno = phenotypes(t["trait"], t["template"])
+    clean_extra = [_read(spark, p, [*TRAIT_TEXT, "Hybrid_Env"], TRAIT_INT, None) for p in inp.clean_plots]
+    blue_extra = [PH.phenotype_from_external(_read(spark, p, ["Hybrid", "Field.Location", "Field_Location", "Env"],
+                                                   ["Year"], None)).drop("Hybrid_Env") for p in inp.blues]
+    flagged, clean, pheno = phenotypes(t["trait"], t["template"], extra_clean=clean_extra, extra_blues=blue_extra)
     TX.write_delimited(flagged, os.path.join(out_dir, "Pheno_data_Outlier"))
+    TX.write_delimited(clean, os.path.join(out_dir, "Pheno_data_without_Outlier"))
     TX.write_delimited(pheno, os.path.join(out_dir, "Phenotype_Blue"))
     blocks = feature_tables(t, pheno)
     for name, df in blocks.items():
-        TX.write_delimited(df, os.path.join(out_dir, name))
-    geno = None
-    out = {"flagged": flagged, "phenotype": pheno, **blocks}
+        if not name.startswith("_"):
+            TX.write_delimited(df, os.path.join(out_dir, name))
+    out = {"flagged": flagged, "clean": clean, "phenotype": pheno, **blocks}
+    genotypes = {}
     if "genotype" in t:
-        gt = genotype_tables(t["genotype"])
-        for name, df in gt.items():
+        genotypes = genotype_tables(t["genotype"])
+        for name, df in genotypes.items():
             TX.write_genotype_text(df, t["markers"], os.path.join(out_dir, name))
-        out.update(gt)
-        geno = gt[geno_variant]
-    pred = predict(blocks, geno, budget=budget)
-    TX.write_csv(pred, os.path.join(out_dir, "predictions"))
-    out["predictions"] = pred
+        out.update(genotypes)
+    preds = {name: predict(blocks, genotypes, r) for name, r in recipes.items()
+             if r.genotype is None or r.genotype in genotypes}
+    preds |= ensembles(preds, weights)
+    for name, df in preds.items():
+        TX.write_csv(df, os.path.join(out_dir, f"predictions_{name}"))
+    out["predictions"] = preds
     return out

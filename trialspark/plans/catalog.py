@@ -19,12 +19,13 @@ from trialspark.operators import genotype as G
 from trialspark.operators import projection as P
 from trialspark.operators import trial_stats as TS
 from trialspark.operators import impute as IM
+from trialspark.operators.joins import join_written
 from trialspark.plans import features as FE
 from trialspark.plans import folds as FO
 from trialspark.plans import matrices as MX
 from trialspark.plans import model as MD
 from trialspark.plans import phenotype as PH
-from trialspark.session import scratch_path
+from trialspark.session import materialize, scratch_path
 from trialspark.sources import fixtures as V
 from trialspark.sources import text as TX
 
@@ -37,6 +38,8 @@ def query(fn):
 
 
 MEASURES = ["w1", "w2"]
+# row order of the phenotype file: by year, then site; the label takes no part
+FOLD_ORDER = ["Year", "Field_Location", "Hybrid"]
 # fixture parameters: soil drops split columns + first measure; F2 drops one training year
 SOIL_DROP_POSITIONS = [2, 3, 4]
 SOIL_EXCLUDE_YEARS = [2019]
@@ -66,7 +69,8 @@ def _test(spark, sf):
 
 
 def _geno_imputed(spark, sf):
-    return G.impute_markers(G.scale_dosage(V.geno(spark, sf)))
+    """Written once: the codings and their frequencies read it instead of imputing again."""
+    return materialize(G.impute_markers(G.scale_dosage(V.geno(spark, sf))), "geno_imputed")
 
 
 def _long(g, col="dosage", value="v"):
@@ -88,7 +92,7 @@ def scan_trial(spark, sf):
 def geno_scan(spark, sf):
     """Genotype matrix written as wide marker text and read back as arrays (long output)."""
     g = V.geno(spark, sf)
-    m = g.select(F.size("dosage").alias("n")).limit(1).select(
+    m = g.agg(F.max(F.size("dosage")).alias("n")).select(
         F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i", "_")).select(
         "i", F.concat(F.lit("m"), F.col("i").cast("string")).alias("marker"))
     path = scratch_path(spark, "geno_txt")
@@ -214,16 +218,14 @@ def join_weather(spark, sf):
 
 @query
 def join_meta(spark, sf):
-    return _plots(spark, sf).join(V.meta(spark, sf), "Env", "left")
+    return join_written(_plots(spark, sf), V.meta(spark, sf), "Env", "left", "meta")
 
 
 @query
 def join_feature_blocks(spark, sf):
-    """Metadata block inner-joined with the (one row per key) weather block."""
-    pheno = _pheno(spark, sf)
-    meta_b = FE.features_meta(pheno, V.meta(spark, sf), _locations(spark, sf))
-    wb = FE.features_weather(pheno, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
-    return MX.assemble(meta_b, wb, None, "Hybrid_Env", MX.TRAIN_KEYS)
+    """Metadata rows with the weather means (one row per Env) attached."""
+    meta_b = FE.features_meta(_pheno(spark, sf), V.meta(spark, sf), _locations(spark, sf))
+    return MX.assemble(meta_b, _weather_means(spark, sf, False), None)
 
 
 @query
@@ -443,17 +445,18 @@ def geno_dominance(spark, sf):
 def train_wide(spark, sf, geno: str | None = "raw"):
     pheno = _pheno(spark, sf)
     meta_b = FE.features_meta(pheno, V.meta(spark, sf), _locations(spark, sf))
-    wb = FE.features_weather(pheno, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
-    g = _geno_variant(spark, sf, geno)
-    return MX.assemble(meta_b, wb, g, "Hybrid_Env", MX.TRAIN_KEYS,
+    return MX.assemble(meta_b, _weather_means(spark, sf, False), _geno_variant(spark, sf, geno),
                        years=PH.TRAIN_YEARS if geno else None)
 
 
 def test_wide(spark, sf, geno: str | None = "raw"):
     test = _test(spark, sf)
     meta_t = FE.test_features_meta(test, V.meta(spark, sf), _locations(spark, sf))
-    wt = FE.test_features_weather(test, V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE)
-    return MX.assemble(meta_t, wt, _geno_variant(spark, sf, geno), "Hybrid_Field", MX.TEST_KEYS)
+    return MX.assemble(meta_t, _weather_means(spark, sf, True), _geno_variant(spark, sf, geno))
+
+
+def _weather_means(spark, sf, na_rm: bool):
+    return FE.weather_means(V.weather_raw(spark, sf), MEASURES, V.FIXTURE_RECODE, na_rm)
 
 
 def _geno_variant(spark, sf, geno):
@@ -496,9 +499,9 @@ def train_matrix_env(spark, sf):
 
 @query
 def test_matrix(spark, sf):
-    train = train_wide(spark, sf, "raw")
-    test = MX.align_test(test_wide(spark, sf, "raw"), train, MX.TEST_KEYS, MX.TRAIN_KEYS)
-    feats = [c for c in train.columns if c not in set(MX.TRAIN_KEYS) and c != "geno"]
+    # the train columns are the blocks' own; the training rows are not needed for their names
+    feats = [c for c in V.meta(spark, sf).columns if c != "Env"] + MEASURES
+    test = MX.align_test(test_wide(spark, sf, "raw"), [*MX.TRAIN_KEYS, *feats, "geno"], MX.TEST_KEYS, MX.TRAIN_KEYS)
     return MX.to_long(test, ["Hybrid_Field", "Hybrid", "Env"], feats)
 
 
@@ -510,8 +513,8 @@ def folds_leave_year_out(spark, sf):
 
 @query
 def folds_contiguous(spark, sf):
-    t = train_wide(spark, sf, None).select("Hybrid_Env", "Yield_Mg_ha")
-    return FO.contiguous_folds(t, ["Hybrid_Env", "Yield_Mg_ha"], k=5)
+    t = train_wide(spark, sf, None).select("Year", "Field_Location", "Hybrid", "Hybrid_Env")
+    return FO.contiguous_folds(t, FOLD_ORDER, k=5)
 
 
 @query
@@ -549,37 +552,48 @@ def ensemble_equal(spark, sf):
 
 # ---------------------------------------------------------------- search, fit, predict (rows-only)
 
-# quick-check budget for registered queries: 2 sampled candidates, <= 5 trees per fit
-QUICK_BUDGET = MD.Budget(n_iter=2, max_trees=5, parallelism=2)
-
-
-def _fit_predict(spark, sf, geno, kind, fold_scheme, space, budget=QUICK_BUDGET):
-    train = train_wide(spark, sf, geno)
-    if fold_scheme == "loyo":
-        train = MD.loyo(train)
-    else:
-        train = MD.contiguous(train, ["Hybrid_Env", "Yield_Mg_ha"])
-    keys = MX.TRAIN_KEYS + ["fold"]
-    data = MD.prepare(train, test_wide(spark, sf, geno), keys, MX.TEST_KEYS)
-    model, _ = MD.search_and_fit(data, space, kind, budget)
-    return MD.predict(model, data.test)
+# The registered model queries search a small space of their own, two candidates each, run as drawn;
+# the analysis' full spaces and counts are the defaults of ``analysis.run``.
+SMALL_SPACE = dict(MD.BOOSTED_SPACE, n_estimators=(3, 6, "log-uniform"), max_depth=(2, 4, "log-uniform"))
+SMALL_LEAF_SPACE = dict(MD.LEAF_WISE_SPACE, n_estimators=(3, 6, "log-uniform"), max_depth=(2, 4, "uniform"))
+SMALL_BUDGET = MD.Budget(n_iter=2, parallelism=2)
+
+
+def _fit_predict(spark, sf, geno, fits):
+    """One prediction table per (kind, fold scheme, space) in ``fits``, on shared training rows."""
+    rows = materialize(train_wide(spark, sf, geno), "model_rows")
+    test = materialize(test_wide(spark, sf, geno), "model_test_rows")
+    means = G.marker_means(_geno_imputed(spark, sf)) if geno == "raw" else None
+    out = []
+    for kind, fold_scheme, space in fits:
+        train = MD.loyo(rows) if fold_scheme == "loyo" else MD.contiguous(rows, FOLD_ORDER)
+        data = MD.prepare(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS, means)
+        model, _ = MD.search_and_fit(data, space, kind, SMALL_BUDGET)
+        out.append(MD.predict(model, data.test))
+    return out
 
 
 @query
 def submission(spark, sf):
-    """Boosted trees on metadata + weather + marker dosage, leave-one-year-out search."""
-    return _fit_predict(spark, sf, "raw", "boosted", "loyo", MD.BOOSTED_SPACE)
+    """Boosted trees on metadata + weather + marker dosage, leave-one-year-out search of SMALL_SPACE."""
+    return _fit_predict(spark, sf, "raw", [("boosted", "loyo", SMALL_SPACE)])[0]
 
 
 @query
 def submission_env(spark, sf):
-    """Boosted trees on metadata + weather only, 5 contiguous folds."""
-    return _fit_predict(spark, sf, None, "boosted", "contiguous", MD.ENV_ONLY_SPACE)
+    """Boosted trees on metadata + weather only, 5 contiguous folds, search of SMALL_SPACE."""
+    return _fit_predict(spark, sf, None, [("boosted", "contiguous", SMALL_SPACE)])[0]
 
 
 @query
 def ensemble_learners(spark, sf):
-    """Equal-weight average of a boosted and a forest model on the same matrix."""
-    a = _fit_predict(spark, sf, "raw", "boosted", "loyo", MD.BOOSTED_SPACE)
-    b = _fit_predict(spark, sf, "raw", "forest", "contiguous", MD.LEAF_WISE_SPACE)
+    """Equal-weight average of a boosted and a forest model on the same matrix (small spaces)."""
+    a, b = _fit_predict(spark, sf, "raw", [("boosted", "loyo", SMALL_SPACE), ("forest", "contiguous", SMALL_LEAF_SPACE)])
     return EN.equal_ensemble({"boosted": a, "forest": b})
+
+
+@query
+def ensemble_codings(spark, sf):
+    """Variance-weighted average of the fits on the additive and on the dominance coding (SMALL_SPACE)."""
+    preds = {name: _fit_predict(spark, sf, name, [("boosted", "loyo", SMALL_SPACE)])[0] for name in ("additive", "dominance")}
+    return EN.weighted_ensemble(preds, V.variance_weights(spark))

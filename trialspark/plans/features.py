@@ -1,9 +1,9 @@
 """Per-environment feature blocks joined onto phenotype (train) or template (test) rows.
 
 Each block is reduced to at most the rows the reference keeps *before* the
-join (aggregate or first-per-Env), then left-joined on ``Env``.  Block
-tables have one row per environment, so AQE broadcasts them when measured
-small and otherwise keeps a sort-merge join.
+join (aggregate or first-per-Env), written, and left-joined on ``Env``.
+Block tables have about one row per environment; the written size decides
+between a broadcast, which leaves the rows where they are, and a sort-merge join.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from trialspark.operators import aggregate as A
 from trialspark.operators import filters as FL
 from trialspark.operators import projection as P
 from trialspark.operators.impute import impute_group_mean
+from trialspark.operators.joins import join_written
 from trialspark.plans.phenotype import add_location_year
 
 
@@ -30,7 +31,7 @@ def weather_means(weather: DataFrame, measures: Sequence[str], recode_map: Mappi
 def features_weather(pheno: DataFrame, weather: DataFrame, measures: Sequence[str],
                      recode_map: Mapping[str, str], na_rm: bool = False) -> DataFrame:
     """Phenotype rows + weather means (NULL-propagating for train by default)."""
-    return pheno.join(weather_means(weather, measures, recode_map, na_rm), "Env", "left")
+    return join_written(pheno, weather_means(weather, measures, recode_map, na_rm), "Env", "left", "weather_means")
 
 
 def ec_first(ec: DataFrame, recode_map: Mapping[str, str] | None, order: str) -> DataFrame:
@@ -49,7 +50,7 @@ def features_ec(pheno: DataFrame, ec: DataFrame, order: str,
     block = ec_first(ec, recode_map, order)
     if not keep_order:
         block = block.drop(order)
-    joined = pheno.join(block, "Env", "left")
+    joined = join_written(pheno, block, "Env", "left", "ec_first")
     return FL.drop_sparse_rows(joined, max_missing)
 
 
@@ -68,7 +69,7 @@ def features_meta(pheno: DataFrame, meta: DataFrame, locations: DataFrame,
                   impute_by: str = "Field_Location", max_missing: float = 0.5,
                   impute_exclude: Sequence[str] = ("Yield_Mg_ha",)) -> DataFrame:
     """Phenotype rows + metadata; drop sparse rows; impute by location mean (train)."""
-    joined = pheno.join(meta_block(meta, locations, keep, drop), "Env", "left")
+    joined = join_written(pheno, meta_block(meta, locations, keep, drop), "Env", "left", "meta_block")
     joined = FL.drop_sparse_rows(joined, max_missing)
     return impute_group_mean(joined, impute_by, exclude=impute_exclude)
 
@@ -83,7 +84,7 @@ def features_soil(pheno: DataFrame, soil: DataFrame, drop_positions: Iterable[in
                   impute_by: str = "Field_Location",
                   impute_exclude: Sequence[str] = ("Yield_Mg_ha",)) -> DataFrame:
     """Phenotype rows + soil (not de-duplicated), drop years and sparse rows, impute."""
-    joined = pheno.join(soil_block(soil, drop_positions), "Env", "left")
+    joined = join_written(pheno, soil_block(soil, drop_positions), "Env", "left", "soil_block")
     joined = FL.filter_not_in(joined, "Year", exclude_years)
     joined = FL.drop_sparse_rows(joined, max_missing)
     return impute_group_mean(joined, impute_by, exclude=impute_exclude)
@@ -103,11 +104,11 @@ def test_features_ec(test: DataFrame, ec: DataFrame, order: str,
 
 def test_features_meta(test: DataFrame, meta: DataFrame, locations: DataFrame,
                        keep: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
-    return test.join(meta_block(meta, locations, keep, drop), "Env", "left")
+    return join_written(test, meta_block(meta, locations, keep, drop), "Env", "left", "meta_block")
 
 
 def test_features_soil(test: DataFrame, soil: DataFrame, drop_positions: Iterable[int],
                        order: str) -> DataFrame:
     block = A.first_per_key(soil_block(soil, drop_positions), "Env", order)
-    return test.join(block, "Env", "left")
+    return join_written(test, block, "Env", "left", "soil_first")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.joins import join_written
 from trialspark.operators.ordering import with_row_index
 
 
@@ -15,11 +16,11 @@ def leave_one_group_out(df: DataFrame, group: str = "Year", fold: str = "fold")
     """Fold id = 0-based rank of the row's group among the distinct groups.
 
     Distinct groups are few (years); ranking them is a window over that tiny
-    table, and it is joined back to the rows.
+    table, which is written and joined back by its measured size.
     """
     groups = df.select(group).distinct()
     ranked = groups.select(group, (F.dense_rank().over(Window.orderBy(group)) - 1).alias(fold))
-    return df.join(ranked, group)
+    return join_written(df, ranked, group, "inner", "fold_groups")
 
 
 def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 5,

@@ -1,15 +1,13 @@
 """Model matrices: train/test rows with environment features and marker codings.
 
-Train: metadata block (imputed) inner-joined with the weather block on
-``Hybrid_Env``, left-joined with the genotype table on ``Hybrid``, restricted
-to the training years.  Test: the same on ``Hybrid_Field``, then aligned to
-the train feature columns.
-
-The weather block carries per-environment values only, so it is reduced to
-one row per key before the inner join; every join is then many-to-one and no
-key ever emits all pairs of its duplicate rows.  (Where a single-replicate
-site repeats a ``Hybrid_Env`` key, the unreduced inner join would multiply
-those rows n x n; each plot row appears once here.)
+Train: metadata rows (imputed) joined with the weather means on ``Env``,
+left-joined with the genotype table on ``Hybrid``, restricted to the training
+years.  Test: the same, then aligned to the train feature columns.
+
+The weather block holds one row per environment and is attached by ``Env``,
+not by the row keys: every join is many-to-one, each plot row appears once
+(also where a site repeats a hybrid, or a template has one hybrid at two
+sub-sites), and no rows are shuffled to attach a small table.
 """
 
 from __future__ import annotations
@@ -21,23 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators import filters as FL
+from trialspark.operators.genotype import marker_vector
+from trialspark.operators.joins import join_written
 from trialspark.operators.projection import align_columns
 
 TRAIN_KEYS = ["Hybrid", "Year", "Field_Location", "Env", "Hybrid_Env", "Yield_Mg_ha"]
 TEST_KEYS = ["Hybrid", "Year", "Field_Location", "Env", "Hybrid_Field", "Yield_Mg_ha"]
 
 
-def _block(df: DataFrame, key: str, drop: Sequence[str]) -> DataFrame:
-    cols = [c for c in df.columns if c not in set(drop) and c != key]
-    return df.select(key, *cols).distinct()
-
-
-def assemble(meta_block: DataFrame, weather_block: DataFrame, geno: DataFrame | None,
-             key: str, keys: Sequence[str], years: Iterable[int] | None = None,
-             geno_col: str = "dosage") -> DataFrame:
-    """Join the blocks: meta (rows) x weather (one row per key) x genotype (one row per hybrid)."""
-    wb = _block(weather_block, key, [c for c in keys if c != key])
-    out = meta_block.join(wb, key, "inner")
+def assemble(meta_rows: DataFrame, weather_by_env: DataFrame, geno: DataFrame | None,
+             years: Iterable[int] | None = None, geno_col: str = "dosage") -> DataFrame:
+    """Join the blocks: metadata rows, weather (one row per Env), genotype (one row per hybrid)."""
+    out = join_written(meta_rows, weather_by_env, "Env", "left", "weather_by_env")
     if geno is not None:
         out = out.join(geno.select("Hybrid", F.col(geno_col).alias("geno")), "Hybrid", "left")
     if years is not None:
@@ -64,13 +57,25 @@ def to_long(df: DataFrame, id_cols: Sequence[str], scalar_cols: Sequence[str],
     return df.select(*id_cols, F.explode(feats).alias("_f")).select(*id_cols, "_f.feature", "_f.value")
 
 
-def align_test(test: DataFrame, train: DataFrame, keys_test: Sequence[str],
+def align_test(test: DataFrame, train_columns: Sequence[str], keys_test: Sequence[str],
                keys_train: Sequence[str]) -> DataFrame:
-    """Test rows with the train feature columns (missing -> 0), keys kept in front."""
-    feats = [c for c in train.columns if c not in set(keys_train)]
+    """Test rows with the train feature columns (missing -> 0), keys kept in front.
+
+    Only the names of the train columns are needed, never its rows.
+    """
+    feats = [c for c in train_columns if c not in set(keys_train)]
     return align_columns(test, list(keys_test) + feats, fill=0)
 
 
+def fill_missing_genotypes(df: DataFrame, marker_means: DataFrame) -> DataFrame:
+    """Rows whose hybrid has no genotype get the marker means (i, mean) instead of NULL.
+
+    The means travel as one broadcast row, a double per marker.
+    """
+    vec = marker_vector(marker_means, "mean", "_means")
+    return df.crossJoin(F.broadcast(vec)).withColumn("geno", F.coalesce("geno", "_means")).drop("_means")
+
+
 def ml_ready(df: DataFrame, scalar_cols: Sequence[str], fill: dict[str, float],
              geno_len: int | None = None) -> DataFrame:
     """Replace NULL features by ``fill`` (train means) and add 0/1 missing indicators.

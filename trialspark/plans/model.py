@@ -75,15 +75,13 @@ SPARK_MAX_DEPTH = 30
 
 @dataclass
 class Budget:
-    """Search budget: number of candidates and a cap on trees per fit.
+    """Number of candidates and of fits at a time.
 
-    Defaults are the analysis' own (20 candidates, uncapped trees).  A smaller
-    budget is a run-time choice for quick checks, never a change of the
-    candidate distribution.
+    Every candidate runs exactly as drawn; a lighter search declares a lighter
+    space (see ``sample_candidates``), it is never cut afterwards.
     """
 
     n_iter: int = N_ITER
-    max_trees: int | None = None
     parallelism: int = 2
 
 
@@ -105,11 +103,12 @@ def sample_candidates(space: Mapping[str, tuple], n_iter: int, seed: int = SEED)
     return out
 
 
-def _spark_params(est, cand: Mapping, max_trees: int | None) -> dict:
+def spark_params(est, cand: Mapping) -> dict:
+    """The candidate as Spark ML parameters, unchanged; a depth Spark cannot grow is an error."""
     trees = int(cand.get("n_estimators", 100))
-    if max_trees:
-        trees = min(trees, max_trees)
-    depth = int(min(cand.get("max_depth", 5), SPARK_MAX_DEPTH))
+    depth = int(cand.get("max_depth", 5))
+    if depth > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is over Spark's limit of {SPARK_MAX_DEPTH}")
     min_inst = int(max(cand.get("min_child_weight", 1), cand.get("min_child_samples", 1)))
     colsample = float(cand.get("colsample_bytree", 1.0))
     p = {est.maxDepth: depth, est.minInstancesPerNode: min_inst,
@@ -133,12 +132,21 @@ class PreparedData:
 
 
 def prepare(train: DataFrame, test: DataFrame | None, train_keys: Sequence[str],
-            test_keys: Sequence[str]) -> PreparedData:
+            test_keys: Sequence[str], marker_means: DataFrame | None = None) -> PreparedData:
     """Impute, add indicators, assemble ``features``; write the training matrix.
 
-    Actions: one aggregate for the training means (one value per feature),
-    one for the marker count, and the training-matrix write.
+    Hybrids without genotype get the marker means (``marker_means``, one row
+    per marker) where they are given, as for raw dosages, and zeros else, the
+    centre of the additive and dominance codings.
+
+    Actions: the joined training rows are written first, so the means (one
+    value per feature), the marker count and the matrix read them instead of
+    evaluating the joins again.
     """
+    if marker_means is not None and "geno" in train.columns:
+        train = MX.fill_missing_genotypes(train, marker_means)
+        test = MX.fill_missing_genotypes(test, marker_means) if test is not None else None
+    train = materialize(train, "train_rows")
     scalars = MX.feature_columns(train, train_keys)
     means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in scalars]).first() \
         if scalars else None
@@ -156,7 +164,7 @@ def prepare(train: DataFrame, test: DataFrame | None, train_keys: Sequence[str],
     tr = materialize(tr, "train_matrix")
     te = None
     if test is not None:
-        aligned = MX.align_test(test, train, test_keys, train_keys)
+        aligned = MX.align_test(test, train.columns, test_keys, train_keys)
         te = assembler.transform(MX.ml_ready(aligned, scalars, fill, geno_len))
         te = te.select(*test_keys, "features")
     return PreparedData(tr, te, inputs, fill)
@@ -179,16 +187,9 @@ def search_and_fit(data: PreparedData, space: Mapping[str, tuple], kind: str = "
     budget = budget or Budget()
     est = make_estimator(kind, seed)
     cands = sample_candidates(space, budget.n_iter, seed)
-    grid = [dict(_spark_params(est, c, budget.max_trees)) for c in cands]
-    # de-duplicate identical Spark param maps (capped trees can collapse candidates)
-    uniq, seen = [], set()
-    for g in grid:
-        key = tuple(sorted((p.name, v) for p, v in g.items()))
-        if key not in seen:
-            seen.add(key)
-            uniq.append(g)
+    grid = [spark_params(est, c) for c in cands]
     n_folds = data.train.agg(F.max("fold").alias("k")).first()["k"] + 1
-    cv = CrossValidator(estimator=est, estimatorParamMaps=uniq,
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid,
                         evaluator=RegressionEvaluator(metricName="mse", labelCol="label"),
                         numFolds=max(int(n_folds), 2), foldCol="fold", seed=seed,
                         parallelism=budget.parallelism)

@@ -12,6 +12,7 @@ from trialspark.operators import filters as FL
 from trialspark.operators import trial_stats as TS
 from trialspark.session import materialize
 
+# Fixed value: the phenotype table's columns.
 PHENO_COLUMNS = ["Hybrid", "Field_Location", "Year", "Env", "Hybrid_Env", "Yield_Mg_ha"]
 # Fixed value: training years kept after the phenotype table is built.
 TRAIN_YEARS = (2019, 2020, 2021, 2022, 2023)
@@ -29,7 +30,7 @@ def test_keys(template: DataFrame) -> DataFrame:
     Output: Hybrid, Field_Location, Year, Env, Hybrid_Field, Yield_Mg_ha.
     """
     loc, year = split_key("Env")
-    t = template.select("*", loc, year.cast("int").alias("Year"))
+    t = template.select("*", loc, year.try_cast("int").alias("Year"))
     return t.select("Hybrid", "Field_Location", "Year", "Env",
                     build_key("Hybrid", "Field_Location").alias("Hybrid_Field"), "Yield_Mg_ha")
 

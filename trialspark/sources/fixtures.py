@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from trialspark.functions.keys import build_key
 
 # Fixed values of the fixture mapping: 40 hybrids, 8 locations, years shifted
-# by +22 (1995-2001 -> 2017-2023), missing yield every 29th order, +60 spike
+# by +23 (1995-2001 -> 2018-2024, so the test year 2024 is outside the training years), missing yield every 29th order, +60 spike
 # every 53rd order, single-replicate location L7, fully missing metadata at L6.
 N_HYBRIDS = 40
 N_LOCATIONS = 8
-YEAR_SHIFT = 22
+YEAR_SHIFT = 23
 SINGLE_REP_LOCATION = 7
 TEST_SHIP_YEAR = 2001
 # component variances for the weighted ensembles (additive, dominance, residual)
@@ -134,12 +134,6 @@ def geno(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def geno_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form of :func:`geno`: (Hybrid, i, v)."""
-    g = geno(spark, sf_dir)
-    return g.select("Hybrid", F.posexplode("dosage").alias("i", "v"))
-
-
 def test_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submission template: distinct (Env, Hybrid) of the unseen last year, empty yield.
 
@@ -175,8 +169,8 @@ def variance_weights(spark: SparkSession) -> DataFrame:
 
 # The fixture's sub-site codes and the environment they belong to.
 FIXTURE_RECODE = {
-    "L1_1_2018": "L1_2018",
-    "L1_2_2018": "L1_2018",
-    "L1_1_2020": "L1_2020",
-    "L1_2_2020": "L1_2020",
+    "L1_1_2019": "L1_2019",
+    "L1_2_2019": "L1_2019",
+    "L1_1_2021": "L1_2021",
+    "L1_2_2021": "L1_2021",
 }

@@ -27,13 +27,19 @@ def normalize_nan(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """First line of the first file by name (Spark itself reads files by size); empty if there is none."""
+    files = sorted(spark.read.text(path).inputFiles())
+    row = spark.read.text(files[0]).first() if files else None
+    return row["value"] if row else ""
+
+
 def detect_separator(spark: SparkSession, path: str, candidates: str = "\t,;") -> str:
     """Separator of a delimited file: the candidate most frequent in its first line.
 
     Spaces are not candidates (column names may contain them); tab is the default.
     """
-    row = spark.read.text(path).first()
-    line = row["value"] if row else ""
+    line = first_line(spark, path)
     best = max(candidates, key=line.count)
     return best if line.count(best) else "\t"
 
@@ -41,8 +47,8 @@ def detect_separator(spark: SparkSession, path: str, candidates: str = "\t,;") -
 def header_columns(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[str], str]:
     """Column names from the first line (one line read), and the separator used."""
     sep = sep or detect_separator(spark, path)
-    row = spark.read.text(path).first()
-    return (row["value"].split(sep) if row else []), sep
+    line = first_line(spark, path)
+    return (line.split(sep) if line else []), sep
 
 
 def schema_from_header(spark: SparkSession, path: str, strings=(), ints=(),
@@ -95,15 +101,14 @@ def read_genotype_text(spark: SparkSession, path: str, sep: str = "\t", na: str
                        header_token: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Wide numeric genotype text -> ``(id, array<double>)`` rows and a marker-name table.
 
-    The first line of the first file is the header unless ``header_token``
+    The first line of the first file (by name) is the header unless ``header_token``
     (the header's first field) is given; header lines are recognised by that
     token wherever they occur, so multi-part outputs with one header per part
     read correctly.  Returns (genotypes, markers(i, marker)).
     """
     lines = spark.read.text(path).filter(F.length("value") > 0)
     if header_token is None:
-        row = lines.select(_first_token(sep).alias("t")).first()
-        header_token = row["t"] if row else ""
+        header_token = first_line(spark, path).partition(sep)[0]
     tok = _first_token(sep)
     parts = F.split(F.col("value"), sep)
     rest = F.slice(parts, 2, F.size(parts) - 1)
@@ -120,28 +125,20 @@ def read_genotype_text(spark: SparkSession, path: str, sep: str = "\t", na: str
 def write_genotype_text(geno: DataFrame, markers: DataFrame | list[str], path: str,
                         sep: str = "\t", na: str = "NA", id_col: str = "Hybrid",
                         value_col: str = "dosage", header_token: str = "Hybrid") -> None:
-    """``(id, array<double>)`` rows -> wide text with a header line first.
+    """``(id, array<double>)`` rows -> wide text, every part file with a header line.
 
-    Rows are range-sorted by id so the header (empty sort key) is the first
-    line of the first part file.
+    Nothing is sorted or moved: a row is written where it is, as one text
+    column whose name is the header line (the marker names, which the format
+    puts on one line, are all the driver holds).  A NULL array gives a row
+    with the id alone.
     """
-    if isinstance(markers, list):
-        names = F.lit(sep.join(markers))
-    else:
-        names = None
-    spark = geno.sparkSession
-    if names is None:
-        head = markers.agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "marker"))), lambda s: s["marker"]),
-            sep).alias("names")).select(F.col("names"))
-    else:
-        head = spark.range(1).select(names.alias("names"))
-    head = head.select(F.lit("").alias("_k"),
-                       F.concat(F.lit(header_token), F.lit(sep), F.col("names")).alias("value"))
-    body = geno.select(F.col(id_col).alias("_k"), F.concat_ws(
-        sep, F.col(id_col), F.array_join(F.transform(
-            value_col, lambda x: F.coalesce(x.cast("string"), F.lit(na))), sep)).alias("value"))
-    head.unionByName(body).orderBy("_k").select("value").write.mode("overwrite").text(path)
+    if not isinstance(markers, list):
+        markers = [r["marker"] for r in markers.orderBy("i").collect()]  # one header line
+    header = sep.join([header_token, *markers])
+    line = F.concat_ws(sep, F.col(id_col), F.array_join(F.transform(
+        value_col, lambda x: F.coalesce(x.cast("string"), F.lit(na))), sep))
+    (geno.select(line.alias(header)).write.mode("overwrite").option("header", True).option("quote", "")
+     .option("sep", "\x01").option("escapeQuotes", False).option("emptyValue", "").csv(path))
 
 
 def read_vcf_table(spark: SparkSession, path: str) -> DataFrame:
