@@ -4,10 +4,11 @@ Words are runs of letters and digits, lower-cased; shingles are ``SHINGLE``
 words (an item with fewer words is one shingle).  A document is compared with
 an item window by window, each window as long as the item:
 
-1. *Windows.*  The documents' shingles are met with the benchmark's; an
-   item-sized window that shares no shingle with any item of its size has
-   similarity zero with all of them and is not formed.  Every other window
-   gets a 64-bit SimHash of all its shingles, as does every item.
+1. *Windows.*  The documents' shingles are met with the benchmark's.  An
+   item-sized window with too few shingles that any item of its size has
+   cannot be similar enough to one of them, whichever it is, and is not
+   formed; that is exact.  Every other window gets a 64-bit SimHash of all its
+   shingles, as does every item.
 2. *Multi-index blocks.*  The fingerprint is cut into ``radius + 1`` blocks;
    fingerprints within ``radius`` bits agree in at least one.  Windows and
    items of a size meet on (block, value), each pair at its first common
@@ -141,8 +142,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     items = _items(benchmark, item_id, item_text, radius)
     longest, sizes = items.agg(F.max("len"), F.collect_set("k")).first()
     h1, h2 = row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), h1.alias("k1"), h2.alias("k2"),
-                       F.transform(words(F.col(f"`{text}`")), lambda x: F.xxhash64(x)).alias("wh"))
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), h1.alias("k1"), h2.alias("k2"), F.col(f"`{text}`").alias("text"))
     found = None
     for k in sorted(sizes or []):
         part = _hits_of_length(base, items.filter(F.col("k") == k), k, longest, radius, min_similarity)
@@ -164,19 +164,26 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
                     min_similarity: float) -> DataFrame:
     """Verified windows against the items whose shingles have ``k`` words."""
     marks = materialize(items.select(F.explode("all").alias("h"), "len").distinct(), "benchmark_shingles")
-    hashed = base.select("doc_id", "k1", "k2", shingle_hashes(F.col("wh"), k).alias("sh"))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("sh", shingle_hashes(F.transform(words(F.col("text")), lambda x: F.xxhash64(x)), k)).drop("text")
+
     # the size is a column of its own below the explode, so that no exploded row carries the array
-    flat = (hashed.withColumn("m", F.size("sh"))
+    flat = (hashed(base).withColumn("m", F.size("sh"))
             .select("k1", "k2", "m", F.posexplode("sh").alias("pos", "h")))
     touched = join_by_size(flat, marks, "h").select("k1", "k2", "m", "pos", "len").distinct()
     # every start of a window of len shingles that holds the shared one; a short document is one window
     last = F.greatest(F.col("m") - F.col("len"), F.lit(0))
-    starts = touched.select("k1", "k2", "len", F.explode(F.sequence(
+    size = F.least(F.col("len"), F.col("m"))
+    # both / (len + size - both) >= s needs both >= s * (len + size) / (1 + s)
+    starts = (touched.select("k1", "k2", "len", size.alias("size"), F.explode(F.sequence(
         F.least(F.greatest(F.col("pos") - F.col("len") + 1, F.lit(0)), last),
-        F.least(F.col("pos"), last))).alias("start")).distinct()
+        F.least(F.col("pos"), last))).alias("start"))
+        .groupBy("k1", "k2", "len", "size", "start").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") * (1 + min_similarity) + 1e-6 >= min_similarity * (F.col("len") + F.col("size"))))
     per_doc = materialize(starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("len", "start")).alias("at")),
                           "touched_windows")
-    held = join_by_size(hashed, per_doc, ["k1", "k2"])
+    held = hashed(join_by_size(base, per_doc, ["k1", "k2"]))  # only documents with a window are hashed again
     windows = (held.select("doc_id", "k1", "k2", F.explode(F.transform("at", lambda w: F.struct(
         w["len"].alias("len"), w["start"].alias("start"),
         F.slice("sh", w["start"] + 1, w["len"]).alias("win")))).alias("w"))
