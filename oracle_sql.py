@@ -18,6 +18,9 @@ V_TRIAL = """trial as (
               else l_quantity end as Yield_Mg_ha
   from lineitem)"""
 
+# one hybrid per part instead of 40 hybrids
+V_TRIAL_WIDE = V_TRIAL.replace("l_partkey % 40", "l_partkey").replace("trial as", "trial_wide as")
+
 V_TRIAL3 = """trial3 as (
   select concat('H', l_partkey % 40) as Hybrid, concat('L', l_suppkey % 8) as Field_Location,
          cast(year(l_shipdate) + 23 as int) as Year,
@@ -411,6 +414,18 @@ def queries() -> dict[str, str]:
         """select fold, n, avg((Yield_Mg_ha - m) * (Yield_Mg_ha - m)) as mse
            from tf join mm using (fold) group by fold, n"""
 
+    # keys that grow with the data
+    q["outlier_flag_two_year"] = with_(V_TRIAL, "trial_p as (select * exclude (Year), Year - Year % 2 as Pair from trial)",
+                                       outlier_ctes("trial_p").replace("Year", "Pair")) + "select * from o_flag"
+    q["outlier_flag_wide"] = with_(V_TRIAL_WIDE, outlier_ctes("trial_wide")) + "select * from o_flag"
+    q["blue_replicated_wide"] = with_(V_TRIAL_WIDE, blue_ctes("trial_wide")) + "select * from b_blue"
+    q["join_geno_wide"] = with_(V_TRIAL_WIDE, *C_GENO) + """select Hybrid, Env, Replicate, Block, Yield_Mg_ha,
+        g.geno_sum, cast(g.geno_n as int) as geno_n from trial_wide left join
+        (select Hybrid, sum(coalesce(v, 0)) as geno_sum, count(v) as geno_n from gi group by Hybrid) g using (Hybrid)"""
+    q["vcf_scan"] = '''select cast(label as varchar) as "CHROM", cast(vec_id as varchar) as "POS",
+        concat('v', vec_id) as "ID" from embeddings'''
+    q["prediction_csv"] = with_(V_PRED) + "select Env, Hybrid, y_add as Yield_Mg_ha from pred"
+
     # ensembles
     q["ensemble_weighted2"] = with_(V_PRED) + """select Env, Hybrid,
         y_add * (4.0::double / 5.0::double) + y_dom * (1.0::double / 5.0::double) as Yield_Mg_ha from pred"""

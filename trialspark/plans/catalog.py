@@ -101,6 +101,27 @@ def geno_scan(spark, sf):
     return _long(back)
 
 
+@query
+def vcf_scan(spark, sf):
+    """A VCF written as text (meta lines, ``#CHROM`` line, one line per vector) and read as a plain table."""
+    e = V.table(spark, sf, "embeddings")
+    body = e.select(F.concat_ws("\t", e["label"].cast("string"), e["vec_id"].cast("string"),
+                                F.concat(F.lit("v"), e["vec_id"].cast("string"))).alias("value"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID",)], "value string")
+    path = scratch_path(spark, "vcf")
+    head.union(body).write.text(path)
+    return TX.read_vcf_table(spark, path)
+
+
+@query
+def prediction_csv(spark, sf):
+    """Predictions written as CSV with a header and read back."""
+    p = V.component_predictions(spark, sf).select("Env", "Hybrid", F.col("y_add").alias("Yield_Mg_ha"))
+    path = scratch_path(spark, "predictions")
+    TX.write_csv(p, path)
+    return TX.read_delimited(spark, path, p.schema, sep=",")
+
+
 # ---------------------------------------------------------------- projections / scalar functions
 
 @query
@@ -524,6 +545,36 @@ def cv_mse(spark, sf):
     return FO.mean_model_cv(t, "Yield_Mg_ha")
 
 
+# ---------------------------------------------------------------- keys that grow with the data
+
+@query
+def outlier_flag_two_year(spark, sf):
+    """Outlier flags of two years fitted together, with one residual SD per pair of years."""
+    t = PH.plot_rows(V.trial(spark, sf)).withColumn("Pair", F.col("Year") - F.col("Year") % 2).drop("Year")
+    return TS.outlier_flag(t, batch=("Pair",))
+
+
+@query
+def outlier_flag_wide(spark, sf):
+    """Outlier flags with one hybrid per part: about as many cells as plots."""
+    return TS.outlier_flag(PH.plot_rows(V.trial_wide(spark, sf)))
+
+
+@query
+def blue_replicated_wide(spark, sf):
+    """BLUEs with one hybrid per part."""
+    return TS.blue_replicated(V.trial_wide(spark, sf))
+
+
+@query
+def join_geno_wide(spark, sf):
+    """Plots left-joined with the genotypes where some hybrids have none (marker sum and count, else NULL)."""
+    j = V.trial_wide(spark, sf).join(_geno_imputed(spark, sf), "Hybrid", "left")
+    return j.select("Hybrid", "Env", "Replicate", "Block", "Yield_Mg_ha",
+                    F.aggregate("dosage", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("geno_sum"),
+                    F.when(F.col("dosage").isNotNull(), F.size(F.filter("dosage", lambda x: x.isNotNull()))).alias("geno_n"))
+
+
 # ---------------------------------------------------------------- ensembles
 
 def _components(spark, sf):

@@ -38,10 +38,10 @@ def _year(col: str):
     return (F.year(col) + YEAR_SHIFT).cast("int")
 
 
-def _plots(li: DataFrame, replicate) -> DataFrame:
+def _plots(li: DataFrame, replicate, hybrid=None) -> DataFrame:
     loc, yr = _loc("l_suppkey"), _year("l_shipdate")
     return li.select(
-        build_key(F.lit("H"), F.col("l_partkey") % N_HYBRIDS, sep="").alias("Hybrid"),
+        build_key(F.lit("H"), F.col("l_partkey") % N_HYBRIDS if hybrid is None else hybrid, sep="").alias("Hybrid"),
         build_key(F.lit("L"), loc, sep="").alias("Field_Location"),
         yr.alias("Year"),
         F.concat(F.lit("L"), loc.cast("string"), F.lit("_"), yr.cast("string")).alias("Env"),
@@ -60,6 +60,13 @@ def trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plots(table(spark, sf_dir, "lineitem"), rep)
 
 
+def trial_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same plots with one hybrid per part: cells grow with the data, and some hybrids have no genotype."""
+    rep = (F.when(_loc("l_suppkey") == SINGLE_REP_LOCATION, F.lit(1))
+            .otherwise(F.col("l_linenumber") % 2 + 1))
+    return _plots(table(spark, sf_dir, "lineitem"), rep, F.col("l_partkey"))
+
+
 def trial_multi_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same plots with three replicate levels everywhere (two replicate contrasts)."""
     return _plots(table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 3 + 1)
