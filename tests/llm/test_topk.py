@@ -18,8 +18,8 @@ def brute(rows, queries, k=5, scale=256.0):
             if i == j:
                 asked[i] = min(asked.get(i, w), w)
     for q, qv in asked.items():
-        s = sorted(((-sum(a * b for a, b in zip(qv, w)), j) for j, w in ok if j != q))[:k]
-        out += [(q, n + 1, j, max(-2**63, min(2**63 - 1, -x))) for n, (x, j) in enumerate(s)]
+        s = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(qv, w)))), j) for j, w in ok if j != q)[:k]
+        out += [(q, n + 1, j, -x) for n, (x, j) in enumerate(s)]
     return sorted(out)
 
 

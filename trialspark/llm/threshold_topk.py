@@ -61,6 +61,12 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return whole(q) @ whole(c).T
 
 
+def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact scores of one query; beyond a long, the nearest long."""
+    s = _product(q, c)[0]
+    return s if s.dtype != object else np.array([max(-_MAX - 1, min(_MAX, int(x))) for x in s], dtype=object)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
     if len(ids) > 4 * k and scores.dtype != object:
@@ -86,8 +92,7 @@ class _Kept:
         self.of[query] = scores[best], ids[best]
 
     def rows(self) -> pd.DataFrame:
-        found = [(q, int(i), max(-_MAX - 1, min(_MAX, int(s)))) for q, (ss, ii) in self.of.items()
-                 for s, i in zip(ss, ii)]
+        found = [(q, int(i), int(s)) for q, (ss, ii) in self.of.items() for s, i in zip(ss, ii)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -120,7 +125,7 @@ def _local_lists(queries, k: int, scale: float):
                         seen.update(others[_best(p[row, others], c_ids[others], k)].tolist())
                     seen = np.array(sorted(seen), dtype=int)
                     if len(seen):
-                        kept.add(int(ids[row]), _product(q[a + row:a + row + 1], c[seen])[0], c_ids[seen])
+                        kept.add(int(ids[row]), _scores(q[a + row:a + row + 1], c[seen]), c_ids[seen])
         yield kept.rows()
 
     return run
@@ -145,7 +150,7 @@ def _resolved(queries, cutoff: np.ndarray, k: int, scale: float):
                 enough &= (top >= m * t) & ~own
                 for row in np.flatnonzero(enough.any(1)):
                     at = np.flatnonzero(enough[row])
-                    scores = _product(q[a + row:a + row + 1], c[at])[0]
+                    scores = _scores(q[a + row:a + row + 1], c[at])
                     good = scores >= cutoff[a + row]
                     if good.any():
                         kept.add(int(ids[row]), scores[good], c_ids[at[good]])
@@ -164,7 +169,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
     vectors that are null or hold a null or non-finite component, take no
     part.  Vectors of unequal length are compared as if filled with zeros.
     Repeated candidate rows are each a candidate; of repeated query ids the
-    least vector asks.  Scores beyond a long are returned as the nearest long.
+    least vector asks.  A score beyond a long counts as the nearest long.
     Fewer than k candidates give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
@@ -187,7 +192,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
         queries_now = (q_ids, q, groups)
         local = candidates.mapInPandas(_local_lists(queries_now, k, scale), schema)
         kth = local.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == k)
-        safe = {r.query_id: r.score for r in kth.select("query_id", "score").collect()}  # one row a query of the slice
+        safe = {r.query_id: r.score for r in kth.select("query_id", "score").collect()  # one row a query of the slice
+                if r.score > -_MAX - 1}  # the least long stands for anything below
         cutoff = np.array([safe.get(int(x), -np.inf) for x in q_ids])
         if np.any(np.abs(cutoff[np.isfinite(cutoff)]) >= 2.0 ** 53 / n_lists):  # compare such in whole numbers
             cutoff = np.array([safe.get(int(x), -(1 << 200)) for x in q_ids], dtype=object)
