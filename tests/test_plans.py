@@ -51,8 +51,14 @@ def test_only_one_row_sides_are_cartesian(spark):
 
 @pytest.mark.parametrize("name", ["weather_mean_strict", "replicate_counts", "allele_freq",
                                   "impute_group_mean"])
-def test_aggregates_are_partial_before_the_shuffle(spark, name):
+def test_aggregates_are_partial_before_the_shuffle(spark, name, monkeypatch):
+    from trialspark.operators import joins as J
+
+    written, write = [], J.materialize  # the side tables are aggregated where they are written
+    monkeypatch.setattr(J, "materialize", lambda df, side: (written.append((side, plan(df))), write(df, side))[1])
     p = plan(E.queries()[name](spark, SF_SMALL))
+    if name == "impute_group_mean":
+        p = dict(written)["group_means"]
     assert "partial_" in p, name
 
 
@@ -68,3 +74,39 @@ def test_fit_cell_stage_is_partially_aggregated(spark, monkeypatch):
     TS.blue_replicated(V.trial(spark, SF_SMALL).filter("Yield_Mg_ha is not null"))
     cells = written["fe_cells"]
     assert "partial_" in cells and "Window" not in cells
+
+
+@pytest.mark.parametrize("name", ["join_weather", "join_meta", "impute_group_mean", "semi_locations"])
+def test_plot_rows_are_not_shuffled_to_meet_a_small_table(spark, name):
+    """Also where the static planner may not broadcast: the written side's size decides."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(E.queries()[name](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in p
+    assert "Exchange hashpartitioning" not in p and "SortMergeJoin" not in p
+
+
+def test_folds_are_attached_without_a_shuffle(spark):
+    from trialspark.plans import folds as FO
+    rows = V.trial(spark, SF_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(FO.leave_one_group_out(rows, "Year"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in p
+
+
+def test_stage_tables_go_with_their_scope(spark):
+    import os
+
+    from trialspark.session import materialize, stage_scope
+
+    with stage_scope(spark) as paths:
+        assert materialize(spark.range(5), "inner").count() == 5
+        inner = [p.removeprefix("file:") for p in paths]
+        assert len(inner) == 1 and os.path.isdir(inner[0])
+    assert not os.path.exists(inner[0])
+    assert materialize(spark.range(3), "outer").count() == 3

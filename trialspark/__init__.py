@@ -11,6 +11,6 @@ plans      multi-operator pipelines (phenotype table, feature blocks, model
            matrices, folds, model search / fit / predict)
 """
 
-from trialspark.session import checkpoint_dir, get_spark, materialize
+from trialspark.session import checkpoint_dir, get_spark, materialize, stage_scope
 
-__all__ = ["get_spark", "checkpoint_dir", "materialize"]
+__all__ = ["get_spark", "checkpoint_dir", "materialize", "stage_scope"]

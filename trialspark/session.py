@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,7 +71,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+    path = os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+    for written in _scopes[-1:]:
+        written.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the stage tables written inside when the block ends.
+
+    Whatever is to outlive the block has to be written elsewhere before it
+    ends: frames built inside read the stage tables.  Scopes nest; a table
+    belongs to the innermost one.  Yields the paths written so far.
+    """
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
