@@ -26,7 +26,6 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -217,10 +216,17 @@ def templates(pages: DataFrame, host: str, html: str, min_share: float = MIN_SHA
         lambda x: F.concat(x["cls"], F.lit("\t"), x["token"])), "\n").alias("template"))
 
 
-@lru_cache(maxsize=4096)
 def _parsed(template: str) -> dict[str, tuple[str, int]]:
-    return {line.partition("\t")[2]: (line.partition("\t")[0], i) for i, line in enumerate(template.split("\n"))} \
-        if template else {}
+    """Token -> (class, place in the template); the last templates are remembered."""
+    if template not in _PARSED:
+        if len(_PARSED) >= 1024:
+            _PARSED.clear()
+        _PARSED[template] = {line.partition("\t")[2]: (line.partition("\t")[0], i)
+                             for i, line in enumerate(template.split("\n"))} if template else {}
+    return _PARSED[template]
+
+
+_PARSED: dict[str, dict[str, tuple[str, int]]] = {}
 
 
 def fixed_tokens(page_tokens: list[str], template: str) -> set[str]:

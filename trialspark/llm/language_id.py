@@ -9,7 +9,8 @@ many of each language where there are enough); whole texts are predicted.
 Every fifth sample row is held back to calibrate: a temperature makes the
 softmax a probability of being right, and texts below the threshold are
 rejected.  The threshold is the largest that would turn away at most a share
-``alpha`` of right answers, and never over one half.
+``alpha`` of right answers, and never over ``MAX_THRESHOLD``: a text in two
+languages still has a likeliest one and stays.
 
 The model is a table of BUCKETS x languages numbers, sent to the tasks once;
 prediction is one vectorised pass over the bytes of each text.
@@ -34,6 +35,7 @@ SAMPLE = 3000
 SAMPLE_BYTES = 20_000
 MAX_LANGS = 200
 EPOCHS, BATCH, RATE = 8, 32, 4.0
+MAX_THRESHOLD = 0.4
 OUT = ("lang_pred", "score", "rejected")
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -157,7 +159,7 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.002, seed: int = 42) ->
         p = _softmax(z / model.temperature)
         right = np.sort(p.max(1)[p.argmax(1) == y])
         if len(right):
-            model.threshold = float(min(0.5, right[int(alpha * len(right))]))
+            model.threshold = float(min(MAX_THRESHOLD, right[int(alpha * len(right))]))
     return model
 
 
@@ -195,12 +197,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rejected.  Columns with the names of added ones are replaced; an empty
     table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    # BUCKETS x languages numbers
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (model.langs, model.weights, model.bias, model.temperature, model.threshold))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        here = Model(*sent.value)
         for s in batches:
-            yield pd.DataFrame([sent.value.predict(t) for t in s], columns=list(OUT))
+            yield pd.DataFrame([here.predict(t) for t in s], columns=list(OUT))
 
     docs = without(docs, OUT)
     found, = fresh(docs, "found")
