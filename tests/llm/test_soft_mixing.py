@@ -54,7 +54,7 @@ def test_query_meets_the_targets_and_classifies(spark):
 def test_mix_repeats_rows_as_planned(spark):
     rows = [(i, f"good words here {i} alpha beta", None) for i in range(60)] + [
         (100 + i, f"zzz junk {i} zzz qqq", None) for i in range(60)] + [
-        (300, None, "x"), (301, "", "x"), (None, "zzz qqq", "x"), (5, "good words here 5 alpha beta", None), (302, "alpha " * 50_000, "x")]
+        (300, None, "x"), (301, "", "x"), (None, "zzz qqq", "x"), (5, "good words here 5 alpha beta", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, copies string").selectExpr("*", "1 as tokens", "2 as k1")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)] + [(None, 1, 1), (7, None, None)],
                                    "doc_id long, quality int, toxic int")
@@ -64,5 +64,9 @@ def test_mix_repeats_rows_as_planned(spark):
     for r in out.collect():
         n[r.doc_id] = n.get(r.doc_id, 0) + 1
     assert sum(n.get(i, 0) for i in range(60)) > 3 * sum(n.get(100 + i, 0) for i in range(60))
+    # one very long good document outweighs all others in tokens, so poor ones are repeated to make up a tenth
+    long = df.union(df.limit(1).selectExpr("302l", "repeat('alpha ', 50000)", "copies", "tokens", "k1"))
+    n = [r.doc_id for r in M.mix(long, labels, {"good": 0.9, "poor": 0.1}, "good").collect()]
+    assert 302 in n and sum(100 <= (i or 0) < 160 for i in n) > 3 * 60
     assert M.mix(df.limit(0), labels).count() == 0
     assert M.mix(df, labels.limit(0), {"good": 0.5, "poor": 0.5}, None).count() == len(rows)
