@@ -51,6 +51,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_chat.preference_examples(table(spark, sf_dir, "conversations"))
 
 
+def op10_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_chat.whole_preference_examples(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_dedup, op2_language_id, op3_ring_shards, op4_decontaminate, op5_html_text,
                             op6_soft_mixing, op7_line_dedup, op8_url_filter, op9_topk_search, op10_chat_format)}
@@ -62,3 +66,8 @@ ORACLE: dict[str, str] = {
     "op9_topk_search": threshold_topk.SQL,
     "op10_chat_format": preference_chat.SQL,
 }
+
+#: Beside the ten: op10 over every conversation and turn, where op10_chat_format takes what its SQL takes.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_chat_pairs": op10_chat_pairs}
+
+WHOLE_ORACLE: dict[str, str] = {"op10_chat_pairs": preference_chat.WHOLE_SQL}
