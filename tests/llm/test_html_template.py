@@ -82,3 +82,20 @@ def test_very_long_and_broken_pages():
     assert T.main_text("<article><p>" + "x " * 100000) == " ".join(["x"] * 100000)
     assert T.main_text("<div <div <p 'a" * 50) is not None
     assert T.main_text("<" * 5000) == "<" * 5000
+
+
+@pytest.mark.parametrize("doc, text", [
+    ("<div class='has-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<div class='no-comments'><main>a</main></div>", "a"), ("<div id=with-search><article>a</article></div>", "a"),
+    ("<div class='layout widget'><div class=ad>x</div><article>a</article></div>", "a"),
+    ("<article class='post has-comments'><p>a</p></article>", "a"), ("<form id=f><article>a<form>x</form></article></form>", "a"),
+    ("<div class=sidebar><article>a</article></div>", "a"), ("<div class=comments><main>a</main></div>", "a"),
+    ("<article>a</article><section class=comments><article>me</article></section><div class=sidebar><article>t</article></div>",
+     "a"),
+    ("<article>a<div class=widget><article>b</article></div><div class=ad><article>no</article></div></article>", "a\n\nb"),
+    ("<article><p>a</p><math><mi>x</mi></math><noscript><p>b</p></noscript><div class='search-tips'>c</div>"
+     "<div class=related>d</div><div class='social work'>e</div><p class=banner>f</p><div class='ads'>no</div></article>",
+     "a\n\nx\n\nb\n\nc\n\nd\n\ne\n\nf"),
+    ("<body><noscript>no</noscript><div class=widget>no</div><p>a</p></body>", "a")])
+def test_names_never_hide_the_main_element(doc, text):
+    assert T.main_text(doc) == text

@@ -15,8 +15,11 @@ aggregation with partial sums, whatever share of all pages a host holds.
 Each slot lies in the innermost template element around it.  Slots inside
 navigation, headers, footers, asides, forms, adverts, notices and comments are
 left out, and so are scripts, styles and hidden elements, in the template or
-not.  The main slots are those of the template's article (or main) element;
-there nothing else is dropped.  A page that breaks the template's main
+not.  Parts are known by their tag or by a whole class, id or role name.  An
+element around a main element is not left out by its name; parts that often
+hold articles of their own (comments, sidebars, related pages) are only if the
+page has another main element.  The main slots are those of the template's
+article (or main) element; there nothing else is dropped.  A page that breaks the template's main
 element, or has no template, stands for itself: its own article or main
 element, else its body less the template's text.
 """
@@ -38,7 +41,7 @@ from trialspark.session import materialize
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search
 section summary table tbody td tfoot th thead title tr ul""".split())
@@ -48,7 +51,18 @@ canvas object audio video menu dialog head title xmp noembed noframes""".split()
 PARTS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie
 cookies consent notice notices alert popup modal overlay newsletter subscribe signup sidebar aside nav navbar navigation
 menu breadcrumb breadcrumbs header masthead footer comment comments disqus respond share sharing social related
-recommended widget pagination pager hidden contentinfo complementary search""".split())
+recommended widget pagination pager hidden contentinfo complementary search ad-slot ad-container ad-wrapper ad-banner
+cookie-notice cookie-notices cookie-banner cookie-consent cookie-bar site-header page-header site-footer page-footer
+site-nav main-nav top-nav nav-menu main-menu side-bar comment-list comments-area comment-section""".split())
+#: Inside a main element only these go: navigation, headers, footers, asides, forms, adverts, notices, comments, code.
+MAIN_SKIP = frozenset("""nav header footer aside form script style template button select textarea iframe dialog head
+title noembed noframes""".split())
+MAIN_PARTS = PARTS - frozenset("""banner alert popup modal overlay newsletter subscribe signup share sharing social related
+recommended widget pagination pager hidden search""".split())
+MAIN_ROLES = frozenset("banner search".split())  # header and form, if given as a role
+#: Parts that often hold article elements of their own, such as a comment or a teaser.
+HOLDERS = frozenset("""comment comments disqus respond comment-list comments-area comment-section sidebar side-bar aside
+complementary related recommended""".split())
 #: Elements that an opening tag closes if they are open, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -57,27 +71,59 @@ _SCOPE = BLOCK - {"p"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 MAX_TEXT_TOKEN = 200  # longer text pieces name themselves by a hash
 MIN_SHARE = 0.5
 
 
-def _part_of(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(label for the path, whether it is left out, whether it is a main element)."""
-    found = {}
-    for m in _ATTR.finditer(attrs):
-        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    named = " ".join(_html.unescape(found[k]) for k in ("class", "id", "role") if k in found)
-    label = f"{name}.{named}" if named else name
-    words = {w.lower() for w in _WORDS.findall(named)} if named else set()
-    main = name in ("article", "main") or "main" in found.get("role", "").lower().split()
-    if main or name in ("html", "body") or re.fullmatch("h[1-6]", name):
-        out = bool(words & {"comment", "comments"})
-    else:
-        out = bool(words & PARTS)
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(
-        r"display\s*:\s*none", found.get("style", ""), re.I)
-    return label, name in SKIP or out or bool(hidden), main and not out
+class _Element:
+    """An open element: what its tag and its names say, and whether a main element lies inside."""
+
+    __slots__ = ("parent", "name", "path", "names", "roles", "hidden", "main", "holds")
+
+    def __init__(self, parent: _Element | None, name: str, attrs: str) -> None:
+        found = {}
+        for m in _ATTR.finditer(attrs):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        named = " ".join(_html.unescape(found[k]) for k in ("class", "id", "role") if k in found)
+        self.parent, self.name, self.holds = parent, name, False
+        self.path = f"{parent.path if parent else ''}/{name}.{named}" if named else f"{parent.path if parent else ''}/{name}"
+        self.names = {w.lower().replace("_", "-") for w in named.split()} if named else frozenset()
+        self.roles = frozenset(found["role"].lower().split()) if "role" in found else frozenset()
+        self.hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(
+            r"display\s*:\s*none", found.get("style", ""), re.I))
+        self.main = (name in ("article", "main") or "main" in self.roles) and not self.names & {"comment", "comments"}
+        up = parent if self.main else None
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
+
+    def left_out(self, inside: bool, lift: bool) -> bool:
+        """Whether the element goes, in a main element or not; ``lift``: holders of a main element stay too."""
+        if self.hidden:
+            return True
+        skip, parts = (MAIN_SKIP, MAIN_PARTS) if inside else (SKIP, PARTS)
+        # around a main element a form or a name says nothing about what is inside
+        around = self.holds and not inside
+        if self.name in skip and not (around and self.name == "form"):
+            return True
+        if self.main or self.name in ("article", "main", "html", "body") or re.fullmatch("h[1-6]", self.name):
+            return bool(self.names & {"comment", "comments"}) and self.name not in ("html", "body")
+        named = self.names & parts or inside and self.roles & MAIN_ROLES
+        return bool(named) and not (around and (lift or not self.names & HOLDERS))
+
+
+def _slots(elements: list[_Element]) -> dict[_Element, tuple[bool, str]]:
+    """Per element whether it is left out, and the path of the main element around it or ""."""
+    for lift in (False, True):
+        flags: dict[_Element | None, tuple[bool, str]] = {None: (False, "")}
+        for e in elements:  # parents come first
+            out, inside = flags[e.parent]
+            out = out or e.left_out(bool(inside), lift)
+            flags[e] = (out, "" if out else inside or (e.path if e.main else ""))
+        if any(inside for _, inside in flags.values()):
+            break
+        if not any(e.holds and e.names & HOLDERS for e in elements):
+            break
+    return flags
 
 
 def walk(page: str) -> Iterator[tuple]:
@@ -87,22 +133,37 @@ def walk(page: str) -> Iterator[tuple]:
     out?, path of the main element around it or ""), ("break", path, name) for
     void elements.
     """
-    stack: list[tuple[str, str, bool, str]] = []  # name, path, left out, main
-
-    def top() -> tuple[str, str, bool, str]:
-        return stack[-1] if stack else ("", "", False, "")
+    elements: list[_Element] = []
+    events = list(_parsed_events(page, elements))
+    flags = _slots(elements)
+    for kind, e, what in events:
+        path = e.path if e else ""
+        if kind == "raw":
+            yield "text", path, what, True, ""
+        elif kind == "text":
+            yield kind, path, what, *flags[e]
+        else:
+            yield kind, path, what
+
+
+def _parsed_events(page: str, elements: list[_Element]) -> Iterator[tuple]:
+    """(kind, element around it or itself, name or text); the elements are added in the order they open."""
+    stack: list[_Element] = []
+
+    def top() -> _Element | None:
+        return stack[-1] if stack else None
 
     def close(n: int) -> Iterator[tuple]:
         while len(stack) > n:
-            name, path, _, _ = stack.pop()
-            yield "close", path, name
+            e = stack.pop()
+            yield "close", e, e.name
 
     def close_open(names: set, stop: set | frozenset) -> Iterator[tuple]:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].name in names:
                 yield from close(i)
                 return
-            if stack[i][0] in stop:
+            if stack[i].name in stop:
                 return
 
     at = 0
@@ -114,7 +175,7 @@ def walk(page: str) -> Iterator[tuple]:
             m = _TOKEN.match(page, lt) if lt >= 0 else None
         end = lt if lt >= 0 else len(page)
         if end > at:
-            yield "text", top()[1], page[at:end], top()[2], top()[3]
+            yield "text", top(), page[at:end]
         if m is None:
             return
         at = m.end()
@@ -123,12 +184,12 @@ def walk(page: str) -> Iterator[tuple]:
             continue  # comment or declaration
         if m[1] or m[4]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     yield from close(i)
                     break
             else:
                 if name in BLOCK:
-                    yield "break", top()[1], name
+                    yield "break", top(), name
             continue
         if name in BLOCK:
             yield from close_open({"p"}, _SCOPE)
@@ -136,18 +197,16 @@ def walk(page: str) -> Iterator[tuple]:
             yield from close_open(*CLOSES[name])
         attrs = m[3] if m[3] is not None else m[6]
         if name in VOID:
-            yield "break", top()[1], name
+            yield "break", top(), name
             continue
-        label, left_out, main = _part_of(name, attrs)
-        _, path, out, inside = top()
-        path, out = f"{path}/{label}", out or left_out
-        stack.append((name, path, out, "" if out else inside or (path if main else "")))
-        yield "open", stack[-1][1], name
+        stack.append(_Element(top(), name, attrs))
+        elements.append(stack[-1])
+        yield "open", stack[-1], name
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             end = stop.start() if stop else len(page)
             if end > at:
-                yield "text", top()[1], page[at:end], True, ""
+                yield "raw", top(), page[at:end]
             at = end
         elif attrs.endswith("/") and name in ("path", "use", "g"):
             yield from close(len(stack) - 1)
