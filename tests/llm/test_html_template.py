@@ -99,3 +99,23 @@ def test_very_long_and_broken_pages():
     ("<body><noscript>no</noscript><div class=widget>no</div><p>a</p></body>", "a")])
 def test_names_never_hide_the_main_element(doc, text):
     assert T.main_text(doc) == text
+
+
+def test_copied_pages_without_an_article_keep_their_text(spark):
+    def doc(i, *paragraphs):
+        return (f"<html><head><title>{i}</title></head><body><div><b>Site</b></div>"
+                + "".join(f"<p>{p}</p>" for p in paragraphs) + f"<script>track({i})</script><div>Foot</div></body></html>")
+
+    rows = [(i, f"http://copies.org/{i}", doc(i, "one text", "its end")) for i in range(5)]
+    rows += [(10 + i, f"http://two.org/{i}", doc(0, "same", "here")) for i in range(2)]
+    rows += [(20 + i, f"http://half.org/{i}", doc(i, "shared a", "shared b", f"own {i}") if i < 2 else doc(i, f"own {i}", "x" * i))
+             for i in range(4)]
+    rows += [(30 + i, f"http://mixed.org/{i}", doc(i, "copy", "copy end") if i < 6 else doc(i, f"own {i}", f"end {i}"))
+             for i in range(10)]
+    got = {r.page_id: r.text for r in T.extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(5)} == {"Site\n\none text\n\nits end\n\nFoot"}
+    assert {got[10], got[11]} == {"Site\n\nsame\n\nhere\n\nFoot"}
+    assert got[20] == "shared a\n\nshared b\n\nown 0" and got[22] == "own 2\n\nxx"
+    assert {got[30 + i] for i in range(6)} == {"copy\n\ncopy end"}
+    assert got[39] == "own 9\n\nend 9"

@@ -21,7 +21,8 @@ hold articles of their own (comments, sidebars, related pages) are only if the
 page has another main element.  The main slots are those of the template's
 article (or main) element; there nothing else is dropped.  A page that breaks the template's main
 element, or has no template, stands for itself: its own article or main
-element, else its body less the template's text.
+element, else its body less the template's text, or its whole body if nothing
+would be left.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import fresh, without
+from trialspark.llm.common import fresh, row_key, without
 from trialspark.llm.host_reputation import url_host
 from trialspark.operators.joins import join_by_size
 from trialspark.session import materialize
@@ -73,6 +74,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MAX_TEXT_TOKEN = 200  # longer text pieces name themselves by a hash
 MIN_SHARE = 0.5
+#: A text token needs more: so many different pages, more than half of them, and a class with tags.
+MIN_TEXT_PAGES = 3
+#: What a page says, to tell copies: markup, scripts, comments and the head don't count.
+_NOT_SAID = r"(?is)\A.*?<body\b[^>]*>|<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|<[^<>]*>|\s+"
 
 
 class _Element:
@@ -237,36 +242,49 @@ def tokens(events: Iterable[tuple]) -> list[str]:
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, count, rank of the first occurrence, page key) per page and token."""
+    """(host, token, count, rank of the first occurrence, page key, copies of the page) per page and token."""
     for pdf in batches:
         rows = []
-        for host, key, page in zip(pdf["host"], pdf["key"], pdf["page"]):
+        for host, key, page, copies in zip(pdf["host"], pdf["key"], pdf["page"], pdf["copies"]):
             seen: dict[str, list[int]] = {}
             for i, t in enumerate(tokens(walk(page))):
                 seen.setdefault(t, [0, i])[0] += 1
-            rows += [(host, t, n, i, key) for t, (n, i) in seen.items()]
-        yield pd.DataFrame(rows, columns=["host", "token", "n", "at", "key"])
+            rows += [(host, t, n, i, key, copies) for t, (n, i) in seen.items()]
+        yield pd.DataFrame(rows, columns=["host", "token", "n", "at", "key", "copies"])
 
 
 def templates(pages: DataFrame, host: str, html: str, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template): per host the tokens of its valid classes as lines ``class TAB token``, in page order.
 
     A class has two tokens or more with one occurrence vector and is on at
-    least ``min_share`` of the host's pages, and on two.
+    least ``min_share`` of the host's pages, and on two.  Pages of a host that
+    say the same count once.  Text that only copies share is no template: its
+    class also has tags, and is on three pages and more than half of them.
     """
+    said = row_key(F.regexp_replace("page", _NOT_SAID, ""))
     base = pages.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("page"))
-    base = base.withColumn("key", F.monotonically_increasing_id())
-    seen = base.mapInPandas(_occurrences, "host string, token string, n long, at long, key long")
+    base = base.withColumns({"key": F.monotonically_increasing_id(), "said1": said[0], "said2": said[1]})
+    bodies = materialize(base.groupBy("host", "said1", "said2").agg(F.count(F.lit(1)).alias("copies")), "page_bodies")
+    n_pages = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    on = ["host", "said1", "said2"]
+    repeated = materialize(bodies.filter("copies > 1").groupBy(F.xxhash64(*on).alias("body"))
+                           .agg(F.max("copies").alias("copies")), "page_copies")  # its size decides the join
+    base = join_by_size(base.select("host", "key", "page", F.xxhash64(*on).alias("body")), repeated, "body", "left")
+    base = base.select("host", "key", "page", F.coalesce("copies", F.lit(1)).alias("copies"))
+    seen = base.mapInPandas(_occurrences, "host string, token string, n long, at long, key long, copies long")
     vec = F.xxhash64("key", "n")
     stats = (seen.groupBy("host", "token")
-             .agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"),
+             .agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("pages"), F.sum("n").alias("total"),
                   F.sum(vec.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s1"), F.sum(F.shiftrightunsigned(vec, 32)).alias("s2"),
                   F.avg("at").alias("at"))
              .filter("pages >= 2"))
-    n_pages = base.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     stats = materialize(stats.join(n_pages, "host").filter(F.col("pages") >= min_share * F.col("of")), "template_tokens")
     vector = F.struct("pages", "total", "s1", "s2")
-    classes = (stats.groupBy("host", vector.alias("vector")).agg(F.collect_list(F.struct("at", "token")).alias("of"))
+    tags = F.filter("of", lambda x: ~F.startswith(x["token"], F.lit("t ")))
+    shared_text = (F.size(tags) > 0) & (F.col("vector.pages") >= MIN_TEXT_PAGES) & (F.col("vector.pages") * 2 > F.col("n_of"))
+    classes = (stats.groupBy("host", vector.alias("vector"))
+               .agg(F.collect_list(F.struct("at", "token")).alias("of"), F.max("of").alias("n_of"))
+               .withColumn("of", F.when(shared_text, F.col("of")).otherwise(tags))
                .filter(F.size("of") >= 2)
                .select("host", F.xxhash64("vector").alias("cls"), F.explode("of").alias("t")))
     # a host's template has at most pages' tokens / min_share lines: as long as a few pages
@@ -326,6 +344,9 @@ def main_text(page: str | None, template: str | None = "") -> str:
     fixed = fixed_tokens(tokens(events), template or "")
     own = {ev[4] for ev in events if ev[0] == "text" and ev[4] and not ev[3] and ev[2].strip()}
     mains = {p for p in own if f"< {p}" in fixed} or own
+    shared = fixed | {None}
+    if not mains and all(ev[0] != "text" or ev[3] or _piece(ev[1], ev[2]) in shared for ev in events):
+        fixed = set()  # all the page says is shared: it is no frame around something else
     blocks, now = [], []
 
     def end_block() -> None:
@@ -352,7 +373,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     Pages of one host (from ``url``; null urls share an empty host) make its
     template; a host with a single page has none, and its page stands for
     itself.  Null html gives an empty text; repeated pages are kept and count
-    as pages.  Columns named text or n_chars are replaced; an empty table
+    once for the template.  Columns named text or n_chars are replaced; an empty table
     gives no rows.
     """
     pages = without(pages, ["text", "n_chars"])
