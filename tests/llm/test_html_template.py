@@ -119,3 +119,18 @@ def test_copied_pages_without_an_article_keep_their_text(spark):
     assert got[20] == "shared a\n\nshared b\n\nown 0" and got[22] == "own 2\n\nxx"
     assert {got[30 + i] for i in range(6)} == {"copy\n\ncopy end"}
     assert got[39] == "own 9\n\nend 9"
+
+
+def test_the_template_decides_inside_the_article(spark):
+    def doc(i, body):
+        return f"<html><body><article><div><b>Read our offer</b></div><p>{body}</p><p>seen twice</p><p>seen twice</p></article></body></html>"
+
+    rows = [(i, f"http://notice.org/{i}", doc(i, f"own text number {i}")) for i in range(4)]
+    rows += [(10 + i, f"http://near.org/{i}", f"<html><body><article><h1>a long shared text</h1><p>{i}</p></article></body></html>")
+             for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in T.extract_main_text(df).collect()}
+    for i in range(4):
+        assert got[i] == f"own text number {i}\n\nseen twice\n\nseen twice"
+        assert T.main_text(rows[i][2]) == f"Read our offer\n\n{got[i]}"  # without the template
+        assert got[10 + i] == f"a long shared text\n\n{i}"  # copies but for a number

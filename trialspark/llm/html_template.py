@@ -19,7 +19,9 @@ not.  Parts are known by their tag or by a whole class, id or role name.  An
 element around a main element is not left out by its name; parts that often
 hold articles of their own (comments, sidebars, related pages) are only if the
 page has another main element.  The main slots are those of the template's
-article (or main) element; there nothing else is dropped.  A page that breaks the template's main
+article (or main) element; there nothing else is dropped but the template's
+own text, such as a notice that the article has once on every page, unless it is
+more than the slots hold: then the page is a copy and keeps all.  A page that breaks the template's main
 element, or has no template, stands for itself: its own article or main
 element, else its body less the template's text, or its whole body if nothing
 would be left.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -341,12 +344,19 @@ def main_text(page: str | None, template: str | None = "") -> str:
     if not page:
         return ""
     events = list(walk(page))
-    fixed = fixed_tokens(tokens(events), template or "")
+    named = tokens(events)
+    fixed = fixed_tokens(named, template or "")
     own = {ev[4] for ev in events if ev[0] == "text" and ev[4] and not ev[3] and ev[2].strip()}
     mains = {p for p in own if f"< {p}" in fixed} or own
-    shared = fixed | {None}
-    if not mains and all(ev[0] != "text" or ev[3] or _piece(ev[1], ev[2]) in shared for ev in events):
-        fixed = set()  # all the page says is shared: it is no frame around something else
+    if mains:  # text that a page repeats may share its vector with any tags
+        times = Counter(named)
+        fixed = {t for t in fixed if times[t] == 1}
+    # the slots: what is not left out, in the main elements if there are any, and not in the template
+    said = [(len(ev[2]), _piece(ev[1], ev[2]) in fixed) for ev in events
+            if ev[0] == "text" and not ev[3] and ev[2].strip() and (not mains or ev[4] in mains)]
+    slots, framed = (sum(n for n, f in said if f is k) for k in (False, True))
+    if slots < framed if mains else not slots:
+        fixed = set()  # most of the main element, or all of the body, is shared: a copy, not a frame around something
     blocks, now = [], []
 
     def end_block() -> None:
@@ -357,7 +367,7 @@ def main_text(page: str | None, template: str | None = "") -> str:
 
     for ev in events:
         if ev[0] == "text":
-            if not ev[3] and (ev[4] in mains if mains else _piece(ev[1], ev[2]) not in fixed):
+            if not ev[3] and (not mains or ev[4] in mains) and _piece(ev[1], ev[2]) not in fixed:
                 now.append(_html.unescape(ev[2]))
         elif ev[2] in BLOCK:
             end_block()
