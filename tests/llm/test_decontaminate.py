@@ -85,3 +85,17 @@ def test_simhash_equals_the_definition_in_both_widths(spark):
     for r in got:
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
         assert r.a & (1 << 64) - 1 == r.b & (1 << 64) - 1 == want
+
+
+def test_repeated_phrases_and_short_documents_are_all_found(spark):
+    """Bags of 4, 4 and 1 that differ in the last shingle, and documents one shingle shorter than the item."""
+    items, docs = [], []
+    for i in range(60):
+        items += [(i, f"a{i} b{i} " * 6 + f"x{i}"), (100 + i, " ".join(f"c{i}w{j}" for j in range(9)))]
+        docs += [(i, f"a{i} b{i} " * 6 + f"y{i}"), (100 + i, " ".join(f"c{i}w{j}" for j in range(8)))]
+    want = brute(docs, items)
+    assert len(want) == 120
+    rows = D.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in rows} == {
+        k: (round(s, 9), a) for k, (s, a) in want.items()}

@@ -37,6 +37,7 @@ SHINGLE = 5
 RADIUS = 20
 MIN_SIMILARITY = 0.8
 BITS = 64
+SHORT = 16  # shingles; bags under it vary too much in SimHash
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -112,8 +113,14 @@ def shared_weight(window: Column, shingles: Column) -> Column:
         s["c"], F.size(F.filter(window, lambda h: h == s["h"]))))
 
 
+def _prefix(hashes: Column, min_similarity: float) -> Column:
+    """So many of the smallest hashes, repeats counted, that bags of the similarity share one of them."""
+    n = F.ceil(F.size(hashes) * (1 - min_similarity) + 1e-6).cast("int") + 1
+    return F.array_distinct(F.slice(F.sort_array(hashes), F.lit(1), n))
+
+
 def _items(benchmark: DataFrame, item_id: str, text: str, radius: int) -> DataFrame:
-    """(item, n_words, k, len, fp, bag, all): one row per item with a word; ``all`` are its shingles in order."""
+    """(item, n_words, k, len, all, bag, key): one row per item with a word; ``all`` are its shingles in order."""
     items = (benchmark.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{text}`")).alias("w")).distinct()
              .withColumn("n_words", F.size("w")).filter("n_words > 0")
              .withColumn("k", F.least(F.lit(SHINGLE), F.col("n_words")))
@@ -124,7 +131,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, radius: int) -> DataFr
     items = items.withColumn("all", hashes).select("item", "n_words", "k", "all", F.size("all").alias("len"))
     bag = F.transform(F.array_distinct("all"), lambda h: F.struct(
         h.alias("h"), F.size(F.filter("all", lambda x: x == h)).alias("c")))
-    return materialize(items.withColumn("bag", bag), "benchmark_items")
+    return materialize(items.withColumn("bag", bag).withColumn("key", F.xxhash64("item", "all")), "benchmark_items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -188,15 +195,20 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
         w["len"].alias("len"), w["start"].alias("start"),
         F.slice("sh", w["start"] + 1, w["len"]).alias("win")))).alias("w"))
         .select("doc_id", "k1", "k2", "w.len", "w.start", "w.win")
-        .withColumn("fp", simhash(F.col("win"), longest)))
+        .withColumn("fp", simhash(F.col("win"), longest))
+        .withColumn("exact", (F.size("win") < F.greatest(F.col("len"), F.lit(SHORT)))
+                    | (F.size(F.array_distinct("win")) < F.size("win"))))
+    windows = materialize(windows, "item_windows")
     index = (items.withColumn("ifp", simhash(F.col("all"), longest))
              .select("item", "len", "ifp", "bag", F.posexplode(_block_values(F.col("ifp"), radius)).alias("block", "value")))
     index = materialize(index, "benchmark_blocks")
-    probes = windows.select("*", F.posexplode(_block_values(F.col("fp"), radius)).alias("block", "value"))
+    probes = windows.filter(~F.col("exact")).select("*", F.posexplode(_block_values(F.col("fp"), radius)).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("ifp"))
     near = (join_by_size(probes, index, ["len", "block", "value"])
             .filter(F.bit_count(apart) <= radius)
             .filter(_first_common_block(apart, radius) == F.col("block")))
+    pair = ["doc_id", "k1", "k2", "start", "win", "fp", "len", "item", "ifp", "bag"]
+    near = near.select(*pair).union(_by_prefix(windows.filter("exact"), items, longest, min_similarity).select(*pair))
     both = shared_weight(F.col("win"), F.col("bag"))
     sim = near.select("doc_id", "k1", "k2", "item", "start", (F.size("win") + k - 1).alias("n_words"),
                       F.bit_count(apart).cast("int").alias("bits"), "len", F.size("win").alias("size"),
@@ -206,6 +218,16 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
             .select("k1", "k2", "doc_id", "item", "similarity", "start", "n_words", "bits"))
 
 
+def _by_prefix(windows: DataFrame, items: DataFrame, longest: int, min_similarity: float) -> DataFrame:
+    """Windows with every item of their size that can be similar enough, by shared prefixes; no SimHash decides."""
+    at = ["k1", "k2", "len", "start"]
+    index = materialize(items.select("len", "key", F.explode(_prefix(F.col("all"), min_similarity)).alias("h")), "benchmark_prefixes")
+    met = join_by_size(windows.select(*at, F.explode(_prefix(F.col("win"), min_similarity)).alias("h")), index, ["len", "h"])
+    met = materialize(met.select(*at, "key").distinct(), "prefix_pairs")
+    said = items.select("key", "item", simhash(F.col("all"), longest).alias("ifp"), "bag")
+    return join_by_size(join_by_size(windows, met, at), said, "key", measured=items)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns and other rows are kept."""
     k1, k2 = fresh(docs, "k1", "k2")
