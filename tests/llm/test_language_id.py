@@ -57,3 +57,14 @@ def test_edge_rows(spark):
     assert next(r for r in got if r["doc_id"] == 3)["lang_pred"] == "de"
     assert [r.lang_pred for r in L.predict_languages(df.filter("lang is null")).collect()] == ["und", "und"]
     assert L.predict_languages(df.limit(0)).count() == 0
+
+
+def test_a_language_of_long_documents_only_is_learned(spark):
+    short = [(i, " ".join(f"the {w} of and" for w in ("house", "river", f"stone{i}")), "en") for i in range(40)]
+    long = [(100 + i, f"dél{i} " + "équeè çuren ñorté " * 1500, "xx") for i in range(40)]
+    df = spark.createDataFrame(short + long, "doc_id long, text string, lang string")
+    sample = L.training_sample(df, passages=True)
+    assert {y for _, y in sample} == {"en", "xx"}
+    assert max(len(t.encode()) for t, _ in sample) <= L.SAMPLE_BYTES
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(df).collect()}
+    assert all(got[i] == "xx" for i, _, _ in long) and all(got[i] == "en" for i, _, _ in short)

@@ -169,11 +169,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                    size: int = SAMPLE) -> list[tuple[str, str]]:
+                    size: int = SAMPLE, passages: bool = False) -> list[tuple[str, str]]:
     """About ``size`` (text, language) rows, at most twice as many, of rows that are not held out.
 
     Equally many per language by a hash of the id; distinct texts of 1 to
-    SAMPLE_BYTES bytes; the MAX_LANGS most frequent languages.
+    SAMPLE_BYTES bytes; the MAX_LANGS most frequent languages.  With
+    ``passages`` longer texts teach too, by SAMPLE_BYTES / 4 characters from a
+    place by another hash of the id.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y"))
     rows = rows.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -185,7 +187,11 @@ def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for r in share:
         cut = F.when(F.col("y") == r["y"], F.lit(min(1.0, each / r["count"]))).otherwise(cut)
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = (rows.filter(spot < cut).select("t", "y").filter(F.octet_length("t").between(1, SAMPLE_BYTES))
+    long = SAMPLE_BYTES // 4  # characters, of four bytes at most
+    start = F.pmod(F.xxhash64("id", F.lit("passage")), (F.char_length("t") - long + 1).cast("long")).cast("int") + 1
+    passage = F.when(F.octet_length("t") > SAMPLE_BYTES, F.substring("t", start, F.lit(long))).otherwise(F.col("t"))
+    fits = F.octet_length("t") > 0 if passages else F.octet_length("t").between(1, SAMPLE_BYTES)
+    found = (rows.filter(spot < cut).filter(fits).select(passage.alias("t"), "y")
              .distinct().limit(2 * size).collect())
     return sorted(((r["t"], r["y"]) for r in found), key=lambda r: (zlib.crc32(r[0].encode("utf-8", "replace")), r))
 
@@ -215,14 +221,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every document, from the labels of those not held out."""
-    model = train(training_sample(docs))
+    model = train(training_sample(docs, passages=True))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns."""
-    model = train(training_sample(docs))
+    model = train(training_sample(docs, passages=True))
     inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input is replaced
     kept = identify(docs.toDF(*inner), model, inner[docs.columns.index(text)]).filter(~F.col("rejected"))
     return kept.select(*inner).toDF(*docs.columns)
