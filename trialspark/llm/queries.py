@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm import (decontaminate, host_reputation, html_template, language_id, line_dedup, preference_chat,
-                            ring_shards, simhash_dedup, soft_mixing, threshold_topk)
+                            ring_shards, simhash_dedup, soft_mixing, threshold_topk, token_alignment)
 from trialspark.llm.common import table
 
 
@@ -55,9 +55,14 @@ def op10_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_chat.whole_preference_examples(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_dedup, op2_language_id, op3_ring_shards, op4_decontaminate, op5_html_text,
-                            op6_soft_mixing, op7_line_dedup, op8_url_filter, op9_topk_search, op10_chat_format)}
+                            op6_soft_mixing, op7_line_dedup, op8_url_filter, op9_topk_search, op10_chat_format,
+                            op11_token_alignment)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
