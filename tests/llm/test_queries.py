@@ -11,7 +11,7 @@ from tests.llm.helpers import assert_same, connect
 
 
 def test_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 14))
     assert set(Q.ORACLE) <= set(Q.QUERIES) <= set(E.queries())
     assert "pipeline" in E.queries()
 

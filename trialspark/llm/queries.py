@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import (decontaminate, host_reputation, html_template, language_id, line_dedup, preference_chat,
-                            ring_shards, simhash_dedup, soft_mixing, threshold_topk, token_alignment)
+from trialspark.llm import (decontaminate, document_fingerprints, host_reputation, html_template, language_id,
+                            line_dedup, phrase_mining, preference_chat, ring_shards, simhash_dedup, soft_mixing,
+                            threshold_topk, token_alignment)
 from trialspark.llm.common import table
 
 
@@ -59,10 +60,18 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.neighbour_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_dedup, op2_language_id, op3_ring_shards, op4_decontaminate, op5_html_text,
                             op6_soft_mixing, op7_line_dedup, op8_url_filter, op9_topk_search, op10_chat_format,
-                            op11_token_alignment)}
+                            op11_token_alignment, op12_fingerprints, op13_collocations)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
@@ -70,6 +79,7 @@ ORACLE: dict[str, str] = {
     "op8_url_filter": host_reputation.SQL,
     "op9_topk_search": threshold_topk.SQL,
     "op10_chat_format": preference_chat.SQL,
+    "op13_collocations": phrase_mining.SQL,
 }
 
 #: Beside the ten: op10 over every conversation and turn, where op10_chat_format takes what its SQL takes.
