@@ -1,6 +1,7 @@
 """Token alignment against a plain version over every byte."""
 
 import hashlib
+import random
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -16,13 +17,27 @@ TEXTS = [(1, "The quick brown fox, naïve café 東京タワー 🙂🙂 done.")
          (13, "ﬁ ﬂ ½ Å")]
 
 
+def test_ranks_and_merges_give_the_same_ids(spark):
+    """Whole texts, and random strings of vocabulary entries, whose merges compete."""
+    tool = tools()[0]
+    assert tool._ranks is not None
+    rng = random.Random(4)
+    letters = [p.decode() for p in tool.pieces if p.isascii() and p.strip().isalpha() and len(p) < 9]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += ["".join(rng.choice("abeinost \n'.1é") for _ in range(80)) for _ in range(5_000)]
+    texts += [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect() if r.text]
+    for t in texts:
+        want = tool._tok.encode(" " + t, add_special_tokens=False).ids
+        assert tool.encode([t])[0].tolist() == want, t
+
+
 def tools():
     return [f(open(f"{A.TOKENIZERS}/{n}", "rb").read()) for f, n in ((A.ByteBpe, A.BYTE_BPE), (A.Pieces, A.PIECES))]
 
 
 def tokens(tool, text):
     """(id, start, end) per token, or none if the bytes are not those of space and text."""
-    ids = tool.encode([text])[0]
+    ids = tool.encode([text])[0].tolist()
     out, at = [], 0
     for i in ids:
         out.append((i, at, at + len(tool.pieces[i])))

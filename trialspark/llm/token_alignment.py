@@ -17,6 +17,8 @@ written pairs, broadcast only while their number is under a bound.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from trialspark.session import materialize
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-CHUNK_BYTES = 1 << 20            # text tokenized at a time (a longer document is a chunk of its own)
+CHUNK_BYTES = 1 << 19            # text tokenized at a time (a longer document is a chunk of its own)
 MAX_BROADCAST_PAIRS = 2_000_000  # pair counts (24 bytes each) that may be broadcast; beyond it a merge join
 
 
@@ -45,8 +47,28 @@ def read_file(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
+#: How a byte-level vocabulary's texts are cut before the merges (fixed by the format).
+_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts the rank form does not take: characters whose class depends on the Unicode version, and very long runs.
+_SLOW = re.compile(r"[^\x00-\u024f]|\s{1000}|\S{1000}")
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these stand for themselves
+    out = {chr(b): b for b in printable}
+    for b in sorted(set(range(256)) - set(printable)):  # the others are written from U+0100 on
+        out[chr(256 + len(out) - len(printable))] = b
+    return out
+
+
 class ByteBpe:
-    """Byte-level BPE (a ``tokenizers`` JSON file); special tokens' strings are ordinary text."""
+    """Byte-level BPE (a ``tokenizers`` JSON file); special tokens' strings are ordinary text.
+
+    Where the file's merges are in the order of the ids they make, a token's
+    id is also its rank, and ordinary texts are encoded from the same
+    vocabulary by ``tiktoken``, which is faster and gives the same ids.
+    """
 
     def __init__(self, data: bytes):
         import os
@@ -56,17 +78,36 @@ class ByteBpe:
 
         self._tok = Tokenizer.from_str(data.decode())
         self._tok.encode_special_tokens = True
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        byte_of = {chr(b): b for b in printable}
-        for b in sorted(set(range(256)) - set(printable)):  # the others are written from U+0100 on
-            byte_of[chr(256 + len(byte_of) - len(printable))] = b
+        byte_of = _bytes_of()
         vocab = self._tok.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.pieces[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        self._ranks = self._by_rank(json.loads(data))
+
+    def _by_rank(self, spec: dict):
+        """The rank form, or None if the file's merges or cutting differ from it."""
+        import tiktoken
+
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
+        plain = (model["type"] == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges")
+                 and not model.get("dropout") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+                 and not cut.get("add_prefix_space") and made == sorted(made))
+        special = {t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {self.pieces[i]: i for i in model["vocab"].values() if i not in special}
+        if not plain or any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for t in texts:
+            if self._ranks is not None and not _SLOW.search(t):
+                out.append(self._ranks.encode_to_numpy(" " + t, disallowed_special=()))
+            else:
+                out.append(np.array(self._tok.encode(" " + t, add_special_tokens=False).ids, np.uint32))
+        return out
 
 
 class Pieces:
@@ -80,8 +121,8 @@ class Pieces:
                        else p.replace("▁", " ").encode()
                        for p in map(self._sp.id_to_piece, range(self._sp.get_piece_size()))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self._sp.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self._sp.encode(texts, num_threads=1)]
 
 
 @dataclass
@@ -95,9 +136,9 @@ class Side:
     group: np.ndarray = None  # group of each token, counted through the chunk
 
 
-def _side(ids: list[list[int]], size: np.ndarray) -> Side:
+def _side(ids: list[np.ndarray], size: np.ndarray) -> Side:
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+    flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
     ends = np.cumsum(size[flat])
     return Side(flat, np.repeat(np.arange(len(ids)), n), np.concatenate(([0], ends[:-1])) if len(flat) else ends, n)
 
@@ -118,9 +159,9 @@ def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     return both // n, both % n
 
 
-def _first(group: np.ndarray, count: int) -> np.ndarray:
+def _first(group: np.ndarray) -> np.ndarray:
     """Each group's first token, and one beyond the last."""
-    return np.searchsorted(group, np.arange(count + 1))
+    return np.concatenate((np.zeros(min(len(group), 1), np.int64), np.flatnonzero(np.diff(group)) + 1, [len(group)]))
 
 
 def linked_pairs(a: Side, b: Side, n_ids_b: int, space: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +172,7 @@ def linked_pairs(a: Side, b: Side, n_ids_b: int, space: int) -> tuple[np.ndarray
     """
     if not len(a.ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = int(a.group[-1]) + 1
-    a0, b0 = _first(a.group, n), _first(b.group, n)
+    a0, b0 = _first(a.group), _first(b.group)
     na, nb = np.diff(a0), np.diff(b0)
     one_b = nb[a.group] == 1
     one_a = (na[b.group] == 1) & (nb[b.group] > 1)
@@ -153,13 +193,23 @@ def linked_pairs(a: Side, b: Side, n_ids_b: int, space: int) -> tuple[np.ndarray
     return key, times
 
 
+def _digits(n: int) -> np.ndarray:
+    """Decimal digits of 0 to n - 1, zero bytes before them, and room for a mark."""
+    width, rest = len(str(n)), np.arange(n)
+    cells = np.zeros((n, width + 1), np.uint8)
+    for k in range(width - 1, -1, -1):
+        shown = (rest > 0) | (k == width - 1)
+        cells[shown, k] = rest[shown] % 10 + 48
+        rest = rest // 10
+    return cells
+
+
 def group_texts(a: Side, b: Side) -> list[bytes]:
     """Per document its groups as ``a1,a2|b1;a3|b2,b3`` (decimal ids, in order)."""
     docs = len(a.n)
     if not len(a.ids):
         return [b""] * docs
-    n = int(a.group[-1]) + 1
-    a0, b0 = _first(a.group, n), _first(b.group, n)
+    a0, b0 = _first(a.group), _first(b.group)
     total = len(a.ids) + len(b.ids)
     ids, sep = np.empty(total, np.int64), np.empty(total, np.uint8)
     at_a, at_b = np.arange(len(a.ids)) + b0[a.group], np.arange(len(b.ids)) + a0[b.group + 1]
@@ -168,27 +218,20 @@ def group_texts(a: Side, b: Side) -> list[bytes]:
     sep[at_a[a0[1:] - 1]], sep[at_b[b0[1:] - 1]] = ord("|"), ord(";")
     last = np.cumsum(a.n + b.n)
     sep[last[a.n > 0] - 1] = 0  # no mark after a document's last token
-    width = len(str(int(ids.max())))
-    cells = np.empty((total, width + 1), np.uint8)
-    keep = np.ones((total, width + 1), bool)
-    rest = ids.copy()
-    for k in range(width - 1, -1, -1):
-        keep[:, k] = rest > 0  # leading zeros go
-        cells[:, k] = rest % 10 + 48
-        rest //= 10
-    keep[:, width - 1] = True
-    cells[:, width], keep[:, width] = sep, sep > 0
+    cells = _digits(int(ids.max()) + 1)[ids]
+    cells[:, -1] = sep
+    keep = cells > 0
     flat = cells[keep].tobytes()
     ends = np.concatenate(([0], np.cumsum(keep.sum(1))))[np.concatenate(([0], last))]
     return [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
 
 
-def _same_bytes(ids: list[int], pieces: list[bytes], want: bytes) -> bool:
-    return b"".join([pieces[i] for i in ids]) == want
+def _same_bytes(ids: np.ndarray, pieces: list[bytes], want: bytes) -> bool:
+    return b"".join([pieces[i] for i in ids.tolist()]) == want
 
 
 class Aligner:
-    """Both tokenizers, built once per task, and the alignment of chunks of texts."""
+    """Both tokenizers and the alignment of chunks of texts."""
 
     def __init__(self, byte_bpe: bytes, piece_model: bytes):
         self.a, self.b = ByteBpe(byte_bpe), Pieces(piece_model)
@@ -198,7 +241,8 @@ class Aligner:
         """Aligned sides; null or empty texts, and those a tokenizer does not give back, have no tokens."""
         full = [k for k, t in enumerate(texts) if t]
         given = [texts[k] for k in full]
-        ids_a, ids_b = [[]] * len(texts), [[]] * len(texts)
+        none = np.empty(0, np.uint32)
+        ids_a, ids_b = [none] * len(texts), [none] * len(texts)
         for k, x, y in zip(full, self.a.encode(given), self.b.encode(given)):
             want = (" " + texts[k]).encode()
             if _same_bytes(x, self.a.pieces, want) and _same_bytes(y, self.b.pieces, want):
@@ -208,6 +252,21 @@ class Aligner:
         return a, b
 
 
+def _aligner(vocab: tuple[bytes, bytes]) -> Aligner:
+    """The process's aligner of these vocabularies.
+
+    This module travels with every task, so what outlives a task hangs on a
+    library that the process imports once.
+    """
+    import sentencepiece
+
+    held = sentencepiece.__dict__.setdefault("_aligners", {})
+    key = tuple(hashlib.sha256(v).digest() for v in vocab)
+    if key not in held:
+        held[key] = Aligner(*vocab)
+    return held[key]
+
+
 def _chunks(texts: list[str | None], chunk_bytes: int) -> Iterator[slice]:
     begin = size = 0
     for k, t in enumerate(texts):
@@ -251,19 +310,18 @@ def align_documents(docs: DataFrame, text: str = "text", folder: str = TOKENIZER
                                [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*vocab)
+        aligner = _aligner(vocab)
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for part in _chunks(texts, chunk_bytes):
                 a, b = aligner.chunk(texts[part])
-                n = int(a.group[-1]) + 1 if len(a.ids) else 0
-                a0, b0 = _first(a.group, n), _first(b.group, n)
+                a0, b0 = _first(a.group), _first(b.group)
                 doc = a.doc[a0[:-1]]
                 per_doc = np.bincount(doc, minlength=len(a.n))
                 base = np.zeros(len(a.n), np.int64)
                 firsts = np.concatenate(([0], np.cumsum(a.n)[:-1]))[a.n > 0]
                 base[a.n > 0] = a.start[firsts]
-                ends = np.concatenate((a.start, [int(a.start[-1] + aligner.size_a[a.ids[-1]])]))[a0[1:]] if n else a0[1:]
+                ends = np.concatenate((a.start, [int(a.start[-1] + aligner.size_a[a.ids[-1]])]))[a0[1:]] if len(doc) else a0[1:]
                 groups = pa.StructArray.from_arrays(
                     [pa.array(a.start[a0[:-1]] - base[doc]), pa.array(ends - base[doc]),
                      _lists(pa.array(a.ids, pa.int32()), np.diff(a0)),
@@ -300,7 +358,7 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = Aligner(*vocab)
+        aligner = _aligner(vocab)
         space = len(aligner.a.pieces) * n_b
         row = TaskContext.get().partitionId() << 33  # fixed with the written rows
         for batch in batches:
