@@ -92,10 +92,20 @@ def stage_scope(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield _scopes[-1]
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _scopes.pop():
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` returned; nothing may read it any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -109,4 +119,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written._stage_path = path
+    return written
