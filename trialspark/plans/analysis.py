@@ -162,7 +162,10 @@ def genotype_tables(geno: DataFrame) -> dict:
 
 @dataclass
 class Recipe:
-    """One model of the analysis: genotype table, learner, folds, search space, number of candidates."""
+    """One model of the analysis: genotype table, learner, folds, search space, number of candidates.
+
+    The learners differ in their space: a leaf-wise one has ``num_leaves``.
+    """
 
     genotype: str | None
     kind: str = "boosted"
@@ -177,24 +180,22 @@ RECIPES = {
     "additive": Recipe("Genomic_addev_matrix", space=MD.BOOSTED_SPACE),
     "dominance": Recipe("Genomic_dodev_matrix", space=MD.BOOSTED_SPACE),
     "env": Recipe(None, folds="contiguous", space=MD.ENV_ONLY_SPACE, n_iter=MD.N_ITER_ENV),
-    "leaf_wise": Recipe("Genotype_True", kind="forest", folds="contiguous", space=MD.LEAF_WISE_SPACE),
+    "leaf_wise": Recipe("Genotype_True", kind="leaf_wise", folds="contiguous", space=MD.LEAF_WISE_SPACE),
 }
 FOLD_ORDER = ["Year", "Field_Location", "Hybrid"]
 
 
 def predict(blocks: Mapping[str, DataFrame], genotypes: Mapping[str, DataFrame], recipe: Recipe,
-            parallelism: int = 2) -> DataFrame:
-    """Train matrix (meta x weather x genotype) -> search -> fit -> test predictions."""
+            ledger: str | None = None, batch: int = 4) -> DataFrame:
+    """Train matrix (meta x weather x genotype) -> search -> fit -> written test predictions."""
     geno = genotypes[recipe.genotype] if recipe.genotype else None
     train = MX.assemble(blocks["PhenoMetal"], blocks["_WeatherByEnv"], geno,
                         years=PH.TRAIN_YEARS if geno is not None else None)
     test = MX.assemble(blocks["TestPhenometal"], blocks["_TestWeatherByEnv"], geno)
     train = MD.loyo(train) if recipe.folds == "loyo" else MD.contiguous(train, FOLD_ORDER)
-    # raw dosages are centred on the marker means, the two codings on zero
-    means = G.marker_means(geno) if recipe.genotype == "Genotype_True" else None
-    data = MD.prepare(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS, means)
-    model, _ = MD.search_and_fit(data, recipe.space, recipe.kind, MD.Budget(recipe.n_iter, parallelism))
-    return MD.predict(model, data.test)
+    data = MD.prepare_binned(materialize(train, "train_rows"), test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS)
+    model, _ = MD.search_binned(data, recipe.space, MD.Budget(recipe.n_iter, batch=batch), ledger=ledger)
+    return MD.predict_binned(model, data)
 
 
 def ensembles(preds: Mapping[str, DataFrame], weights: DataFrame | None) -> dict:
@@ -216,7 +217,8 @@ def run(spark: SparkSession, inp: Inputs, out_dir: str, recipes: Mapping[str, Re
     """Whole analysis; writes every stage output under ``out_dir`` and returns the tables.
 
     ``recipes`` are the models to fit (those with a genotype only if one is
-    given); ``weights`` (component, V) are the variances of the weighted
+    given); each search keeps its ledger under ``out_dir``, so a restarted run
+    skips the fits it finished. ``weights`` (component, V) are the variances of the weighted
     ensembles, which are left out without them.
     """
     t = read_inputs(spark, inp)
@@ -238,7 +240,7 @@ def run(spark: SparkSession, inp: Inputs, out_dir: str, recipes: Mapping[str, Re
         for name, df in genotypes.items():
             TX.write_genotype_text(df, t["markers"], os.path.join(out_dir, name))
         out.update(genotypes)
-    preds = {name: predict(blocks, genotypes, r) for name, r in recipes.items()
+    preds = {name: predict(blocks, genotypes, r, os.path.join(out_dir, f"search_{name}")) for name, r in recipes.items()
              if r.genotype is None or r.genotype in genotypes}
     preds |= ensembles(preds, weights)
     for name, df in preds.items():

@@ -25,6 +25,7 @@ from trialspark.plans import folds as FO
 from trialspark.plans import matrices as MX
 from trialspark.plans import model as MD
 from trialspark.plans import phenotype as PH
+from trialspark.plans import search as SE
 from trialspark.session import materialize, scratch_path
 from trialspark.sources import fixtures as V
 from trialspark.sources import text as TX
@@ -603,48 +604,74 @@ def ensemble_equal(spark, sf):
 
 # ---------------------------------------------------------------- search, fit, predict (rows-only)
 
-# The registered model queries search a small space of their own, two candidates each, run as drawn;
-# the analysis' full spaces and counts are the defaults of ``analysis.run``.
+# The registered searches use a small space of their own, two candidates each, run as drawn; the analysis'
+# full spaces and counts are the defaults of ``analysis.run``, and ``boosted_trees`` fits one model of that size.
 SMALL_SPACE = dict(MD.BOOSTED_SPACE, n_estimators=(3, 6, "log-uniform"), max_depth=(2, 4, "log-uniform"))
 SMALL_LEAF_SPACE = dict(MD.LEAF_WISE_SPACE, n_estimators=(3, 6, "log-uniform"), max_depth=(2, 4, "uniform"))
-SMALL_BUDGET = MD.Budget(n_iter=2, parallelism=2)
+SMALL_BUDGET = MD.Budget(n_iter=2, batch=2)
+# a candidate within the analysis' ranges but for the number of trees
+DEEP_CANDIDATE = {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 6, "min_child_weight": 5, "subsample": 0.8,
+                  "colsample_bytree": 0.7, "gamma": 0.05, "reg_alpha": 10, "reg_lambda": 2}
+
+
+def _model_rows(spark, sf, geno):
+    return (materialize(train_wide(spark, sf, geno), "model_rows"),
+            materialize(test_wide(spark, sf, geno), "model_test_rows"))
+
+
+def _binned(rows, test, fold_scheme):
+    train = MD.loyo(rows) if fold_scheme == "loyo" else MD.contiguous(rows, FOLD_ORDER)
+    return MD.prepare_binned(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS)
 
 
 def _fit_predict(spark, sf, geno, fits):
-    """One prediction table per (kind, fold scheme, space) in ``fits``, on shared training rows."""
-    rows = materialize(train_wide(spark, sf, geno), "model_rows")
-    test = materialize(test_wide(spark, sf, geno), "model_test_rows")
-    means = G.marker_means(_geno_imputed(spark, sf)) if geno == "raw" else None
+    """One prediction table per (fold scheme, space) in ``fits``, on shared training rows."""
+    rows, test = _model_rows(spark, sf, geno)
     out = []
-    for kind, fold_scheme, space in fits:
-        train = MD.loyo(rows) if fold_scheme == "loyo" else MD.contiguous(rows, FOLD_ORDER)
-        data = MD.prepare(train, test, MX.TRAIN_KEYS + ["fold"], MX.TEST_KEYS, means)
-        model, _ = MD.search_and_fit(data, space, kind, SMALL_BUDGET)
-        out.append(MD.predict(model, data.test))
+    for fold_scheme, space in fits:
+        data = _binned(rows, test, fold_scheme)
+        model, _ = MD.search_binned(data, space, SMALL_BUDGET)
+        out.append(MD.predict_binned(model, data))
     return out
 
 
 @query
 def submission(spark, sf):
     """Boosted trees on metadata + weather + marker dosage, leave-one-year-out search of SMALL_SPACE."""
-    return _fit_predict(spark, sf, "raw", [("boosted", "loyo", SMALL_SPACE)])[0]
+    return _fit_predict(spark, sf, "raw", [("loyo", SMALL_SPACE)])[0]
 
 
 @query
 def submission_env(spark, sf):
     """Boosted trees on metadata + weather only, 5 contiguous folds, search of SMALL_SPACE."""
-    return _fit_predict(spark, sf, None, [("boosted", "contiguous", SMALL_SPACE)])[0]
+    return _fit_predict(spark, sf, None, [("contiguous", SMALL_SPACE)])[0]
 
 
 @query
 def ensemble_learners(spark, sf):
-    """Equal-weight average of a boosted and a forest model on the same matrix (small spaces)."""
-    a, b = _fit_predict(spark, sf, "raw", [("boosted", "loyo", SMALL_SPACE), ("forest", "contiguous", SMALL_LEAF_SPACE)])
-    return EN.equal_ensemble({"boosted": a, "forest": b})
+    """Equal-weight average of a boosted and a leaf-wise model on the same matrix (small spaces)."""
+    a, b = _fit_predict(spark, sf, "raw", [("loyo", SMALL_SPACE), ("contiguous", SMALL_LEAF_SPACE)])
+    return EN.equal_ensemble({"boosted": a, "leaf_wise": b})
 
 
 @query
 def ensemble_codings(spark, sf):
     """Variance-weighted average of the fits on the additive and on the dominance coding (SMALL_SPACE)."""
-    preds = {name: _fit_predict(spark, sf, name, [("boosted", "loyo", SMALL_SPACE)])[0] for name in ("additive", "dominance")}
+    preds = {name: _fit_predict(spark, sf, name, [("loyo", SMALL_SPACE)])[0] for name in ("additive", "dominance")}
     return EN.weighted_ensemble(preds, V.variance_weights(spark))
+
+
+@query
+def search_scores(spark, sf):
+    """The ledger of a leave-one-year-out search: (candidate, params, fold, n, mse) of every fit."""
+    rows, _ = _model_rows(spark, sf, None)
+    data = _binned(rows, None, "loyo")
+    return MD.search_binned(data, SMALL_SPACE, SMALL_BUDGET)[1].table()
+
+
+@query
+def boosted_trees(spark, sf):
+    """200 boosted trees of depth 6 with all penalties on every training row: the test rows' predictions."""
+    rows, test = _model_rows(spark, sf, "raw")
+    data = _binned(rows, test, "loyo")
+    return MD.predict_binned(SE.refit(data.blocks, data.bins.n_bins, DEEP_CANDIDATE, MD.SEED), data)

@@ -1,21 +1,23 @@
-"""Model search, fit and prediction with Spark ML tree ensembles.
-
-The analysis searches boosted-tree hyper-parameters with fold-wise MSE and
-predicts the test rows with the best model.  Here:
-
-* candidates are drawn (seeded) from the same ranges and distributions and
-  become the ``estimatorParamMaps`` of one ``CrossValidator``;
-* folds are an explicit ``foldCol`` (leave-one-year-out or contiguous);
-* scoring is ``RegressionEvaluator(metricName="mse")`` averaged over folds;
-* the best candidate is refit once on all training rows (``CrossValidator``
-  does that itself) and applied to the test rows.
-
-Spark's ``GBTRegressor`` is the boosted learner; ``RandomForestRegressor`` is
-the second learner family for the two-learner ensemble.  Parameters without
-a Spark counterpart (L1/L2 leaf penalties, leaf-count limits) are recorded in
-the candidate but not applied.  Spark trees reject NaN features, so missing
-scalar features are filled with training means plus a 0/1 missing indicator
-and missing marker values with 0 (see ``matrices.ml_ready``).
+"""Model search, fit and prediction.
+
+The analysis searches boosted-tree parameters with fold-wise MSE and predicts
+the test rows with the best model.  Here:
+
+* the training rows become one binned matrix (``prepare_binned``), read by
+  every candidate and fold; NULL scalars, NULL markers and hybrids without
+  genotype stay missing and the splits learn their direction;
+* ``search_binned`` scores candidates from the same ranges on explicit folds
+  (leave-one-year-out or contiguous) with a resumable ledger
+  (``plans.search``); every parameter of a candidate acts on the fit;
+* the best candidate is refit once on all training rows and applied to the
+  test rows.  The boosted recipes grow all splits to ``max_depth``, the
+  leaf-wise one best gain first to ``num_leaves``.
+
+Spark ML's ``GBTRegressor`` and ``RandomForestRegressor`` under a
+``CrossValidator`` remain as a second way (``prepare``, ``search_and_fit``).
+They have no leaf penalties, no leaf-count limit and no missing values, so
+there scalars are filled with training means plus a 0/1 indicator, markers
+with zero, and those parameters of a candidate have no effect.
 
 Every fit is a set of distributed Spark jobs; the training matrix is written
 to the shared checkpoint folder first so the many fits read it instead of
@@ -36,9 +38,12 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.operators import binning as BI
+from trialspark.operators import boosting as BO
 from trialspark.plans import folds as FO
 from trialspark.plans import matrices as MX
-from trialspark.session import materialize
+from trialspark.plans import search as SE
+from trialspark.session import materialize, scratch_path
 
 # Search spaces of the analysis, (low, high, prior); int bounds mean integer draws.
 BOOSTED_SPACE = {
@@ -75,14 +80,14 @@ SPARK_MAX_DEPTH = 30
 
 @dataclass
 class Budget:
-    """Number of candidates and of fits at a time.
+    """Number of candidates, of Spark ML fits at a time, and of candidates proposed together.
 
-    Every candidate runs exactly as drawn; a lighter search declares a lighter
-    space (see ``sample_candidates``), it is never cut afterwards.
+    A lighter search declares a lighter space, candidates are never cut afterwards.
     """
 
     n_iter: int = N_ITER
     parallelism: int = 2
+    batch: int = 4
 
 
 def sample_candidates(space: Mapping[str, tuple], n_iter: int, seed: int = SEED) -> list[dict]:
@@ -104,7 +109,7 @@ def sample_candidates(space: Mapping[str, tuple], n_iter: int, seed: int = SEED)
 
 
 def spark_params(est, cand: Mapping) -> dict:
-    """The candidate as Spark ML parameters, unchanged; a depth Spark cannot grow is an error."""
+    """The candidate's parameters that Spark ML has, unchanged; a depth Spark cannot grow is an error."""
     trees = int(cand.get("n_estimators", 100))
     depth = int(cand.get("max_depth", 5))
     if depth > SPARK_MAX_DEPTH:
@@ -209,3 +214,50 @@ def predict(model, test: DataFrame, keys: Sequence[str] = ("Env", "Hybrid")) ->
     """Submission table: Env, Hybrid, Yield_Mg_ha (predicted)."""
     return model.transform(test).select(*keys, F.col("prediction").alias("Yield_Mg_ha"))
 
+
+@dataclass
+class BinnedData:
+    """Written blocks of the training rows, their bins and folds, and the test rows with the same features."""
+
+    blocks: DataFrame
+    bins: BI.Bins
+    folds: list[int]
+    test: DataFrame | None
+    test_keys: list[str]
+
+
+def prepare_binned(train: DataFrame, test: DataFrame | None, train_keys: Sequence[str],
+                   test_keys: Sequence[str]) -> BinnedData:
+    """Bin the training rows (with an integer ``fold``); nothing missing is filled in.
+
+    Actions: bin edges over all rows, then the blocks are written.  Hand in
+    written rows: they are read three times.
+    """
+    scalars = MX.feature_columns(train, train_keys)
+    bins = BI.find_bins(train, scalars, "geno" if "geno" in train.columns else None)
+    blocks = BI.binned_blocks(train, bins, "Yield_Mg_ha", "fold")
+    folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())  # a handful
+    aligned = None
+    if test is not None:
+        aligned = MX.align_test(test, [*scalars, *(["geno"] if "geno" in test.columns else [])], test_keys, [])
+    return BinnedData(blocks, bins, folds, aligned, list(test_keys))
+
+
+def search_binned(data: BinnedData, space: Mapping[str, tuple], budget: Budget | None = None, seed: int = SEED,
+                  ledger: str | None = None) -> tuple[BO.Forest, SE.Ledger]:
+    """Best model of a search over ``space`` and the search's ledger.
+
+    ``ledger`` is a shared path that outlives the job (a restart goes on
+    there); without one the ledger is a stage table of this run.
+    """
+    budget = budget or Budget()
+    spark = data.blocks.sparkSession
+    book = SE.Ledger(spark, ledger or scratch_path(spark, "search_ledger"))
+    best, _ = SE.search(data.blocks, data.bins.n_bins, space, budget.n_iter, data.folds, book, budget.batch, seed)
+    return SE.refit(data.blocks, data.bins.n_bins, best, seed), book
+
+
+def predict_binned(model: BO.Forest, data: BinnedData, keys: Sequence[str] = ("Env", "Hybrid")) -> DataFrame:
+    """Submission table: Env, Hybrid, Yield_Mg_ha (predicted); written, so that ensembles do not score again."""
+    scored = BO.predict(data.test, model, data.bins, "_prediction")
+    return materialize(scored.select(*keys, F.col("_prediction").alias("Yield_Mg_ha")), "predictions")
