@@ -1,17 +1,15 @@
 """Marker-genotype operators on ``(Hybrid, array<double>)`` rows.
 
 A genotype matrix is one row per hybrid with an array of marker values, not
-one column per marker.  Per-marker statistics are computed with
-``posexplode`` + ``groupBy(marker)`` (partial aggregation, so each map task
-sends at most one row per marker), then gathered into a single row holding
-an array of ``m`` doubles.  That row's size is bounded by the marker count
-(8 bytes per marker, not by the number of hybrids), so it is broadcast and
-applied with ``transform(values, (x, i) -> f(x, stat[i]))`` inside codegen.
-The statistics are written once and their markers counted before the gather;
-beyond ``MAX_BROADCAST_MARKERS`` the same codings run in long form: cells
-joined with the statistics on the marker index, arrays rebuilt per input row.
-Both forms keep every input row: a NULL array stays NULL, an empty one empty,
-rows of a repeated hybrid stay apart.
+one column per marker.  Per-marker statistics come from ``operators.markers``:
+every task adds its rows into vectors, one row per block of markers leaves it,
+and no cell becomes a row.  The statistics are written once and their markers
+counted: up to ``MAX_BROADCAST_MARKERS`` they travel as one broadcast row (8
+bytes a marker, whatever the number of hybrids), applied with
+``transform(values, (x, i) -> f(x, stat[i]))`` inside codegen; beyond it the
+arrays are cut into blocks of markers that meet the statistics of their block
+and are joined again per input row.  Both forms keep every input row: a NULL
+array stays NULL, an empty one empty, rows of a repeated hybrid stay apart.
 
 Codings (values 0/1/2 = copies of the counted allele, p = its frequency):
   additive   z = x - 2p, missing -> 0
@@ -23,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.operators import markers as MK
 from trialspark.session import materialize
 
 
@@ -39,8 +38,7 @@ def explode_markers(g: DataFrame, col: str = "dosage", id_col: str = "Hybrid",
 
 def marker_means(g: DataFrame, col: str = "dosage") -> DataFrame:
     """Per-marker mean ignoring missing values: (i, mean); all-missing -> NULL."""
-    return (g.select(F.posexplode(col).alias("i", "_x"))
-            .groupBy("i").agg(F.avg("_x").alias("mean")))
+    return MK.per_marker(MK.block_stats(g, col), mean=lambda s: F.try_divide(s["total"], s["n"]))
 
 
 def allele_freq(g: DataFrame, col: str = "dosage") -> DataFrame:
@@ -49,13 +47,7 @@ def allele_freq(g: DataFrame, col: str = "dosage") -> DataFrame:
     p_y = (2 * #(x == y) + #(x == 1)) / (2 * #non-missing); all-missing -> NULL.
     Output (i, p0, p2).
     """
-    x = F.col("_x")
-    long = g.select(F.posexplode(col).alias("i", "_x"))
-    het = F.count_if(x == 1)
-    n2 = F.count("_x") * 2
-    return long.groupBy("i").agg(
-        F.try_divide(F.count_if(x == 0) * 2 + het, n2).alias("p0"),
-        F.try_divide(F.count_if(x == 2) * 2 + het, n2).alias("p2"))
+    return MK.per_marker(MK.block_stats(g, col), p0=MK.allele0, p2=MK.allele2)
 
 
 def marker_vector(stats: DataFrame, value: str, name: str | None = None) -> DataFrame:
@@ -79,9 +71,9 @@ def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out:
 
     The statistics (one row per marker) are written once to the checkpoint
     folder and counted: up to ``max_markers`` they travel as one broadcast
-    row; beyond it the cells are exploded, joined with the statistics on the
-    marker index (a shuffle join) and each row's array is rebuilt from its own
-    cells.  Both ways give the same rows; a marker without a statistic has a
+    row; beyond it the arrays are cut into blocks of markers, which meet the
+    statistics of their block, and each row's array is joined again from its
+    blocks.  Both ways give the same rows; a marker without a statistic has a
     NULL one.
     """
     st = materialize(stats.select("i", F.col(stat).cast("double").alias("_stat")), "marker_stats")
@@ -91,15 +83,19 @@ def apply_marker_stat(g: DataFrame, col: str, stats: DataFrame, stat: str, out:
         res = g.crossJoin(F.broadcast(vec)).withColumn(
             out, F.transform(col, lambda x, i: fn(x, F.get("_stat", i))))
         return res.select(*keys, out)
-    rows = materialize(g.withColumn("_rid", F.monotonically_increasing_id()), "genotype_rows")
-    cells = rows.select("_rid", F.posexplode(col).alias("_i", "_x"))
-    coded = cells.join(st.withColumnRenamed("i", "_i"), "_i", "left").select(
-        "_rid", "_i", fn(F.col("_x"), F.col("_stat")).alias("_y"))
-    rebuilt = coded.groupBy("_rid").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias("_arr"))
-    none = F.array().cast("array<double>")
-    return rows.join(rebuilt, "_rid", "left").select(
-        *keys, F.when(F.col(col).isNotNull(), F.coalesce("_arr", none)).alias(out))
+    rows = MK.numbered(g, "_rid")
+    store = MK.slices(rows.select("_rid", F.col(col).alias("_cells")), "_cells")
+    coded = MK.from_blocks(MK.coded(store, stat_blocks(st), "_stat", fn), "_rid")
+    return rows.join(coded, "_rid", "left").select(
+        *keys, F.when(F.col(col).isNotNull(), F.coalesce("v", F.array().cast("array<double>"))).alias(out))
+
+
+def stat_blocks(st: DataFrame, stat: str = "_stat") -> DataFrame:
+    """(block, vector) from (i, statistic) rows: one row per ``markers.BLOCK`` markers, gaps NULL."""
+    block = F.floor(F.col("i") / MK.BLOCK).cast("int")
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("i") % MK.BLOCK, F.col(stat))))
+    return st.groupBy(block.alias("block")).agg(pairs.alias("_m"), F.max(F.col("i") % MK.BLOCK).alias("_last")).select(
+        "block", F.transform(F.sequence(F.lit(0), "_last"), lambda p: F.try_element_at("_m", p)).alias(stat))
 
 
 def impute_markers(g: DataFrame, col: str = "dosage",
@@ -120,7 +116,7 @@ def additive_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "z", f
                              lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)), max_markers)
 
 
-def _dominance(x, p):
+def dominance_value(x, p):
     q = F.lit(1.0) - p
     x0 = F.coalesce(x, F.lit(0.0))
     return (F.when(x0 == 0, p * p * -2)
@@ -133,7 +129,7 @@ def dominance_coding(g_imputed: DataFrame, col: str = "dosage", out: str = "w",
                      max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Dominance-deviation coding (missing -> 0 first, then by genotype class)."""
     return apply_marker_stat(g_imputed, col, freq or allele_freq(g_imputed, col), "p2", out,
-                             _dominance, max_markers)
+                             dominance_value, max_markers)
 
 
 def marker_variance(g_imputed: DataFrame, col: str = "dosage") -> DataFrame:

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators import filters as FL
-from trialspark.operators.genotype import marker_vector
+from trialspark.operators.genotype import MAX_BROADCAST_MARKERS, marker_vector, stat_blocks
 from trialspark.operators.joins import join_written
+from trialspark.operators.markers import from_blocks, numbered
 from trialspark.operators.projection import align_columns
+from trialspark.session import materialize
 
 TRAIN_KEYS = ["Hybrid", "Year", "Field_Location", "Env", "Hybrid_Env", "Yield_Mg_ha"]
 TEST_KEYS = ["Hybrid", "Year", "Field_Location", "Env", "Hybrid_Field", "Yield_Mg_ha"]
@@ -67,13 +69,25 @@ def align_test(test: DataFrame, train_columns: Sequence[str], keys_test: Sequenc
     return align_columns(test, list(keys_test) + feats, fill=0)
 
 
-def fill_missing_genotypes(df: DataFrame, marker_means: DataFrame) -> DataFrame:
+def fill_missing_genotypes(df: DataFrame, marker_means: DataFrame,
+                           max_markers: int = MAX_BROADCAST_MARKERS) -> DataFrame:
     """Rows whose hybrid has no genotype get the marker means (i, mean) instead of NULL.
 
-    The means travel as one broadcast row, a double per marker.
+    The means are written and counted: up to ``max_markers`` they travel as
+    one broadcast row; beyond it the rows without genotype take the means
+    block by block in a join and are put together again.
     """
-    vec = marker_vector(marker_means, "mean", "_means")
-    return df.crossJoin(F.broadcast(vec)).withColumn("geno", F.coalesce("geno", "_means")).drop("_means")
+    st = materialize(marker_means.select("i", F.col("mean").cast("double").alias("_stat")), "marker_means")
+    if st.count() <= max_markers:
+        vec = marker_vector(st, "_stat", "_means")
+        return df.crossJoin(F.broadcast(vec)).withColumn("geno", F.coalesce("geno", "_means")).drop("_means")
+    rows = numbered(df, "_rid")
+    blocks = materialize(stat_blocks(st), "mean_blocks")
+    n = blocks.agg(F.max("block").alias("last")).first()["last"]
+    wanted = rows.filter("geno is null").select("_rid", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("block"))
+    filled = from_blocks(wanted.join(blocks.hint("merge"), "block"), "_rid", "_stat")
+    return (rows.join(filled, "_rid", "left").withColumn("geno", F.coalesce("geno", "_stat"))
+            .drop("_rid", "_stat"))
 
 
 def ml_ready(df: DataFrame, scalar_cols: Sequence[str], fill: dict[str, float],
