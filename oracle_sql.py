@@ -389,6 +389,26 @@ def queries() -> dict[str, str]:
     q["marker_two_pq_total"] = gc + "select sum(p0 * 2 * p2) as two_pq_sum from af"
     q["geno_additive"] = gc + "select Hybrid, i, v as z from gz"
     q["geno_dominance"] = gc + "select Hybrid, i, v as w from gw"
+    q["relationship_product"] = gc + """select gz.Hybrid, sum(gz.v * u.u) / (select sum(p0 * 2 * p2) from af) as y
+        from gz join (select gz.i, sum(gz.v * h.x) as u
+                      from gz join (select Hybrid, count_if(v = 1)::double as x from gi group by Hybrid) h using (Hybrid)
+                      group by gz.i) u using (i) group by gz.Hybrid"""
+    q["variance_moments"] = with_(V_TRIAL_WIDE, *C_GENO) + """, hy as (
+          select t.Hybrid, avg(Yield_Mg_ha) as y from trial_wide t
+          where t.Hybrid in (select Hybrid from gi) group by t.Hybrid having avg(Yield_Mg_ha) is not null),
+        x0 as (select Hybrid, b, case when b = 0 then y when md5(concat(Hybrid, ':', b))[1] < '8' then 1.0 else -1.0 end as x
+               from hy, range(0, 5) as r(b)),
+        x as (select Hybrid, b, x - avg(x) over (partition by b) as x from x0),
+        codes as (select 'additive' as c, *, (select sum(p0 * 2 * p2) from af) as d from gz union all
+                  select 'dominance', *, (select sum((p2 * 2 * (1 - p2)) ** 2) from af) from gw),
+        u as (select c, b, i, sum(v * x) as u from codes join x using (Hybrid) group by c, b, i),
+        k as (select c, b, Hybrid, sum(v * u) / any_value(d) as x from codes join u using (c, i)
+              where Hybrid in (select Hybrid from hy) group by c, b, Hybrid
+              union all select 'residual', b, Hybrid, x from x),
+        kc as (select c, b, Hybrid, x - avg(x) over (partition by c, b) as x from k)
+        select p.c as i, q.c as j, sum(p.x * q.x) / 4 as value from kc p join kc q using (b, Hybrid)
+        where b > 0 and p.c <= q.c group by p.c, q.c
+        union all select k.c, null, sum(k.x * x.x) from k join x using (b, Hybrid) where b = 0 group by k.c"""
 
     # matrices, folds
     tw = "tw as (select * from fm join (select distinct Hybrid_Env, w1, w2 from fw) w using (Hybrid_Env))"

@@ -21,6 +21,7 @@ from trialspark.functions.keys import ENV_RECODE
 from trialspark.operators import ensemble as EN
 from trialspark.operators import genotype as G
 from trialspark.operators import trial_stats as TS
+from trialspark.operators import variance as VC
 from trialspark.plans import features as FE
 from trialspark.plans import matrices as MX
 from trialspark.plans import model as MD
@@ -218,8 +219,9 @@ def run(spark: SparkSession, inp: Inputs, out_dir: str, recipes: Mapping[str, Re
 
     ``recipes`` are the models to fit (those with a genotype only if one is
     given); each search keeps its ledger under ``out_dir``, so a restarted run
-    skips the fits it finished. ``weights`` (component, V) are the variances of the weighted
-    ensembles, which are left out without them.
+    skips the fits it finished.  ``weights`` (component, V) are the variances
+    of the weighted ensembles; without them they are estimated from the
+    genotypes and the hybrids' mean phenotypes (``operators.variance``).
     """
     t = read_inputs(spark, inp)
     clean_extra = [_read(spark, p, [*TRAIT_TEXT, "Hybrid_Env"], TRAIT_INT, None) for p in inp.clean_plots]
@@ -240,6 +242,9 @@ def run(spark: SparkSession, inp: Inputs, out_dir: str, recipes: Mapping[str, Re
         for name, df in genotypes.items():
             TX.write_genotype_text(df, t["markers"], os.path.join(out_dir, name))
         out.update(genotypes)
+    if weights is None and genotypes:
+        weights = VC.variance_components(genotypes["Genotype_True"],
+                                         pheno.groupBy("Hybrid").agg(F.avg("Yield_Mg_ha").alias("y")))
     preds = {name: predict(blocks, genotypes, r, os.path.join(out_dir, f"search_{name}")) for name, r in recipes.items()
              if r.genotype is None or r.genotype in genotypes}
     preds |= ensembles(preds, weights)

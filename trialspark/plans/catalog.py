@@ -16,8 +16,10 @@ from trialspark.operators import aggregate as A
 from trialspark.operators import ensemble as EN
 from trialspark.operators import filters as FL
 from trialspark.operators import genotype as G
+from trialspark.operators import markers as MK
 from trialspark.operators import projection as P
 from trialspark.operators import trial_stats as TS
+from trialspark.operators import variance as VC
 from trialspark.operators import impute as IM
 from trialspark.operators.joins import join_written
 from trialspark.plans import features as FE
@@ -462,6 +464,37 @@ def geno_dominance(spark, sf):
     return _long(G.dominance_coding(_geno_imputed(spark, sf)), "w", "w")
 
 
+def _hybrid_means(spark, sf):
+    """Mean yield of each hybrid, one hybrid per part."""
+    return V.trial_wide(spark, sf).groupBy("Hybrid").agg(F.avg("Yield_Mg_ha").alias("y"))
+
+
+@query
+def relationship_product(spark, sf):
+    """Additive relationships times the hybrids' numbers of heterozygous markers, in two passes over the blocks."""
+    g = _geno_imputed(spark, sf)
+    stats = materialize(MK.block_stats(g), "marker_block_stats")
+    rows = MK.numbered(g)
+    het = F.size(F.filter("dosage", lambda x: x == 1)).cast("double")
+    z = MK.coded(MK.slices(rows), MK.stat_vector(stats, "p2", MK.allele2), "p2",
+                 lambda x, p: F.coalesce(x - p * 2, F.lit(0.0)))
+    total = G.total_two_pq(g).first()["two_pq_sum"]
+    y = MK.relationship_product(materialize(z, "additive_blocks"), rows.select("row", F.array(het).alias("x")), 1, total)
+    return rows.join(y, "row").select("Hybrid", F.get("y", F.lit(0)).alias("y"))
+
+
+@query
+def variance_moments(spark, sf):
+    """The moment equations of the additive, dominance and residual variances of the hybrid means, four sign vectors."""
+    return VC.moments(_geno_imputed(spark, sf), _hybrid_means(spark, sf), 4)
+
+
+@query
+def variance_components(spark, sf):
+    """Additive, dominance and residual variances of the hybrid means (component, V)."""
+    return VC.variance_components(_geno_imputed(spark, sf), _hybrid_means(spark, sf))
+
+
 # ---------------------------------------------------------------- model matrices and folds
 
 def train_wide(spark, sf, geno: str | None = "raw"):
@@ -656,9 +689,9 @@ def ensemble_learners(spark, sf):
 
 @query
 def ensemble_codings(spark, sf):
-    """Variance-weighted average of the fits on the additive and on the dominance coding (SMALL_SPACE)."""
+    """Average of the fits on the additive and on the dominance coding (SMALL_SPACE), weighted by estimated variances."""
     preds = {name: _fit_predict(spark, sf, name, [("loyo", SMALL_SPACE)])[0] for name in ("additive", "dominance")}
-    return EN.weighted_ensemble(preds, V.variance_weights(spark))
+    return EN.weighted_ensemble(preds, variance_components(spark, sf))
 
 
 @query
