@@ -10,8 +10,8 @@ count, and triples follow as their pairs pass.
 Counting is by 64-bit phrase hashes: a task cuts its texts into words and
 hashes them in numpy, sums each chunk, and Spark adds the (length, hash,
 count) rows, partially before the shuffle.  Which phrases reached the
-threshold travels back as one bitmap of ``BITMAP_BITS`` bits for each length
-and scan, whatever the vocabulary's size.  Hashes and bitmaps can only let a
+threshold travels back as one bitmap for each length and scan, of at most
+``BITMAP_BITS`` bits whatever the vocabulary's size.  Hashes and bitmaps can only let a
 phrase in that need not be counted (colliding counts add up), never keep one
 out, and each phrase that is in counts one cycle.  A last scan counts the
 phrases that passed by their words themselves, so all counts are exact.
@@ -32,7 +32,7 @@ from trialspark.session import materialize
 SHARDS = 2
 MIN_COUNT = 10
 MAX_WORDS = 3
-BITMAP_BITS = 1 << 26   # 8 MB; beyond some ten million passing phrases it prunes less, the result is the same
+BITMAP_BITS = 1 << 28   # 32 MB at most; beyond some ten million passing phrases it prunes less, the result is the same
 CHUNK_BYTES = 2 << 20   # text cut at a time, at a piece's end
 _SLOT = 1 << 15         # bits of one bitmap row
 
@@ -179,14 +179,19 @@ def _active(word, joined, scan, shards, max_words, known):
 
 
 def _bitmaps(counts: DataFrame, bits: int) -> dict[int, np.ndarray]:
-    """Per length the passing hashes' bits: at most ``bits`` / 8 bytes each."""
-    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    """Per length the bits of the given hashes: 32 bits or more a hash, at most ``bits`` in all."""
+    sizes = {}
+    for r in counts.groupBy("k").count().collect():  # a row per length
+        sizes[r["k"]] = max(_SLOT, min(bits, 1 << (32 * r["count"] - 1).bit_length()))
+    if not sizes:
+        return {}
+    mask = F.element_at(F.create_map(*[F.lit(x) for k, size in sizes.items() for x in (k, size - 1)]), F.col("k"))
+    slot = F.col("h").bitwiseAND(mask.cast("long"))
     rows = (counts.select("k", F.shiftright(slot, 15).alias("row"), slot.bitwiseAND(F.lit(_SLOT - 1)).alias("bit"))
             .groupBy("k", "row").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect())  # bounded by ``bits``
-    out: dict[int, np.ndarray] = {}
+    out = {k: np.zeros(size // 8, np.uint8) for k, size in sizes.items()}
     for r in rows:
-        where = out.setdefault(r["k"], np.zeros(bits // 8, np.uint8))
-        where[r["row"] * (_SLOT // 8):(r["row"] + 1) * (_SLOT // 8)] = np.frombuffer(r["bitmap"], np.uint8)
+        out[r["k"]][r["row"] * (_SLOT // 8):(r["row"] + 1) * (_SLOT // 8)] = np.frombuffer(r["bitmap"], np.uint8)
     return out
 
 
@@ -201,13 +206,15 @@ def passing_phrases(docs: DataFrame, min_count: int, max_words: int, shards: int
     last = {1: shards - 1}  # the scan in which each length's last phrases complete their cycle
     scan, carried = 0, None
     while scan <= max(last.values()):
-        rows = _scan(docs, scan, shards, max_words, sc.broadcast(maps))
+        shared = sc.broadcast(maps)
+        rows = _scan(docs, scan, shards, max_words, shared)
         if carried is not None:
             rows = rows.unionByName(carried)
         going = [k for k, end in last.items() if scan < end] + [k for k in range(2, max_words + 1) if k not in last]
         counts = (rows.groupBy("k", "h").agg(F.sum("n").alias("n"))
                   .filter((F.col("n") >= min_count) | F.col("k").isin(going)))
         counts = materialize(counts, "phrase_counts")
+        shared.destroy()
         for k, found in _bitmaps(counts.filter(F.col("n") >= min_count), bits).items():
             maps.setdefault(k, []).append((scan, found))
             if k < max_words:
@@ -239,8 +246,7 @@ def _spelt(a, start, end, h) -> tuple[np.ndarray, list[bytes]]:
 
 def exact_counts(docs: DataFrame, maps: dict, max_words: int) -> DataFrame:
     """(lang, k, phrase, n) of the phrases whose bits are set, counted by their words; k = 0: all words.  Written."""
-    passed = {k: np.bitwise_or.reduce([b for _, b in found]) for k, found in maps.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(passed)
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = Chunks(), shared.value
@@ -261,7 +267,7 @@ def exact_counts(docs: DataFrame, maps: dict, max_words: int) -> DataFrame:
                             here = joined[at + length - 2]
                             at, key = at[here], key[here]
                             h = _longer(h[here], word[at + length - 1])
-                        here = _in(known[length], h)
+                        here = _reached(known[length], h) < _NEVER
                         at, h, key = at[here], h[here], key[here]
                         if length > 1:
                             # phrases of one length get new numbers, so that the next key fits into 64 bits
@@ -278,7 +284,9 @@ def exact_counts(docs: DataFrame, maps: dict, max_words: int) -> DataFrame:
                         ["lang", "k", "phrase", "n"])
 
     rows = docs.mapInArrow(count, "lang string, k int, phrase string, n bigint")
-    return materialize(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")), "phrases")
+    counts = materialize(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")), "phrases")
+    shared.destroy()
+    return counts
 
 
 def score_expr(a: str, left: str, right: str) -> str:
