@@ -134,3 +134,71 @@ def test_the_template_decides_inside_the_article(spark):
         assert got[i] == f"own text number {i}\n\nseen twice\n\nseen twice"
         assert T.main_text(rows[i][2]) == f"Read our offer\n\n{got[i]}"  # without the template
         assert got[10 + i] == f"a long shared text\n\n{i}"  # copies but for a number
+
+
+def test_only_containers_at_the_edges_are_frame(spark):
+    """Headings, captions and lines that a host repeats are part of the article, however long it is."""
+    def recipe(i, n):
+        steps = "".join(f"<p>step {k} of {i}</p>" for k in range(n))
+        return (f"<html><body><nav>Home</nav><article><h2>Ingredients</h2><ul><li>{i} eggs</li><li>salt</li></ul>"
+                f"<h2>Method</h2>{steps}<figure><img src=a><figcaption>Ready</figcaption></figure><div>Serve at once</div>"
+                f"<p>enjoy {i}</p><p>By our kitchen</p></article><footer>Foot</footer></body></html>")
+
+    def offer(i):
+        return (f"<html><body><article><div><h3>Sale</h3><p>Half price</p></div><section><h2>Part one</h2></section>"
+                f"<p>own {i}</p><div><b>Sign our list today</b></div></article></body></html>")
+
+    rows = [(i, f"http://cook.org/{i}", recipe(i, 1 + 30 * (i % 2))) for i in range(6)]
+    rows += [(10 + i, f"http://offer.org/{i}", offer(i)) for i in range(5)]
+    rows += [(20 + i, f"http://same.org/{i}", "<article><div><p>all the same</p></div></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in T.extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        steps = "\n\n".join(f"step {k} of {i}" for k in range(1 + 30 * (i % 2)))
+        assert got[i] == (f"Ingredients\n\n{i} eggs\n\nsalt\n\nMethod\n\n{steps}\n\nReady\n\nServe at once\n\n"
+                          f"enjoy {i}\n\nBy our kitchen")
+        assert T.main_text(rows[i][2]) == got[i]  # a single page keeps the same
+    for i in range(5):
+        assert got[10 + i] == f"Part one\n\nown {i}"
+    assert {got[20 + i] for i in range(4)} == {"all the same"}
+
+
+def test_given_pages_keep_whole_articles(spark):
+    """Every article of the given pages, by the standard library's parser with the contract's parts left out."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.now = [], [], ""
+
+        def end(self):
+            if self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in T.BLOCK:
+                self.end()
+            if tag not in T.VOID:
+                named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split()
+                self.stack.append((tag, tag in T.MAIN_SKIP or bool(set(named) & T.MAIN_PARTS)))
+
+        def handle_endtag(self, tag):
+            if tag in T.BLOCK:
+                self.end()
+            while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            if "article" in tags and not any(out for _, out in self.stack[tags.index("article"):]):
+                self.now += data
+
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in T.extract_pages(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.end()
+        assert got[r.page_id] == "\n\n".join(plain.blocks), r.page_id

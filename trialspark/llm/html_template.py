@@ -19,12 +19,14 @@ not.  Parts are known by their tag or by a whole class, id or role name.  An
 element around a main element is not left out by its name; parts that often
 hold articles of their own (comments, sidebars, related pages) are only if the
 page has another main element.  The main slots are those of the template's
-article (or main) element; there nothing else is dropped but the template's
-own text, such as a notice that the article has once on every page, unless it is
-more than the slots hold: then the page is a copy and keeps all.  A page that breaks the template's main
-element, or has no template, stands for itself: its own article or main
-element, else its body less the template's text, or its whole body if nothing
-would be left.
+article (or main) element.  The template places their edges: a container that
+holds nothing but the template's text, before the first or after the last text
+that varies, is frame (a notice, an offer) and goes.  Between varying texts
+everything stays, however many pages share it, and so do headings, captions
+and paragraphs at the edges; an article in which nothing varies keeps all.  A
+page that breaks the template's main element, or has no template, stands for
+itself: its own article or main element, else its body less the template's
+text, or its whole body if nothing would be left.
 """
 
 from __future__ import annotations
@@ -67,6 +69,9 @@ MAIN_ROLES = frozenset("banner search".split())  # header and form, if given as
 #: Parts that often hold article elements of their own, such as a comment or a teaser.
 HOLDERS = frozenset("""comment comments disqus respond comment-list comments-area comment-section sidebar side-bar aside
 complementary related recommended""".split())
+#: Containers that frame an article; a shared heading, paragraph, quotation or caption is part of it.
+WRAPPERS = frozenset("div section center table ul ol dl details fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag closes if they are open, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -138,8 +143,8 @@ def walk(page: str) -> Iterator[tuple]:
     """Events of a page in order.
 
     ("open", path, name), ("close", path, name), ("text", path, raw text, left
-    out?, path of the main element around it or ""), ("break", path, name) for
-    void elements.
+    out?, path of the main element around it or "", element), ("break", path,
+    name) for void elements.
     """
     elements: list[_Element] = []
     events = list(_parsed_events(page, elements))
@@ -147,9 +152,9 @@ def walk(page: str) -> Iterator[tuple]:
     for kind, e, what in events:
         path = e.path if e else ""
         if kind == "raw":
-            yield "text", path, what, True, ""
+            yield "text", path, what, True, "", e
         elif kind == "text":
-            yield kind, path, what, *flags[e]
+            yield kind, path, what, *flags[e], e
         else:
             yield kind, path, what
 
@@ -335,6 +340,41 @@ def fixed_tokens(page_tokens: list[str], template: str) -> set[str]:
     return {t for t in first if of[t][0] not in bad}
 
 
+def _around(e: _Element | None) -> Iterator[_Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def framed(pieces: list[tuple[_Element, bool]]) -> set[int]:
+    """Which of the pieces (element, in the template?) of main elements are frame: at a slot's edge, in a container.
+
+    The edges are those of the outermost main element around the pieces.
+    """
+    out: set[int] = set()
+    groups: dict[_Element, list[int]] = {}
+    for i, (e, _) in enumerate(pieces):
+        groups.setdefault([x for x in _around(e) if x.main][-1], []).append(i)
+    for main, members in groups.items():
+        varying = [i for i in members if not pieces[i][1]]
+        if not varying:
+            continue
+        holds = {x for i in varying for x in _around(pieces[i][0])}
+        frames: dict[_Element, list[int]] = {}
+        for i in members:
+            if varying[0] < i < varying[-1] or not pieces[i][1]:
+                continue
+            inside = list(_around(pieces[i][0]))
+            inside = inside[:inside.index(main)]
+            wrapper = [x for x in inside if x.name in WRAPPERS and x not in holds]
+            if wrapper:
+                frames.setdefault(wrapper[-1], []).append(i)
+        for members_of in frames.values():
+            if not all(any(x.name in HEADINGS for x in _around(pieces[i][0])) for i in members_of):
+                out.update(members_of)
+    return out
+
+
 def main_text(page: str | None, template: str | None = "") -> str:
     """The blocks of the main slot, joined by blank lines.
 
@@ -352,11 +392,13 @@ def main_text(page: str | None, template: str | None = "") -> str:
         times = Counter(named)
         fixed = {t for t in fixed if times[t] == 1}
     # the slots: what is not left out, in the main elements if there are any, and not in the template
-    said = [(len(ev[2]), _piece(ev[1], ev[2]) in fixed) for ev in events
+    said = [i for i, ev in enumerate(events)
             if ev[0] == "text" and not ev[3] and ev[2].strip() and (not mains or ev[4] in mains)]
-    slots, framed = (sum(n for n, f in said if f is k) for k in (False, True))
-    if slots < framed if mains else not slots:
-        fixed = set()  # most of the main element, or all of the body, is shared: a copy, not a frame around something
+    shared = [_piece(events[i][1], events[i][2]) in fixed for i in said]
+    if mains:
+        gone = {said[i] for i in framed([(events[i][5], f) for i, f in zip(said, shared)])}
+    else:
+        gone = {i for i, f in zip(said, shared) if f} if not all(shared) else set()
     blocks, now = [], []
 
     def end_block() -> None:
@@ -365,9 +407,9 @@ def main_text(page: str | None, template: str | None = "") -> str:
             blocks.append(text)
         now.clear()
 
-    for ev in events:
+    for i, ev in enumerate(events):
         if ev[0] == "text":
-            if not ev[3] and (not mains or ev[4] in mains) and _piece(ev[1], ev[2]) not in fixed:
+            if not ev[3] and (not mains or ev[4] in mains) and i not in gone:
                 now.append(_html.unescape(ev[2]))
         elif ev[2] in BLOCK:
             end_block()
