@@ -1,7 +1,6 @@
 """Preference formatting against a plain version."""
 
 import duckdb
-import pytest
 
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import assert_same, connect
@@ -49,33 +48,18 @@ def test_equals_the_plain_version(spark):
         assert [tuple(x) for x in r.chosen_spans] == sa and [tuple(x) for x in r.rejected_spans] == sb
 
 
-def test_swapped_replies(spark):
-    rows = [(0, 0, U, "q"), (0, 1, A, "a0"), (0, 2, U, "bye"), (1, 1, A, "a1"), (1, 0, U, "p"), (2, 0, U, "alone"),
-            (3, 0, A, "no neighbour with a reply"), (4, 0, A, "x"), (6, 0, A, "same"), (7, 0, A, "same"), (None, 0, A, "z"),
-            (8, None, A, "n"), (8, 1, None, "r"), (9, 0, A, None), (9, 0, A, None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as cut")
-    got = {r.conv_id: r for r in P.swapped_reply_pairs(df).collect()}
-    assert sorted(got) == [0, 1, 6, 7, 8, 9]
-    assert [tuple(x) for x in got[0].chosen] == [(U, "q"), (A, "a0")]
-    assert [tuple(x) for x in got[0].rejected] == [(U, "q"), (A, "a1")]
-    out = {r.conv_id: r for r in P.preference_examples(df).collect()}
-    assert out[6].chosen_text == "" and out[6].n_prefix == 1
-    assert out[1].chosen_mask == f"{len('<|im_start|>assistant') + 1}-{len('<|im_start|>assistant') + 1 + len('a1<|im_end|>')}"
-    assert P.preference_examples(df.limit(0)).count() == 0
-
-
 def test_whole_pairs_take_every_conversation_and_turn(spark):
     """Sparse ids, an odd number, conversations without a reply, turns after the reply."""
     rows = [(0, 0, U, "q"), (0, 1, A, "a0"), (0, 2, U, "bye"), (4, 0, U, "p"), (4, 1, A, "a4"), (8, 0, U, "no reply"),
             (10, 0, A, "a10"), (10, 1, None, "t"), (12, 0, A, "same"), (14, 0, A, "x"), (14, 1, A, "same"), (14, 2, S, "<|"),
             (16, None, U, None), (16, 0, A, "é"), (16, 0, A, "é"), (None, 0, A, "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in P.whole_reply_pairs(df).collect()}
+    got = {r.conv_id: r for r in P.swapped_reply_pairs(df).collect()}
     want = {0: [(U, "q"), (A, "a4"), (U, "bye")], 4: [(U, "p"), (A, "a0")], 8: [(U, "no reply")], 10: [(None, "t")],
             12: [(A, "same")], 14: [(A, "x"), (A, "same"), (S, "<|")], 16: [(U, None), (A, "é")]}
     assert {k: [tuple(x) for x in r.rejected] for k, r in got.items()} == want
     assert sum(len(r.chosen) for r in got.values()) == len(rows) - 1
-    out = {r.conv_id: r for r in P.whole_preference_examples(df).collect()}
+    out = {r.conv_id: r for r in P.preference_examples(df).collect()}
     for i, r in got.items():
         n, prompt, ca, sa, cb, sb = plain([tuple(x) for x in r.chosen], [tuple(x) for x in r.rejected])
         flat = [";".join(f"{a}-{b}" for a, b in s) for s in (sa, sb)]
@@ -85,12 +69,10 @@ def test_whole_pairs_take_every_conversation_and_turn(spark):
     con.execute("create table conversations (conv_id long, turn long, role varchar, text varchar)")
     con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     con.execute("set default_null_order = 'nulls_first'")
-    assert_same(P.whole_preference_examples(df), con, P.WHOLE_SQL)
-    assert P.whole_preference_examples(df.limit(0)).count() == 0
+    assert_same(P.preference_examples(df), con, P.SQL)
+    assert P.preference_examples(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(Q.WHOLE_ORACLE))
-def test_whole_query_equals_its_sql(spark, name):
-    con = connect(SF_SMALL)
-    assert_same(Q.WHOLE[name](spark, SF_SMALL), con, Q.WHOLE_ORACLE[name])
-    assert Q.WHOLE[name](spark, SF_SMALL).count() == con.execute("select count(distinct conv_id) from conversations").fetchone()[0]
+def test_query_takes_every_conversation(spark):
+    want = connect(SF_SMALL).execute("select count(distinct conv_id) from conversations").fetchone()[0]
+    assert Q.op10_chat_format(spark, SF_SMALL).count() == want

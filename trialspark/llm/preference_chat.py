@@ -85,32 +85,6 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def swapped_reply_pairs(conversations: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected): each conversation up to its last assistant turn, and with that reply swapped.
-
-    The table has no judged pairs, so the rejected side takes the last
-    assistant reply of the neighbour: ids 2i and 2i + 1 are neighbours.
-    Conversations without an assistant turn or without a neighbour that has
-    one make no pair; rows without conv_id belong to none.  Turns are ordered
-    by (turn, role, text), nulls first, and repeated rows are repeated turns.
-    """
-    convs = (conversations.filter("conv_id is not null")
-             .groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-             .withColumn("cut", F.size("turns") - F.array_position(
-                 F.reverse(F.transform("turns", lambda t: F.coalesce(t["role"], F.lit("")))), "assistant").cast("int") + 1)
-             .filter(F.col("cut") <= F.size("turns")))
-    couple = (convs.select(F.floor(F.col("conv_id") / 2).alias("couple"), F.struct("conv_id", "turns", "cut").alias("c"))
-              .groupBy("couple").agg(F.sort_array(F.collect_list("c")).alias("both")).filter(F.size("both") == 2))
-    each = couple.select(F.explode(F.array(F.struct(F.col("both")[0].alias("own"), F.col("both")[1].alias("other")),
-                                           F.struct(F.col("both")[1].alias("own"), F.col("both")[0].alias("other")))).alias("p"))
-    bare = lambda a: F.transform(a, lambda t: F.struct(t["role"], t["text"]).cast(TURN))
-    own, other = F.col("p.own"), F.col("p.other")
-    head = bare(F.slice(own["turns"], F.lit(1), own["cut"] - 1))
-    reply = lambda c: bare(F.slice(c["turns"], c["cut"], F.lit(1)))
-    return each.select(own["conv_id"].alias("conv_id"), F.concat(head, reply(own)).alias("chosen"),
-                       F.concat(head, reply(other)).alias("rejected"))
-
-
-def whole_reply_pairs(conversations: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected): every conversation with all its turns, and with its last assistant reply swapped.
 
     Conversations are neighbours by their place in conv_id order, 2i and
@@ -156,40 +130,14 @@ def _flat_examples(pairs: DataFrame) -> DataFrame:
 
 
 def preference_examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_prefix, prompt, chosen_text, rejected_text and the spans as ``start-end;...`` strings."""
-    return _flat_examples(swapped_reply_pairs(conversations.select("conv_id", "turn", "role", "text")))
+    """conv_id, n_prefix, prompt, chosen_text, rejected_text and the spans as ``start-end;...`` strings.
 
-
-def whole_preference_examples(conversations: DataFrame) -> DataFrame:
-    """As ``preference_examples``, for every conversation and all its turns."""
-    return _flat_examples(whole_reply_pairs(conversations))
+    Every conversation and all its turns, see ``swapped_reply_pairs``.
+    """
+    return _flat_examples(swapped_reply_pairs(conversations))
 
 
 SQL = """
-WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text,
-         '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
-         replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body
-  FROM conversations WHERE conv_id IS NOT NULL),
-cut AS (SELECT conv_id, max(i) AS cut FROM t WHERE role = 'assistant' GROUP BY conv_id),
-own AS (
-  SELECT a.conv_id, a.cut, b.conv_id AS other, b.cut AS other_cut
-  FROM cut a JOIN cut b ON a.conv_id // 2 = b.conv_id // 2 AND a.conv_id <> b.conv_id),
-last AS (
-  SELECT own.*, x.head AS h1, x.body AS b1, y.head AS h2, y.body AS b2, x.text IS NOT DISTINCT FROM y.text AS same
-  FROM own JOIN t x ON x.conv_id = own.conv_id AND x.i = cut JOIN t y ON y.conv_id = other AND y.i = other_cut),
-before AS (
-  SELECT own.conv_id, coalesce(string_agg(head || body, '' ORDER BY i), '') AS said
-  FROM own JOIN t ON t.conv_id = own.conv_id AND t.i < own.cut GROUP BY own.conv_id)
-SELECT last.conv_id, (CASE WHEN same THEN cut ELSE cut - 1 END)::INT AS n_prefix,
-       coalesce(said, '') || CASE WHEN same THEN h1 || b1 ELSE '' END AS prompt,
-       CASE WHEN same THEN '' ELSE h1 || b1 END AS chosen_text, CASE WHEN same THEN '' ELSE h2 || b2 END AS rejected_text,
-       CASE WHEN same THEN '' ELSE length(h1) || '-' || (length(h1 || b1) - 1) END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE length(h2) || '-' || (length(h2 || b2) - 1) END AS rejected_mask
-FROM last LEFT JOIN before USING (conv_id)
-"""
-
-WHOLE_SQL = """
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text,
          '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,

@@ -52,10 +52,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_chat.preference_examples(table(spark, sf_dir, "conversations"))
 
 
-def op10_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_chat.whole_preference_examples(table(spark, sf_dir, "conversations"))
-
-
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_digest(table(spark, sf_dir, "documents"))
 
@@ -81,8 +77,3 @@ ORACLE: dict[str, str] = {
     "op10_chat_format": preference_chat.SQL,
     "op13_collocations": phrase_mining.SQL,
 }
-
-#: Beside the ten: op10 over every conversation and turn, where op10_chat_format takes what its SQL takes.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_chat_pairs": op10_chat_pairs}
-
-WHOLE_ORACLE: dict[str, str] = {"op10_chat_pairs": preference_chat.WHOLE_SQL}
