@@ -6,7 +6,9 @@ posterior mean through a beta-binomial prior (suffix towards the overall
 rate, domain towards its suffix, host towards its domain); the prior's
 strength is estimated per level by the method of moments from the spread of
 the children around their parents.  A host is blocked when the lower bound
-of its posterior bad rate is over ``max_bad``: few labels never block.
+of its posterior bad rate is over ``max_bad``, or by default over the bad rate
+of all labelled pages: then it is worse than the average page, whatever is
+labelled bad how often, and few labels never block.
 Everything is DataFrame aggregation and joins; counts are pre-aggregated, so
 a host that holds a third of all pages is a few rows per map task.
 """
@@ -80,9 +82,10 @@ def _shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> D
 
 
 def host_posteriors(hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, labelled, bad_rate, bad_lower) from (host, n, bad): one row per host, labelled or not.
+    """(host, labelled, bad_rate, bad_lower, overall) from (host, n, bad): one row per host, labelled or not.
 
-    ``bad_lower`` is the posterior mean less ``z`` posterior standard deviations, not below zero.
+    ``bad_lower`` is the posterior mean less ``z`` posterior standard deviations, not below zero;
+    ``overall`` is the bad rate of all labelled pages.
     """
     counts = hosts.withColumn("domain", registered_domain(F.col("host"))) \
                   .withColumn("suffix", public_suffix(F.col("domain")))
@@ -96,16 +99,18 @@ def host_posteriors(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     h = _shrunk(counts, d, "host", "domain")
     total = F.col("n") + F.col("strength")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))
-    return h.select("host", F.col("n").alias("labelled"), F.col("mean").alias("bad_rate"),
-                    F.greatest(F.col("mean") - z * deviation, F.lit(0.0)).alias("bad_lower"))
+    rates = h.select("host", F.col("n").alias("labelled"), F.col("mean").alias("bad_rate"),
+                     F.greatest(F.col("mean") - z * deviation, F.lit(0.0)).alias("bad_lower"))
+    return rates.crossJoin(F.broadcast(overall.select(F.col("mean").alias("overall"))))  # one row
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url",
-               rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+               rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float | None = 0.5, z: float = 1.645) -> DataFrame:
     """``pages`` plus host, path, rule, verdict, labelled, bad_rate, bad_lower.
 
     ``outcomes`` is (id, bad): several rows of one id count once, as bad if any
-    is; rows with a null id or outcome don't count.  A repeated page counts as
+    is; rows with a null id or outcome don't count.  Without ``max_bad`` the
+    bound is the bad rate of all labelled pages.  A repeated page counts as
     often as it occurs.  Null urls and urls without ``://`` have an empty host,
     which is judged like any other.  Input columns with the names of added
     ones are replaced.  Empty tables give no rows, or no reputation.
@@ -121,16 +126,17 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id",
     out = pages.withColumns({"host": url_host(link), "path": url_path(link)})
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     out = join_by_size(out, scores, "host", "left")
-    own = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
+    own = F.when(F.col("bad_lower") > (F.col("overall") if max_bad is None else F.lit(max_bad)), "block").otherwise("allow")
     return out.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", rule.alias("rule"),
                       F.coalesce(verdict, own).alias("verdict"), "labelled", "bad_rate", "bad_lower")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict; a page is bad if the label of its id says toxic or not of quality."""
+    """page_id, host, path, rule, verdict, bad_rate, bad_lower; a page is bad if its id's label says toxic or poor."""
     bad = F.greatest((F.col("toxic") == 1).cast("int"), (F.col("quality") == 0).cast("int"))
     outcomes = labels.select(F.col("doc_id").alias("id"), bad.alias("bad"))
-    return judge_urls(pages.select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages.select("page_id", "url"), outcomes, max_bad=None).select(
+        "page_id", "host", "path", "rule", "verdict", "bad_rate", "bad_lower")
 
 
 def _level(name: str, children: str, parents: str, key: str, parent: str, keep: str) -> str:
@@ -170,12 +176,14 @@ top AS (SELECT 0 AS one, (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suf),
 """.replace("SECOND", "|".join(SECOND_LEVEL)) + ",".join([
     _level("s", "suf", "top", "suffix", "one", "suffix"), _level("d", "dom", "s", "domain", "suffix", "domain, suffix"),
     _level("hh", "c", "d", "host", "domain", "host")]) + """,
-p AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + strength + 1)) AS lower_bound FROM hh),
+p AS (
+  SELECT host, mean AS bad_rate, greatest(mean - 1.645 * sqrt(mean * (1 - mean) / (n + strength + 1)), 0) AS bad_lower FROM hh),
 r(what, rh, rp) AS (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RULES) + """),
 best AS (
   SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(what, length(rh || rp)) AS what
   FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
 SELECT u.page_id, u.host, u.path, best.rule AS rule,
-       coalesce(best.what, CASE WHEN p.lower_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.what, CASE WHEN bad_lower > (SELECT mean FROM top) THEN 'block' ELSE 'allow' END) AS verdict,
+       bad_rate, bad_lower
 FROM u LEFT JOIN best USING (page_id) LEFT JOIN p ON u.host = p.host
 """
