@@ -43,6 +43,7 @@ _KIND[[0x20, 0x09]] = 1                       # between words
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2   # between pieces
 _BASE = 0x9E3779B97F4A7C15                    # odd, so it has an inverse modulo 2^64
 _NEVER = 1 << 20
+_STARTS = 16            # phrases are shorter
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,27 +142,27 @@ def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
 
 
 def _scan(docs: DataFrame, scan: int, shards: int, max_words: int, maps) -> DataFrame:
-    """(k, h, n): what the phrases active in this scan count in its shard."""
+    """(k, h, n): what the phrases active in this scan count in its shard; k is length + 16 * scan they began in."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = Chunks(), maps.value
         for batch in batches:
             for lang, texts in _by_lang(batch).items():
                 for a in cut.of(texts):
                     _, _, joined, word = cut.words(a, _seed(lang))
-                    for k, h in _active(word, joined, scan, shards, max_words, known):
+                    for k, start, h in _active(word, joined, scan, shards, max_words, known):
                         values, n = np.unique(h, return_counts=True)
+                        code = np.full(len(values), k + _STARTS * start, np.int32)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(values), k, np.int32)), pa.array(values.view(np.int64)), pa.array(n)],
-                            ["k", "h", "n"])
+                            [pa.array(code), pa.array(values.view(np.int64)), pa.array(n)], ["k", "h", "n"])
 
     part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == scan % shards)
     return part.mapInArrow(count, "k int, h bigint, n bigint")
 
 
 def _active(word, joined, scan, shards, max_words, known):
-    """(length, hashes of the occurrences that count in this scan)."""
+    """(length, scan they began in, hashes of the occurrences that count in this scan)."""
     if scan < shards:
-        yield 1, word
+        yield 1, 0, word
     at, h = np.arange(len(word)), word  # first words and hashes of the phrases one word shorter that passed
     for k in range(2, max_words + 1):
         if not known.get(k - 1):
@@ -174,8 +175,8 @@ def _active(word, joined, scan, shards, max_words, known):
         both &= start < _NEVER
         at, start = at[both], start[both]
         h = _longer(h[both], word[at + k - 1])
-        now = (start <= scan) & (scan < start + shards)
-        yield k, h[now]
+        for began in range(max(scan - shards + 1, 0), scan + 1):
+            yield k, began, h[start == began]
 
 
 def _bitmaps(counts: DataFrame, bits: int) -> dict[int, np.ndarray]:
@@ -199,7 +200,7 @@ def passing_phrases(docs: DataFrame, min_count: int, max_words: int, shards: int
                     bits: int = BITMAP_BITS) -> dict[int, list[tuple[int, np.ndarray]]]:
     """Dynamic itemset counting: per length the (scan, bitmap) pairs of the phrases that reached ``min_count``.
 
-    A scan's sums are written; what has not passed yet is carried to the next.
+    A scan's sums are written; what has not passed yet and still counts is carried to the next.
     """
     sc = docs.sparkSession.sparkContext
     maps: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -210,16 +211,16 @@ def passing_phrases(docs: DataFrame, min_count: int, max_words: int, shards: int
         rows = _scan(docs, scan, shards, max_words, shared)
         if carried is not None:
             rows = rows.unionByName(carried)
-        going = [k for k, end in last.items() if scan < end] + [k for k in range(2, max_words + 1) if k not in last]
-        counts = (rows.groupBy("k", "h").agg(F.sum("n").alias("n"))
-                  .filter((F.col("n") >= min_count) | F.col("k").isin(going)))
+        going = F.col("k") >= _STARTS * (scan - shards + 2)  # began late enough to count in the next scan too
+        counts = rows.groupBy("k", "h").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | going)
         counts = materialize(counts, "phrase_counts")
         shared.destroy()
-        for k, found in _bitmaps(counts.filter(F.col("n") >= min_count), bits).items():
+        passed = counts.filter(F.col("n") >= min_count).select((F.col("k") % _STARTS).alias("k"), "h")
+        for k, found in _bitmaps(passed, bits).items():
             maps.setdefault(k, []).append((scan, found))
             if k < max_words:
                 last[k + 1] = scan + shards
-        carried = counts.filter((F.col("n") < min_count) & F.col("k").isin(going))
+        carried = counts.filter((F.col("n") < min_count) & going)
         scan += 1
     return maps
 
@@ -312,8 +313,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     """
     if bits < _SLOT or bits & (bits - 1):
         raise ValueError(f"bits must be a power of two from {_SLOT}")
-    if max_words < 2:
-        raise ValueError("a phrase has at least two words")
+    if not 2 <= max_words < _STARTS:
+        raise ValueError(f"a phrase has from 2 to {_STARTS - 1} words")
     docs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text}`").cast("string").alias("text"))
     counts = exact_counts(docs, passing_phrases(docs, min_count, max_words, shards, bits), max_words)
@@ -336,7 +337,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     longer = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = (best.join(longer, ["lang", "phrase"], "left")
             .filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a"))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase"))
+    order = F.desc("b.score"), F.desc("a"), "phrase"
+    # the first of each of 32 parts of a language, then the first of these: no task ranks all of a language's phrases
+    share = F.pmod(F.xxhash64("phrase"), F.lit(32))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).filter(
+        F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     totals = counts.filter("k = 0").select("lang", F.col("n"))
     ranked = kept.withColumn("rank", rank).filter(F.col("rank") <= top)
     return join_by_size(ranked, totals, "lang", measured=counts).select(
