@@ -365,8 +365,11 @@ def _histograms(state: DataFrame, asks: Sequence[_Ask], n_bins: np.ndarray, n_fi
     return state.mapInArrow(sums, _HIST)
 
 
-def _merged(rows: DataFrame, asks: Sequence[_Ask], n_bins: np.ndarray) -> DataFrame:
-    """Add the histograms of each node, derive the sibling's, and find the best split of each chunk."""
+def _merged(rows: DataFrame, asks: Sequence[_Ask], n_bins: np.ndarray, one_task: bool = False) -> DataFrame:
+    """Add the histograms of each node, derive the sibling's, and find the best split of each chunk.
+
+    Histograms that all come from one task are not shuffled.
+    """
     by_fit = {a.fit: a for a in asks}
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +407,8 @@ def _merged(rows: DataFrame, asks: Sequence[_Ask], n_bins: np.ndarray) -> DataFr
     key = ["fit", "parent", "chunk"]
     n_keys = sum(len(a.nodes) * len(_layout(a.features, n_bins)[1]) for a in asks)
     parts = max(1, min(n_keys, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.repartition(parts, *key).sortWithinPartitions(*key, "part", "task").mapInArrow(merge, _BEST)
+    rows = rows.coalesce(1) if one_task else rows.repartition(parts, *key)
+    return rows.sortWithinPartitions(*key, "part", "task").mapInArrow(merge, _BEST)
 
 
 _BEST_NAMES = [c.split()[0] for c in _BEST.split(", ")]
@@ -485,7 +489,7 @@ def _fit_many(blocks, n_bins, specs, flush, finished):
             wanted = [f"{a.fit}:{n >> 1}" for a in asks for n, m in a.parents.items() if m == past]
             rows = rows.unionByName(passes[past].filter(F.concat_ws(":", "fit", "node").isin(wanted)).select(
                 "fit", F.col("node").alias("parent"), F.lit(-1).alias("part"), "chunk", F.lit(-1).alias("task"), "g", "h"))
-        best = _merged(rows, asks, n_bins)
+        best = _merged(rows, asks, n_bins, tasks == 1)
         if any(n.bit_length() < a.params.max_depth for a in asks for n in a.nodes):
             best = passes[number] = best.persist()  # children may be derived from these
         by_node: dict = {}
