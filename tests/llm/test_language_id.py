@@ -68,3 +68,45 @@ def test_a_language_of_long_documents_only_is_learned(spark):
     assert max(len(t.encode()) for t, _ in sample) <= L.SAMPLE_BYTES
     got = {r.doc_id: r.lang_pred for r in L.predict_languages(df).collect()}
     assert all(got[i] == "xx" for i, _, _ in long) and all(got[i] == "en" for i, _, _ in short)
+
+
+def plain_subwords(text):
+    """Byte 2- to 4-grams of the lower-cased words with a blank on both sides, one at a time."""
+    counts = np.zeros(L.BUCKETS, dtype=np.int64)
+    raw = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()).encode()
+    for word in raw.split(b" "):
+        w = b" " + word + b" "
+        for n in (2, 3, 4):
+            for i in range(len(w) - n + 1) if word else ():
+                h = w[i]
+                for x in w[i + 1:i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ (x * 0x9E3779B1 & 0xFFFFFFFF)
+                counts[((h * 0x85EBCA6B + n) & 0xFFFFFFFF) >> 18] += 1
+    return counts
+
+
+def test_subwords_equal_a_plain_version():
+    for text in ("The cat, 12 Häuser x", "", "a", "ab\ncd  é", "漢字 かな"):
+        assert (L.subword_counts(text) == plain_subwords(text)).all(), text
+
+
+def test_text_of_no_learned_language_is_rejected(spark):
+    docs = table(spark, SF, "documents")
+    rows = L.training_sample(docs, passages=True)
+    model = L.train(rows)
+    assert 1e-2 < model.temperature < 1e2 and 0.25 < model.threshold < 0.999
+    for text in ("これは日本語の文章で、どの言語でも学習されていません", "это русский текст, которого модель не видела",
+                 "xq zzkw vvv pqr wkzj qqx", "Ελληνικό κείμενο για τη δοκιμή του μοντέλου"):
+        assert model.predict(text)[2], (text, model.predict(text), model.threshold)
+    rng = np.random.default_rng(9)
+    foreign = [model.predict(f)[2] for t, _ in rows[:60] for f in L._foreign(L._snippet(t, rng, 13, 50), rng)]
+    own = [model.predict(L._snippet(t, rng, 13, 50))[2] for t, _ in rows]
+    assert np.mean(foreign) > 0.75 and np.mean(own) < 0.01
+
+
+def test_every_language_is_learned_however_many(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(230 * 3)]
+    rows = [(9 * i + j, " ".join(words[3 * i + k] for k in (0, 1, 2, j % 3)), f"l{i:03}") for i in range(230) for j in range(9)]
+    sample = L.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({y for _, y in sample}) == 230

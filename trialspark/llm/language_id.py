@@ -6,11 +6,13 @@ average goes through a linear softmax.  Embeddings and weights are trained
 together by stochastic gradient descent in numpy, on a bounded sample of
 labelled rows (``SAMPLE`` texts of at most ``SAMPLE_BYTES`` bytes, equally
 many of each language where there are enough); whole texts are predicted.
-Every fifth sample row is held back to calibrate: a temperature makes the
-softmax a probability of being right, and texts below the threshold are
-rejected.  The threshold is the largest that would turn away at most a share
-``alpha`` of right answers, and never over ``MAX_THRESHOLD``: a text in two
-languages still has a likeliest one and stays.
+Every fifth sample row is held back to calibrate, whole and in snippets of
+several lengths, against text of no learned language: the same words with
+their letters shuffled, random letters, and letters of other scripts.  The
+temperature makes the softmax a probability, right on the one and even on the
+other (least log loss, smoothed by one answer more of each kind).  Texts below
+the threshold are rejected; it lies where 95 % of the foreign text is under
+it, unless that would turn away more than a share ``alpha`` of right answers.
 
 The model is a table of BUCKETS x languages numbers, sent to the tasks once;
 prediction is one vectorised pass over the bytes of each text.
@@ -33,9 +35,11 @@ BUCKETS = 1 << 14
 DIM = 16
 SAMPLE = 3000
 SAMPLE_BYTES = 20_000
-MAX_LANGS = 200
 EPOCHS, BATCH, RATE = 8, 32, 4.0
-MAX_THRESHOLD = 0.4
+LENGTHS = ((2, 4), (5, 12), (13, 50))  # words in the snippets that calibrate
+FOREIGN = 0.95                         # of the foreign text to be rejected, where right answers allow it
+#: First and last letters of scripts to draw foreign text from: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, Han, Hangul.
+SCRIPTS = (("a", "z"), ("α", "ω"), ("а", "я"), ("א", "ת"), ("ا", "ي"), ("अ", "ह"), ("ぁ", "ん"), ("一", "鿿"), ("가", "힣"))
 OUT = ("lang_pred", "score", "rejected")
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -97,10 +101,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _snippet(text: str, rng: np.random.Generator) -> str:
+def _snippet(text: str, rng: np.random.Generator, least: int = 2, most: int = 12) -> str:
     """A few consecutive words, so that short texts are learned too."""
     words = text.split()
-    n = int(rng.integers(2, 13))
+    n = int(rng.integers(least, most + 1))
     a = int(rng.integers(0, max(1, len(words) - n + 1)))
     return " ".join(words[a:a + n])
 
@@ -144,23 +148,59 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.002, seed: int = 42) ->
             e[used] -= (x.T @ back) * BUCKETS ** 0.25
             done += 1
     model = Model(langs, (e @ w).astype(np.float64), bias.astype(np.float64))
-    z, y = [], []
+    _calibrate(model, [(t, of[y]) for t, y in held], alpha, rng)
+    return model
+
+
+def _foreign(text: str, rng: np.random.Generator) -> list[str]:
+    """Text of no language as long as ``text``: its letters shuffled, and words of random letters of some script."""
+    letters = np.array(list(text))
+    word = letters != " "
+    letters[word] = rng.permutation(letters[word])
+    first, last = SCRIPTS[int(rng.integers(len(SCRIPTS)))]
+    drawn = [" ".join("".join(chr(c) for c in rng.integers(ord(x), ord(y) + 1, max(len(w), 1))) for w in text.split())
+             for x, y in (SCRIPTS[0], (first, last))]
+    return ["".join(letters), *drawn]
+
+
+def _calibrate(model: Model, held: list[tuple[str, int]], alpha: float, rng: np.random.Generator) -> None:
+    """Set temperature and threshold from held-back (text, language) rows and foreign text of the same lengths."""
+    z, y, away = [], [], []
     for t, lang in held:
-        for s in (t, _snippet(t, rng)):
+        for s in (t, *(_snippet(t, rng, *words) for words in LENGTHS)):
             c = subword_counts(s)
             if c.sum():
                 z.append(model.logits(c))
-                y.append(of[lang])
-    z, y = np.array(z), np.array(y)
-    if len(z):
-        heat = np.geomspace(0.05, 20, 61)
-        loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-300)).mean() for t in heat]
-        model.temperature = float(heat[int(np.argmin(loss))])
-        p = _softmax(z / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == y])
-        if len(right):
-            model.threshold = float(min(MAX_THRESHOLD, right[int(alpha * len(right))]))
-    return model
+                y.append(lang)
+            if s is not t:
+                away += [model.logits(c) for c in map(subword_counts, _foreign(s, rng)) if c.sum()]
+    if not z:
+        return
+    z, y, away, k = np.array(z), np.array(y), np.array(away).reshape(-1, len(model.langs)), len(model.langs)
+    want = np.full((len(z), k), 1 / (len(z) + k))  # as if every language had been right once more
+    want[np.arange(len(z)), y] += len(z) / (len(z) + k)
+
+    def loss(t: float) -> float:
+        parts = [-(want * _log_softmax(z / t)).sum(1).mean()]
+        if len(away) and k > 1:
+            parts.append(-_log_softmax(away / t).mean())
+        return sum(parts)
+
+    heat = np.geomspace(1e-3, 1e3, 121)
+    for _ in range(3):  # the best of a grid, then finer around it
+        best = int(np.argmin([loss(t) for t in heat]))
+        heat = np.geomspace(heat[max(best - 1, 0)], heat[min(best + 1, len(heat) - 1)], 21)
+    model.temperature = float(heat[int(np.argmin([loss(t) for t in heat]))])
+    p = _softmax(z / model.temperature)
+    right = np.sort(p.max(1)[p.argmax(1) == y])
+    if len(right) and len(away) and k > 1:
+        strangers = np.sort(_softmax(away / model.temperature).max(1))
+        model.threshold = float(min(right[int(alpha * len(right))], strangers[int(FOREIGN * (len(strangers) - 1))]))
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,19 +213,17 @@ def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """About ``size`` (text, language) rows, at most twice as many, of rows that are not held out.
 
     Equally many per language by a hash of the id; distinct texts of 1 to
-    SAMPLE_BYTES bytes; the MAX_LANGS most frequent languages.  With
-    ``passages`` longer texts teach too, by SAMPLE_BYTES / 4 characters from a
+    SAMPLE_BYTES bytes.  The driver holds one count per language, and the
+    model BUCKETS numbers.  With ``passages`` longer texts teach too, by SAMPLE_BYTES / 4 characters from a
     place by another hash of the id.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y"))
     rows = rows.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    share = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGS).collect()
+    share = rows.groupBy("y").count().collect()
     if not share:
         return []
     each = size / len(share)
-    cut = F.lit(0.0)
-    for r in share:
-        cut = F.when(F.col("y") == r["y"], F.lit(min(1.0, each / r["count"]))).otherwise(cut)
+    cut = F.element_at(F.create_map(*[F.lit(x) for r in share for x in (r["y"], min(1.0, each / r["count"]))]), F.col("y"))
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     long = SAMPLE_BYTES // 4  # characters, of four bytes at most
     start = F.pmod(F.xxhash64("id", F.lit("passage")), (F.char_length("t") - long + 1).cast("long")).cast("int") + 1
@@ -200,8 +238,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score and rejected.
 
     Null texts and texts without a letter are ``und`` with score 0 and
-    rejected.  Columns with the names of added ones are replaced; an empty
-    table gives no rows.
+    rejected.  Texts of any length are read whole, and equal texts, repeated
+    rows too, get equal predictions; of tied languages the first by name wins.
+    Columns with the names of added ones are replaced; an empty table gives no
+    rows.
     """
     # BUCKETS x languages numbers
     sent = docs.sparkSession.sparkContext.broadcast(
@@ -220,14 +260,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected for every document, from the labels of those not held out."""
+    """doc_id, held_out, lang_pred, score, rejected for every document, from the labels of those not held out.
+
+    Null texts, repeated rows, long texts, ties and an empty table as in ``identify``; other columns are not read.
+    """
     model = train(training_sample(docs, passages=True))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, with all their columns."""
+    """The rows of ``docs`` whose language is not rejected, with all their columns, whatever their names.
+
+    Repeated rows stay or go together; null texts and texts without a letter go; an empty table stays empty.
+    """
     model = train(training_sample(docs, passages=True))
     inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input is replaced
     kept = identify(docs.toDF(*inner), model, inner[docs.columns.index(text)]).filter(~F.col("rejected"))
