@@ -70,3 +70,47 @@ def test_mix_repeats_rows_as_planned(spark):
     assert 302 in n and sum(100 <= (i or 0) < 160 for i in n) > 3 * 60
     assert M.mix(df.limit(0), labels).count() == 0
     assert M.mix(df, labels.limit(0), {"good": 0.5, "poor": 0.5}, None).count() == len(rows)
+
+
+def test_calibration_is_the_logistic_optimum(spark):
+    rng = np.random.default_rng(5)
+    n, k = 400, 3
+    y = rng.choice(k, n, p=[0.7, 0.2, 0.1])
+    m = rng.normal(size=(n, k)) * 0.4
+    m[np.arange(n), y] += 0.6
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame([(names[c], *map(float, x)) for c, x in zip(y, m)], "domain string, m0 double, m1 double, m2 double")
+    factor, bias = M.calibrate(df, [-1.0, -1.0, -1.0], names)
+
+    def soft(f, b):
+        z = f * m + b
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    f, b = 1.0, np.full(k, -1.0)  # plain gradient descent on the same loss
+    for _ in range(20_000):
+        r = soft(f, b)
+        r[np.arange(n), y] -= 1
+        f, b = f - 0.5 * ((r * m).sum() + M.RIDGE * (f - 1)) / n, b - 0.5 * (r.sum(0) + M.RIDGE * (b + 1)) / n
+    assert abs(factor - f) < 1e-4 and np.allclose(soft(factor, np.array(bias)), soft(f, b), atol=1e-4)
+    assert np.allclose(soft(factor, np.array(bias)).mean(0), np.bincount(y, minlength=k) / n, atol=1e-4)
+    assert M.calibrate(df.limit(0), [-1.0, -2.0, -3.0], names) == (1.0, [-1.0, -2.0, -3.0])
+
+
+def test_posteriors_agree_with_labels_that_taught_nothing(spark):
+    """Larger table: of the labelled documents beyond the sample, as many are expected in a domain as are labelled so."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    known = M.quality_labels(labels)
+    taught = known.filter("id % 2 = 0")
+    domains = sorted(M.TARGETS)
+    rows = M.mixing_rates(docs, taught, M.TARGETS, M.ANCHOR).join(known.filter("id % 2 = 1"), M.F.col("doc_id") == M.F.col("id")).collect()
+    p = np.array([[r[f"p_{d}"] for d in domains] for r in rows])
+    share = np.array([np.mean([r.domain == d for r in rows]) for d in domains])
+    assert np.abs(p.mean(0) - share).max() < 0.03
+    assert np.mean([domains[i] == r.domain for i, r in zip(p.argmax(1), rows)]) > 0.85
+
+
+def test_kept_columns_may_not_clash(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("*", "1 as Tokens")
+    with pytest.raises(ValueError):
+        M.mixing_rates(df, spark.createDataFrame([], "id long, domain string"), M.TARGETS, keep=["Tokens"])
