@@ -308,6 +308,8 @@ def queries() -> dict[str, str]:
     q["exclude_pattern"] = with_(V_TRIAL) + "select * from trial where not regexp_matches(Hybrid, 'H1')"
     q["semi_locations"] = with_(V_TRIAL, V_TEST_TEMPLATE, C_TLOC) + \
         "select * from trial where Field_Location in (select Field_Location from tloc)"
+    q["semi_test_sites"] = with_(V_TRIAL_WIDE) + """select * from trial_wide where (Field_Location, Hybrid) in
+        (select (Field_Location, Hybrid) from trial_wide where Year = 2024)"""
     q["semi_weather"] = with_(V_WEATHER_RAW, V_META) + \
         "select * from weather_raw where Env in (select Env from meta)"
 

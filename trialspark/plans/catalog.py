@@ -41,6 +41,7 @@ def query(fn):
 
 
 MEASURES = ["w1", "w2"]
+TEST_YEAR = V.TEST_SHIP_YEAR + V.YEAR_SHIFT
 # row order of the phenotype file: by year, then site; the label takes no part
 FOLD_ORDER = ["Year", "Field_Location", "Hybrid"]
 # fixture parameters: soil drops split columns + first measure; F2 drops one training year
@@ -227,6 +228,13 @@ def semi_locations(spark, sf):
     return FL.semi_join_keys(V.trial(spark, sf), _locations(spark, sf), "Field_Location")
 
 
+@query
+def semi_test_sites(spark, sf):
+    """Plots whose hybrid is also grown at their location in the test year, one hybrid per part: most have none."""
+    plots = V.trial_wide(spark, sf)
+    return FL.semi_join_keys(plots, plots.filter(F.col("Year") == TEST_YEAR), ["Field_Location", "Hybrid"])
+
+
 @query
 def semi_weather(spark, sf):
     return FL.semi_join_keys(V.weather_raw(spark, sf), V.meta(spark, sf), "Env")
