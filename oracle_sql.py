@@ -423,6 +423,9 @@ def queries() -> dict[str, str]:
     tt = "tt as (select * from tfm join (select distinct Hybrid_Field, w1, w2 from tfw) w using (Hybrid_Field))"
     q["test_matrix"] = with_(*test_ctes(), *C_GENO, tt) + \
         long_sql("tt", ["Hybrid_Field", "Hybrid", "Env"], META + ["w1", "w2"], "gi")
+    q["predict_given_trees"] = with_(*test_ctes(), tt) + """select Env, Hybrid,
+        (25 + case when m6 is null or m6 <= 20 then case when w2 <= 14.7 then 1.5 else -0.5 end else 2.25 end
+           + case when lat <= 45.5 then -1.0 when m6 <= 10 then 0.25 else 0.75 end)::double as Yield_Mg_ha from tt"""
     env = with_(*features_ctes(), tw)
     q["folds_leave_year_out"] = env + \
         "select Hybrid_Env, Year, cast(dense_rank() over (order by Year) - 1 as int) as fold from tw"

@@ -7,12 +7,15 @@ Every query reads whole benchmark tables through the trial views of
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions import keys as K
 from trialspark.functions.keys import build_key, recode, split_key, strip_pattern
 from trialspark.operators import aggregate as A
+from trialspark.operators import binning as BI
+from trialspark.operators import boosting as BO
 from trialspark.operators import ensemble as EN
 from trialspark.operators import filters as FL
 from trialspark.operators import genotype as G
@@ -702,6 +705,19 @@ def ensemble_codings(spark, sf):
     return EN.weighted_ensemble(preds, variance_components(spark, sf))
 
 
+@query
+def predict_given_trees(spark, sf):
+    """Two given trees over three features of the test rows, NULLs sent where the splits say: base 25 plus leaf values."""
+    test = MX.align_test(test_wide(spark, sf, None), ["lat", "m6", "w2"], MX.TEST_KEYS, [])
+    bins = BI.Bins(["lat", "m6", "w2"], None, 0, [np.array(c) for c in ([45.5], [10.0, 20.0], [14.7])])
+    model = BO.Forest(25.0, [
+        BO.Tree(*map(np.array, ([1, 2, 0, 0, 0], [1, 0, 0, 0, 0], [True, False, False, False, False], [1, 3, -1, -1, -1],
+                                [2, 4, -1, -1, -1], [0, 0, 2.25, 1.5, -0.5]))),
+        BO.Tree(*map(np.array, ([0, 0, 1, 0, 0], [0, 0, 0, 0, 0], [False] * 5, [1, -1, 3, -1, -1], [2, -1, 4, -1, -1],
+                                [0, -1.0, 0, 0.25, 0.75])))], BO.TreeParams())
+    return BO.predict(test, model, bins, "_y").select("Env", "Hybrid", F.col("_y").alias("Yield_Mg_ha"))
+
+
 @query
 def search_scores(spark, sf):
     """The ledger of a leave-one-year-out search: (candidate, params, fold, n, mse) of every fit."""
