@@ -99,3 +99,27 @@ def test_repeated_phrases_and_short_documents_are_all_found(spark):
                                 spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in rows} == {
         k: (round(s, 9), a) for k, (s, a) in want.items()}
+
+
+def test_pairs_at_the_borderline_are_found(spark):
+    """45 shingles, of which 40 stay: similarity exactly 0.8; 39 stay: under it."""
+    rng = np.random.default_rng(7)
+    say = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    items = [say(49) for _ in range(400)]
+    docs = [(i, " ".join([*say(20), *w[:44], *(f"x{i}n{j}" for j in range(5)), *say(20)])) for i, w in enumerate(items)]
+    docs += [(1000 + i, " ".join([*w[:43], *(f"x{i}n{j}" for j in range(6))])) for i, w in enumerate(items)]
+    rows = D.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id and abs(r.similarity - 0.8) < 1e-12 and r.start_word == 15 for r in rows)
+    assert len(rows) >= 398  # SimHash may lose 0.00025 of them
+
+
+def test_long_items(spark):
+    rng = np.random.default_rng(9)
+    item = [f"v{i}" for i in rng.integers(0, 5000, 600)]
+    docs = [(1, " ".join(["a", "b", *item, "c"])), (2, " ".join(item[50:])), (3, " ".join(item[:300])), (4, " ".join(item[:560] * 2))]
+    rows = D.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    got = {r.doc_id: (round(r.similarity, 9), r.start_word) for r in rows}
+    assert got.keys() == {1, 2, 4} and got[1] == (1.0, 2) and got[2] == (round(546 / 596, 9), 0)
+    assert got[4][1] == 0

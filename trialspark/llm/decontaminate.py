@@ -10,9 +10,11 @@ an item window by window, each window as long as the item:
    formed; that is exact.  Every other window gets a 64-bit SimHash of all its
    shingles, as does every item.
 2. *Multi-index blocks.*  The fingerprint is cut into ``radius + 1`` blocks;
-   fingerprints within ``radius`` bits agree in at least one.  Windows and
-   items of a size meet on (block, value), each pair at its first common
-   block, and stay if they differ in at most ``radius`` bits.
+   fingerprints within ``radius`` bits agree in at least one.  Blocks this
+   narrow alone select nothing, so windows and items of a size meet where they
+   agree in a block and share a shingle among their smallest: bags of the
+   similarity share one of so many, whichever they are.  No pair of both kinds
+   is lost.  Pairs stay if they differ in at most ``radius`` bits.
 3. *Verification.*  The weighted Jaccard similarity of the two shingle bags
    is computed exactly; ``min_similarity`` or more is a hit.
 
@@ -96,21 +98,25 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def _block_values(fp: Column, radius: int) -> Column:
-    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit(m)) for a, m in _blocks(radius)])
+    """One number per block, different from those of other blocks."""
+    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit(m)).bitwiseOR(F.shiftleft(F.lit(i).cast("long"), 56))
+                     if m < 1 << 56 else F.xxhash64(F.shiftrightunsigned(fp, a), F.lit(i))
+                     for i, (a, m) in enumerate(_blocks(radius))])
 
 
-def _first_common_block(x: Column, radius: int) -> Column:
-    """Number of the first block in which the exclusive or is zero."""
-    out = F.lit(radius + 1)
-    for i, (a, m) in reversed(list(enumerate(_blocks(radius)))):
-        out = F.when(F.shiftrightunsigned(x, a).bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(out)
-    return out
+def counted(hashes: Column) -> Column:
+    """The bag as a set: every hash with the number of equal ones before it, hashed again."""
+    return once(F.sort_array(hashes), lambda s: F.transform(
+        s, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(s, x).cast("int"))))
+
 
+def shared_weight(window: Column, distinct: Column, bag: Column) -> Column:
+    """Shingles that a window shares with an item, repeats counted; the item's distinct ones and ``counted`` bag.
 
-def shared_weight(window: Column, shingles: Column) -> Column:
-    """Sum over the item's distinct shingles (array of (h, c)) of the smaller of the two counts."""
-    return F.aggregate(shingles, F.lit(0), lambda acc, s: acc + F.least(
-        s["c"], F.size(F.filter(window, lambda h: h == s["h"]))))
+    A window without repeats has one of each, so there the distinct ones are enough.
+    """
+    return F.size(F.when(F.size(F.array_distinct(window)) == F.size(window), F.array_intersect(window, distinct))
+                  .otherwise(F.array_intersect(counted(window), bag)))
 
 
 def _prefix(hashes: Column, min_similarity: float) -> Column:
@@ -120,7 +126,7 @@ def _prefix(hashes: Column, min_similarity: float) -> Column:
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str, radius: int) -> DataFrame:
-    """(item, n_words, k, len, all, bag, key): one row per item with a word; ``all`` are its shingles in order."""
+    """(item, n_words, k, len, all, distinct, bag, key): one row per item with a word; ``all`` are its shingles in order."""
     items = (benchmark.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{text}`")).alias("w")).distinct()
              .withColumn("n_words", F.size("w")).filter("n_words > 0")
              .withColumn("k", F.least(F.lit(SHINGLE), F.col("n_words")))
@@ -129,9 +135,8 @@ def _items(benchmark: DataFrame, item_id: str, text: str, radius: int) -> DataFr
     for k in range(1, SHINGLE + 1):
         hashes = F.when(F.col("k") == k, shingle_hashes(F.col("wh"), k)).otherwise(hashes)
     items = items.withColumn("all", hashes).select("item", "n_words", "k", "all", F.size("all").alias("len"))
-    bag = F.transform(F.array_distinct("all"), lambda h: F.struct(
-        h.alias("h"), F.size(F.filter("all", lambda x: x == h)).alias("c")))
-    return materialize(items.withColumn("bag", bag).withColumn("key", F.xxhash64("item", "all")), "benchmark_items")
+    return materialize(items.withColumns({"distinct": F.array_distinct("all"), "bag": counted(F.col("all")),
+                                          "key": F.xxhash64("item", "all")}), "benchmark_items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -199,17 +204,9 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
         .withColumn("exact", (F.size("win") < F.greatest(F.col("len"), F.lit(SHORT)))
                     | (F.size(F.array_distinct("win")) < F.size("win"))))
     windows = materialize(windows, "item_windows")
-    index = (items.withColumn("ifp", simhash(F.col("all"), longest))
-             .select("item", "len", "ifp", "bag", F.posexplode(_block_values(F.col("ifp"), radius)).alias("block", "value")))
-    index = materialize(index, "benchmark_blocks")
-    probes = windows.filter(~F.col("exact")).select("*", F.posexplode(_block_values(F.col("fp"), radius)).alias("block", "value"))
+    near = _candidates(windows, items, longest, radius, min_similarity)
     apart = F.col("fp").bitwiseXOR(F.col("ifp"))
-    near = (join_by_size(probes, index, ["len", "block", "value"])
-            .filter(F.bit_count(apart) <= radius)
-            .filter(_first_common_block(apart, radius) == F.col("block")))
-    pair = ["doc_id", "k1", "k2", "start", "win", "fp", "len", "item", "ifp", "bag"]
-    near = near.select(*pair).union(_by_prefix(windows.filter("exact"), items, longest, min_similarity).select(*pair))
-    both = shared_weight(F.col("win"), F.col("bag"))
+    both = shared_weight(F.col("win"), F.col("distinct"), F.col("bag"))
     sim = near.select("doc_id", "k1", "k2", "item", "start", (F.size("win") + k - 1).alias("n_words"),
                       F.bit_count(apart).cast("int").alias("bits"), "len", F.size("win").alias("size"),
                       both.alias("both"))
@@ -218,14 +215,19 @@ def _hits_of_length(base: DataFrame, items: DataFrame, k: int, longest: int, rad
             .select("k1", "k2", "doc_id", "item", "similarity", "start", "n_words", "bits"))
 
 
-def _by_prefix(windows: DataFrame, items: DataFrame, longest: int, min_similarity: float) -> DataFrame:
-    """Windows with every item of their size that can be similar enough, by shared prefixes; no SimHash decides."""
+def _candidates(windows: DataFrame, items: DataFrame, longest: int, radius: int, min_similarity: float) -> DataFrame:
+    """Windows with the items of their size that share a prefix shingle and, unless ``exact``, are within ``radius``."""
     at = ["k1", "k2", "len", "start"]
-    index = materialize(items.select("len", "key", F.explode(_prefix(F.col("all"), min_similarity)).alias("h")), "benchmark_prefixes")
-    met = join_by_size(windows.select(*at, F.explode(_prefix(F.col("win"), min_similarity)).alias("h")), index, ["len", "h"])
-    met = materialize(met.select(*at, "key").distinct(), "prefix_pairs")
-    said = items.select("key", "item", simhash(F.col("all"), longest).alias("ifp"), "bag")
-    return join_by_size(join_by_size(windows, met, at), said, "key", measured=items)
+    said = materialize(items.withColumn("ifp", simhash(F.col("all"), longest)).select("key", "item", "len", "ifp", "distinct", "bag", "all"),
+                       "benchmark_fingerprints")
+    index = materialize(said.select("len", "key", "ifp", _block_values(F.col("ifp"), radius).alias("iblocks"),
+                                    F.explode(_prefix(F.col("all"), min_similarity)).alias("h")), "benchmark_prefixes")
+    probes = windows.select(*at, "exact", "fp", _block_values(F.col("fp"), radius).alias("blocks"),
+                            F.explode(_prefix(F.col("win"), min_similarity)).alias("h"))
+    within = F.arrays_overlap("blocks", "iblocks") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    met = join_by_size(probes, index, ["len", "h"]).filter(F.col("exact") | within)
+    met = materialize(met.select(*at, "key").distinct(), "window_pairs")
+    return join_by_size(join_by_size(windows, met, at), said.drop("len", "all"), "key", measured=said)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
