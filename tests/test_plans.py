@@ -49,8 +49,15 @@ def test_only_one_row_sides_are_cartesian(spark):
         assert "CartesianProduct" not in p, name
 
 
-@pytest.mark.parametrize("name", ["weather_mean_strict", "replicate_counts", "allele_freq",
-                                  "impute_group_mean"])
+def test_marker_statistics_leave_a_task_as_vectors(spark):
+    """Summed per task before the one shuffle, by block of markers, and added after it; no cell is exploded."""
+    p = plan(E.queries()["allele_freq"](spark, SF_SMALL))
+    summed, exchange, added = (p.rindex("MapInArrow"), p.index("Exchange hashpartitioning(block"), p.index("MapInArrow"))
+    assert added < exchange < summed and p.count("Exchange") == 1
+    assert p.count("Generate ") == 1 and p.index("Generate ") < added
+
+
+@pytest.mark.parametrize("name", ["weather_mean_strict", "replicate_counts", "impute_group_mean"])
 def test_aggregates_are_partial_before_the_shuffle(spark, name, monkeypatch):
     from trialspark.operators import joins as J
 

@@ -654,7 +654,7 @@ SMALL_SPACE = dict(MD.BOOSTED_SPACE, n_estimators=(3, 6, "log-uniform"), max_dep
 SMALL_LEAF_SPACE = dict(MD.LEAF_WISE_SPACE, n_estimators=(3, 6, "log-uniform"), max_depth=(2, 4, "uniform"))
 SMALL_BUDGET = MD.Budget(n_iter=2, batch=2)
 # a candidate within the analysis' ranges but for the number of trees
-DEEP_CANDIDATE = {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 4, "min_child_weight": 5, "subsample": 0.8,
+DEEP_CANDIDATE = {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3, "min_child_weight": 5, "subsample": 0.8,
                   "colsample_bytree": 0.7, "gamma": 0.05, "reg_alpha": 10, "reg_lambda": 2}
 
 
@@ -728,7 +728,7 @@ def search_scores(spark, sf):
 
 @query
 def boosted_trees(spark, sf):
-    """200 boosted trees of depth 4 with all penalties on every training row: the test rows' predictions."""
+    """200 boosted trees of depth 3 with all penalties on every training row: the test rows' predictions."""
     rows, test = _model_rows(spark, sf, "raw")
     data = _binned(rows, test, "loyo")
     return MD.predict_binned(SE.refit(data.blocks, data.bins.n_bins, DEEP_CANDIDATE, MD.SEED), data)
