@@ -36,6 +36,7 @@ DIM = 16
 SAMPLE = 3000
 SAMPLE_BYTES = 20_000
 EPOCHS, BATCH, RATE = 8, 32, 4.0
+MIN_STEPS = 800  # of gradient descent; a small sample is gone through more often
 LENGTHS = ((2, 4), (5, 12), (13, 50))  # words in the snippets that calibrate
 FOREIGN = 0.95                         # of the foreign text to be rejected, where right answers allow it
 #: First and last letters of scripts to draw foreign text from: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, Han, Hangul.
@@ -128,8 +129,10 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.002, seed: int = 42) ->
                 data.append((idx, (c[idx] / c.sum()).astype(np.float32), of[y]))
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, done = EPOCHS * -(-len(data) // BATCH), 0
-    for _ in range(EPOCHS):
+    each = -(-len(data) // BATCH)
+    epochs = max(EPOCHS, -(-MIN_STEPS // max(each, 1)))
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         order = rng.permutation(len(data))
         for a in range(0, len(order), BATCH):
             rows_now = [data[i] for i in order[a:a + BATCH]]
