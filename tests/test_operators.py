@@ -184,6 +184,13 @@ def test_ensembles_test_presence_per_component(spark):
             EN.weighted_ensemble({"a": a, "b": b}, spark.createDataFrame(w, "component string, V double"))
 
 
+def test_weighted_ensemble_with_zero_weights_only(spark):
+    s = "Env string, Hybrid string, Yield_Mg_ha double"
+    a, b = (spark.createDataFrame([("E", "X", y)], s) for y in (2.0, 6.0))
+    w = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("residual", 3.0)], "component string, V double")
+    assert EN.weighted_ensemble({"a": a, "b": b}, w).first()["Yield_Mg_ha"] == 4.0
+
+
 def test_two_sub_sites_keep_their_own_weather(spark):
     from trialspark.plans import matrices as MX
     rows = spark.createDataFrame([("H1", "L1_1_2024", "H1_L1"), ("H1", "L1_2_2024", "H1_L1")],
