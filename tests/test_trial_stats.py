@@ -195,3 +195,20 @@ def test_sites_without_replicate_numbers_pass_through(spark):
     want = [("A", 1.0), ("A", 2.0), ("B", 3.0)]
     assert sorted((r["Field_Location"], r["Yield_Mg_ha"]) for r in single.collect()) == want
     assert sorted((r["Field_Location"], r["Yield_Mg_ha"]) for r in TS.blue_single_rep(df).collect()) == want
+
+
+def test_outlier_flag_writes_the_cells_once(spark):
+    from trialspark.session import stage_scope
+    rows = [(f"H{h}|E", 2020, r, float(h % 7 + r)) for h in range(60) for r in (1, 2)]
+    df = spark.createDataFrame(rows, "Hybrid_Env string, Year int, Replicate int, Yield_Mg_ha double")
+    with stage_scope(spark) as paths:
+        assert TS.outlier_flag(df).count() == 120
+        sizes = [spark.read.parquet(p).count() for p in paths]
+    assert sum(n >= 60 for n in sizes) == 1
+
+
+def test_level_moments_take_one_row_per_cell_and_level(spark):
+    cells = spark.createDataFrame([(1, 4, 5.0, [(1, 3, 4.0, 2.0), (2, 1, 8.0, 0.0)]), (1, 2, 7.0, [(1, 2, 7.0, 0.5)])],
+                                  "b int, _n long, _mean double, _levels array<struct<_lv:long,_n:long,_m:double,_css:double>>")
+    got = {r["_l"]: (r["_t"], r["_nl"], r["_b"], r["_p"]) for r in TS._level_moments(cells, ["b"]).collect()}
+    assert got == {1: (2.0 + 3 + 0.5, 5.0, -3.0, 9 / 4 + 2), 2: (9.0, 1.0, 3.0, 1 / 4)}
