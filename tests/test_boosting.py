@@ -227,3 +227,15 @@ def test_unknown_parameters_are_an_error():
         TreeParams.of({"n_estimators": 3, "colour": 1})
     with pytest.raises(ValueError):
         TreeParams(max_depth=61)
+
+
+def test_a_task_gets_few_blocks_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    bases = BO._bases
+    monkeypatch.setattr(BO, "_bases", lambda *a: seen.append(int(spark.conf.get(key))) or bases(*a))
+    n_bins = np.full(1000, 4)  # blocks of 4 MB
+    empty = spark.createDataFrame([], "block bigint, n bigint, label binary, fold binary, bins binary")
+    BO.fit_many(empty, n_bins, [(TreeParams(n_estimators=1), None)])
+    assert 1 <= seen[0] <= 4
+    assert spark.conf.get(key) == before
