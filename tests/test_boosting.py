@@ -229,6 +229,63 @@ def test_unknown_parameters_are_an_error():
         TreeParams(max_depth=61)
 
 
+def _random_tree(rng, n_bins, inner):
+    """A full tree with ``inner`` splits over random features, cuts and NULL directions."""
+    n = 2 * inner + 1
+    f = np.where(np.arange(n) < inner, rng.randint(0, len(n_bins), n), 0)
+    left = np.where(np.arange(n) < inner, 2 * np.arange(n) + 1, -1).astype(np.int32)
+    return BO.Tree(f, np.where(left >= 0, rng.randint(0, n_bins[f]), 0), rng.rand(n) < 0.5, left,
+                   np.where(left >= 0, left + 1, -1).astype(np.int32), rng.randn(n))
+
+
+def _random_codes(rng, n_bins, n):
+    codes = np.stack([rng.randint(0, b, n) for b in n_bins]).astype(np.uint8)
+    codes[rng.rand(*codes.shape) < 0.1] = BO.MISSING
+    return codes
+
+
+def test_rows_are_placed_by_bytes_as_row_by_row():
+    rng = np.random.RandomState(1)
+    n_bins = np.array([254, 2, 4, 1, 60])
+    codes = _random_codes(rng, n_bins, 500)
+    for inner in (0, 1, 7, 64, 70):
+        t = _random_tree(rng, n_bins, inner)
+        want = []
+        for r in range(codes.shape[1]):
+            i = 0
+            while t.left[i] >= 0:
+                c = codes[t.feature[i], r]
+                goes = t.null_left[i] if c == BO.MISSING else c <= t.cut[i]
+                i = t.left[i] if goes else t.right[i]
+            want.append(i)
+        assert t.place(codes).tolist() == want
+        if inner <= BO.SMALL_TREE:
+            assert t._place_by_node(codes).dtype == np.uint8
+
+
+@pytest.mark.parametrize("room", [1 << 30, 0])
+def test_joint_histograms_give_each_feature_its_own(room):
+    rng = np.random.RandomState(2)
+    n_bins = np.array([4, 3, 254, 1, 4, 4, 4, 60, 4, 254])
+    features = np.array([0, 1, 2, 4, 5, 6, 7, 8, 9])
+    n_nodes = 3
+    bundles = BO._bundles(features, n_bins, n_nodes, room)
+    assert [f for b, e in bundles for f in range(b, e)] == list(range(len(features)))
+    assert len(bundles) < len(features) if room else len(bundles) == len(features)
+    held, first = None, BO._layout(features, n_bins)[0]
+    g, h = np.zeros((n_nodes, first[-1])), np.zeros((n_nodes, first[-1]))
+    for _ in range(2):
+        codes, grad, slot = _random_codes(rng, n_bins, 300), rng.randn(300), rng.randint(-1, n_nodes, 300)
+        held = BO._joint_sums(held, codes, grad, slot, n_nodes, features, n_bins, bundles)
+        for k, f in enumerate(features):
+            for r in np.flatnonzero(slot >= 0):
+                at = first[k] + (n_bins[f] if codes[f, r] == BO.MISSING else codes[f, r])
+                g[slot[r], at] += grad[r]
+                h[slot[r], at] += 1
+    got = BO._single_sums(held, n_nodes, features, n_bins, bundles)
+    assert np.allclose(got[0], g) and (got[1] == h).all()
+
+
 def test_a_task_gets_few_blocks_at_a_time(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, seen = spark.conf.get(key), []
