@@ -3,6 +3,7 @@
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialspark.operators import binning as BI
@@ -296,3 +297,18 @@ def test_a_task_gets_few_blocks_at_a_time(spark, monkeypatch):
     BO.fit_many(empty, n_bins, [(TreeParams(n_estimators=1), None)])
     assert 1 <= seen[0] <= 4
     assert spark.conf.get(key) == before
+
+
+def test_small_blocks_are_counted_side_by_side():
+    rng, n_bins = np.random.RandomState(3), np.array([4, 3, 5])
+    sizes = [50, 20, 70]
+    codes = [_random_codes(rng, n_bins, n) for n in sizes]
+    margins = [rng.randn(2, n) for n in sizes]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8, 9]), pa.array(sizes), pa.array([np.arange(n, dtype="<f8").tobytes() for n in sizes]),
+         pa.array([np.full(n, n, "<i2").tobytes() for n in sizes]), pa.array([c.tobytes() for c in codes]),
+         pa.array([m.tobytes() for m in margins])], ["block", "n", "label", "fold", "bins", "margins"])
+    (blocks, label, fold, got, m), = BO._parts(iter([batch]), 2)
+    assert list(blocks) == [(7, 50), (8, 20), (9, 70)]
+    assert len(label) == 140 and fold.tolist() == [n for n in sizes for _ in range(n)]
+    assert (got == np.concatenate(codes, axis=1)).all() and (m == np.concatenate(margins, axis=1)).all()
